@@ -15,7 +15,7 @@ DOTS = "…"
 
 def _below_power(value: Column, power: Column) -> Column:
     """value < 10^power for a positive integer value of up to 38 digits."""
-    powers = F.array(*[F.lit(10**k).cast(BIG) for k in range(38)])
+    powers = F.array(*[F.lit(str(10**k)).cast(BIG) for k in range(38)])
     return F.when(power < 0, False).when(power > 37, True).otherwise(
         value < F.get(powers, F.greatest(F.least(power, F.lit(37)), F.lit(0)).cast("int")))
 
@@ -96,9 +96,9 @@ def fmt_int(value: Column) -> Column:
 def fmt_fee(fee: Column) -> Column:
     """Hundredths of a basis point as a percentage; rounded as the binary quotient is, ties away from zero."""
     tie = (fee % 1250 == 0) & (fee % 100 == 50)
-    even = F.format_number((fee / F.lit(10000.0)).cast("double"), "0.00")
-    up = F.format_number((fee.cast("decimal(20,0)") / 10000 + F.lit("0.005").cast("decimal(4,3)")).cast("decimal(24,3)"), "0.000")
-    return F.concat(F.when(tie, F.substr(up, F.lit(1), F.length(up) - 1)).otherwise(even), F.lit("%"))
+    even = F.call_function("format_number", (fee / F.lit(10000.0)).cast("double"), F.lit("0.00"))
+    up = ((fee + 50).cast("decimal(20,0)") / 10000).cast("decimal(20,2)").cast("string")
+    return F.concat(F.when(tie, up).otherwise(even), F.lit("%"))
 
 
 def pct(part: Column, total: Column) -> Column:

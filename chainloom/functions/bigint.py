@@ -47,7 +47,7 @@ def u256(word: Column) -> Column:
     Digits are fed in from the top, eight hex digits (32 bits) at a time:
     value = value * 2^32 + next, with the carry passed up between limbs.
     """
-    base = F.lit(LIMB).cast("decimal(27,0)")
+    base = F.lit(str(LIMB)).cast("decimal(27,0)")
     two32 = F.lit(2**32).cast("decimal(10,0)")
     word = F.lower(word)
 
@@ -69,7 +69,7 @@ def u256(word: Column) -> Column:
 
 
 def decimal_to_limbs(v: Column) -> Column:
-    base = F.lit(LIMB).cast("decimal(27,0)")
+    base = F.lit(str(LIMB)).cast("decimal(27,0)")
     v = v.cast(BIG)
     lo = (v % base).cast("decimal(26,0)")
     return F.struct(F.lit(0).cast("decimal(26,0)").alias("hi"),
@@ -89,7 +89,7 @@ def u256_key(v: Column) -> Column:
 
 def u256_sum(v: Column) -> Column:
     """Exact sum as digits: limbs are summed apart (10^12 rows fit in 38 digits) and carried once at the end."""
-    base = F.lit(LIMB).cast("decimal(27,0)")
+    base = F.lit(str(LIMB)).cast("decimal(27,0)")
     hi, mid, lo = (F.sum(v[c].cast(BIG)) for c in ("hi", "mid", "lo"))
 
     def up(x: Column) -> Column:
