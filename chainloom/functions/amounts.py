@@ -15,7 +15,7 @@ DOTS = "…"
 
 def _below_power(value: Column, power: Column) -> Column:
     """value < 10^power for a positive integer value of up to 38 digits."""
-    powers = F.array(*[F.lit(str(10**k)).cast(BIG) for k in range(38)])
+    powers = F.expr("array(" + ", ".join(f"cast('{10**k}' as {BIG})" for k in range(38)) + ")")
     return F.when(power < 0, False).when(power > 37, True).otherwise(
         value < F.get(powers, F.greatest(F.least(power, F.lit(37)), F.lit(0)).cast("int")))
 

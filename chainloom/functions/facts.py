@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from . import vocab as V
 
 
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def texts(items) -> Column:
-    return F.array(*[F.lit(i) for i in items]) if items else F.array().cast("array<string>")
+    """A fixed list as a literal array (one expression text, however long the list)."""
+    return F.expr(f"array({', '.join(_sql(i) for i in items)})") if items else F.array().cast("array<string>")
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
     """A fixed table as a literal map; null for a key it lacks."""
-    entries = [F.lit(x) for pair in table.items() for x in pair]
-    return F.try_element_at(F.create_map(*entries), key)
+    entries = ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({entries})"), key)
 
 
 def facts(selector: Column, topics: Column) -> Column:

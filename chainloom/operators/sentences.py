@@ -2,8 +2,9 @@
 
 Input columns: ``is_transfer, from_addr, to_addr, value, label, decimals,
 from_kind, to_kind`` (kinds: true contract, false wallet, null unknown),
-``contract_name, contract_address, event, ctx, fn, called``. The live profile
-fixes the token to USDC with six decimals and has no called function.
+``contract_name, contract_address, event, fn, called`` and those of
+``ctx_facts``. The live profile fixes the token to USDC with six decimals and
+has no called function.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ def _party(kind: Column) -> Column:
 
 def _head(label: Column, amount: Column) -> Column:
     to, frm = _party(F.col("to_kind")), _party(F.col("from_kind"))
-    return (
-        F.when(F.col("from_addr") == V.ZERO_ADDRESS, F.concat(label, F.lit(" was minted to "), to, F.lit(", amount "), amount, F.lit(".")))
-        .when(F.col("to_addr") == V.ZERO_ADDRESS, F.concat(label, F.lit(" was burned from "), frm, F.lit(", amount "), amount, F.lit(".")))
-        .otherwise(F.concat(label, F.lit(" moved from "), frm, F.lit(" to "), to, F.lit(", amount "), amount, F.lit(".")))
+    verb = (
+        F.when(F.col("from_addr") == V.ZERO_ADDRESS, F.concat(F.lit(" was minted to "), to))
+        .when(F.col("to_addr") == V.ZERO_ADDRESS, F.concat(F.lit(" was burned from "), frm))
+        .otherwise(F.concat(F.lit(" moved from "), frm, F.lit(" to "), to))
     )
+    return F.concat(label, verb, F.lit(", amount "), amount, F.lit("."))
 
 
 def _tail(phrases: dict[str, str], direction: Column | None = None) -> Column:
@@ -42,15 +44,27 @@ def _tail(phrases: dict[str, str], direction: Column | None = None) -> Column:
         F.concat(F.lit("In the same transaction: "), F.when(F.size("facts") > 0, said).otherwise(nothing), F.lit(".")))
 
 
+def ctx_facts(ctx: DataFrame, profile: str = "archive") -> DataFrame:
+    """What each transaction says, worked out once per transaction and before its events are joined.
+
+    Adds facts, protocol, direction and moved to (tx_hash, ctx).
+    """
+    c = F.col("ctx")
+    return ctx.select(
+        "tx_hash", "ctx", facts(c["selector"], c["topics"]).alias("facts"), F.when(c.isNotNull(), protocol(c, profile)).alias("named"),
+        bridge_direction(c["selector"], c["topics"]).alias("direction"),
+        (F.coalesce(c["value_sent"], F.lit(False)) | F.arrays_overlap(c["topics"], texts(V.MOVEMENT_TOPICS))).alias("moved"))
+
+
 def with_facts(df: DataFrame, profile: str = "archive") -> DataFrame:
-    """facts, plain, protocol and called phrase of every row's context."""
+    """plain, protocol and called phrase of every row joined with ``ctx_facts``."""
     ctx = F.col("ctx")
     contract = F.lit(V.USDC) if profile == "live" else F.col("contract_address")
-    out = df.withColumn("facts", facts(ctx["selector"], ctx["topics"]))
+    out = df.withColumn("facts", F.coalesce("facts", F.array().cast("array<string>")))
     out = out.withColumn("plain", is_plain(ctx, F.col("facts"), contract))
     if profile == "live":
-        return out.withColumn("protocol", protocol(ctx, profile)).withColumn("called_phrase", F.lit(""))
-    named = F.coalesce(F.nullif(protocol(ctx, profile), F.lit("")), F.when(ctx.isNotNull(), F.col("called")), F.lit(""))
+        return out.withColumn("protocol", F.coalesce("named", F.lit(""))).withColumn("called_phrase", F.lit(""))
+    named = F.coalesce(F.nullif("named", F.lit("")), F.when(ctx.isNotNull(), F.col("called")), F.lit(""))
     return out.withColumn("protocol", named).withColumn("called_phrase", call_phrase(ctx, F.col("fn")))
 
 
@@ -67,8 +81,7 @@ def lane_sentence(df: DataFrame, profile: str = "archive") -> DataFrame:
 
 def story_sentence(df: DataFrame) -> DataFrame:
     """Adds ``story`` (also the row's family) and the display ``text``; live profile only."""
-    ctx = F.col("ctx")
-    tail = _tail(V.STORY_PHRASE, bridge_direction(ctx["selector"], ctx["topics"]))
+    tail = _tail(V.STORY_PHRASE, F.col("direction"))
     named = F.when(F.col("protocol").isin("", "USDC"), "").otherwise(F.concat(F.lit(" Protocol: "), F.col("protocol"), F.lit(".")))
     story = F.concat(_head(F.lit("USDC"), amount_words(F.col("value"))), F.lit(" "), tail, named)
     shown = F.format_number((F.col("value").cast("double") / 10**V.LIVE_DECIMALS), 2)
@@ -84,8 +97,7 @@ def ruled_lane(df: DataFrame, profile: str = "archive") -> DataFrame:
     nothing = (F.size(found) == 0) & ~F.col("plain") & (F.col("called_phrase") == "")
     rule = F.when(ctx.isNull(), "uncertain")
     if profile == "archive":
-        moved = F.coalesce(ctx["value_sent"], F.lit(False)) | F.arrays_overlap(ctx["topics"], texts(V.MOVEMENT_TOPICS))
-        rule = rule.when(~F.col("is_transfer") & ~moved, "no_transfer").when(~F.col("is_transfer"), "")
+        rule = rule.when(~F.col("is_transfer") & ~F.col("moved"), "no_transfer").when(~F.col("is_transfer"), "")
     rule = (
         rule.when(zero_party & ~F.array_contains(found, "bridge"), "issuance")
         .when((F.col("value") == 0) & ~substance, "spam").when(nothing, "uncertain").otherwise("")

@@ -30,26 +30,25 @@ def by_contract(items) -> F.Column:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    """All four event tables with the columns a sentence needs."""
-    tr = T.transfers(spark, sf).select(
-        "block_number", "log_index", "tx_hash", F.lit(True).alias("is_transfer"), F.lit("Transfer").alias("event"),
-        by_contract(T.CONTRACT_NAMES).alias("contract_name"), T.contract_address(F.col("contract_no")).alias("contract_address"),
-        "from_addr", "to_addr", "value", by_contract(LABELS).alias("label"), by_contract(DECIMALS).alias("decimals"))
-    pool = [
-        df.select("block_number", "log_index", "tx_hash", F.lit(False).alias("is_transfer"), F.lit(name).alias("event"),
-                  F.lit("pool_manager").alias("contract_name"), F.lit(V.POOL_MANAGER).alias("contract_address"))
-        for name, df in (("Swap", T.swaps(spark, sf)), ("ModifyLiquidity", T.modifies(spark, sf)), ("Donate", T.donates(spark, sf)))
-    ]
-    for p in pool:
-        tr = tr.unionByName(p, allowMissingColumns=True)
-    return tr
+    """All four event tables with the columns a sentence needs, in one pass over the moves they are slices of."""
+    pool = F.try_element_at(F.create_map(*[F.lit(x) for x in (3, "Donate", 4, "ModifyLiquidity", 5, "Swap")]), F.col("log_index"))
+    moved = ~F.col("log_index").isin(3, 4, 5)
+
+    def own(c):
+        return F.when(moved, c)
+    return T.moves(spark, sf).select(
+        "block_number", "log_index", "tx_hash", moved.alias("is_transfer"), F.coalesce(pool, F.lit("Transfer")).alias("event"),
+        F.when(moved, by_contract(T.CONTRACT_NAMES)).otherwise("pool_manager").alias("contract_name"),
+        F.when(moved, T.contract_address(F.col("contract_no"))).otherwise(V.POOL_MANAGER).alias("contract_address"),
+        own(F.col("from_addr")).alias("from_addr"), own(F.col("to_addr")).alias("to_addr"), own(F.col("value")).alias("value"),
+        own(by_contract(LABELS)).alias("label"), own(by_contract(DECIMALS)).alias("decimals"))
 
 
 def described(spark: SparkSession, sf: str) -> DataFrame:
     """Every archived event with its sentence, facts, protocol and ruled lane."""
     ctx = T.tx_ctx(spark, sf).select("tx_hash", "ctx")
     kinds = E.party_kinds(T.moves(spark, sf), ctx, T.codes(spark, sf))
-    x = S.with_kinds(events(spark, sf).join(ctx, "tx_hash", "left"), kinds)
+    x = S.with_kinds(events(spark, sf).join(S.ctx_facts(ctx), "tx_hash", "left"), kinds)
     return S.describe(S.with_calls(x, functions(spark)))
 
 
@@ -60,7 +59,7 @@ def live(spark: SparkSession, sf: str) -> DataFrame:
     kinds = E.party_kinds(moves, ctx, T.codes(spark, sf))
     six = moves.select("block_number", "log_index", "tx_hash", "from_addr", "to_addr",
                        E.native_to_6(F.col("value")).alias("value"), "block_time").withColumn("is_transfer", F.lit(True))
-    return S.describe(S.with_kinds(six.join(ctx, "tx_hash", "left"), kinds), "live")
+    return S.describe(S.with_kinds(six.join(S.ctx_facts(ctx, "live"), "tx_hash", "left"), kinds), "live")
 
 
 def with_hash_lanes(df: DataFrame, profile: str = "archive") -> DataFrame:

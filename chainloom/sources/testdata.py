@@ -21,9 +21,16 @@ CONTRACTS = [V.USDC, V.NATIVE_USDC, "0x" + "7" * 40]
 CONTRACT_NAMES = ["usdc", "native", "mystery"]
 
 
+_SCHEMAS: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    settle(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A supplied table; its footer is read for the schema only once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        settle(spark)
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return settle(spark).read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def hash_text(value: Column) -> Column:
