@@ -110,7 +110,7 @@ def day_series(daily: DataFrame, key: str = "address", half: int = 82) -> DataFr
     span = daily.groupBy(key).agg(
         F.min(F.to_date("day")).alias("_a"), F.max(F.to_date("day")).alias("_b"),
         F.greatest(F.max("in_value"), F.max("out_value")).cast("double").alias("_top"))
-    days = span.select(key, "_top", F.date_format(F.explode(F.sequence("_a", "_b")), DAY).alias("day"))
+    days = span.select(key, "_top", F.explode(F.sequence("_a", "_b")).alias("_d")).select(key, "_top", F.date_format("_d", DAY).alias("day"))
 
     def height(c):
         v = F.col(c).cast("double")
@@ -358,20 +358,24 @@ def swap_sides(swaps: DataFrame, inits: DataFrame, tokens: DataFrame) -> DataFra
         t = tokens.select(F.col("address").alias(f"currency{i}"), F.col("symbol").alias(f"_sym{i}"), F.col("decimals").alias(f"_dec{i}"))
         x = x.join(t, f"currency{i}", "left")
 
-    def side(i):
-        address, delta = F.col(f"currency{i}"), F.col(f"amount{i}")
+    # stated as columns step by step, so that each text is worked out once per row
+    for i in ("0", "1"):
+        address = F.col(f"currency{i}")
         face = lookup({k: v[0] for k, v in V.USDC_FACES.items()}, address)
-        decimals = F.when(face.isNotNull(), usdc_decimals(address)).otherwise(F.col(f"_dec{i}"))
-        symbol = F.coalesce(face, F.col(f"_sym{i}"))
-        size = F.abs(delta)
-        amount = F.when(decimals.isNull(), fmt_int(size)).otherwise(fmt_amount(units_to_decimal(size, F.coalesce(decimals, F.lit(0)))))
+        x = x.withColumn(f"_face{i}", face).withColumn(f"_size{i}", F.abs(f"amount{i}"))
+        x = x.withColumn(f"_dec{i}", F.when(F.col(f"_face{i}").isNotNull(), usdc_decimals(address)).otherwise(F.col(f"_dec{i}")))
+        x = x.withColumn(f"_units{i}", units_to_decimal(F.col(f"_size{i}"), F.coalesce(f"_dec{i}", F.lit(0))))
+        unknown = F.col(f"_dec{i}").isNull()
+        amount = F.when(unknown, fmt_int(F.col(f"_size{i}"))).otherwise(fmt_amount(F.col(f"_units{i}")))
+        symbol = F.coalesce(f"_face{i}", f"_sym{i}")
         token = F.coalesce(symbol, short_address(address))
-        note = F.concat(F.coalesce(symbol, F.concat(F.lit("token "), token)), F.when(decimals.isNull(), " · decimals unknown").otherwise(""))
-        return F.struct(amount.alias("amount"), token.alias("token"), note.alias("note")), delta
-    (s0, d0), (s1, d1) = side("0"), side("1")
-    known = F.col("currency0").isNotNull()
-    return x.select("tx_hash", "log_index", F.when(known & (d0 < 0), s0).when(known & (d1 < 0), s1).alias("paid"),
-                    F.when(known & (d0 > 0), s0).when(known & (d1 > 0), s1).alias("received"), fmt_fee(F.col("fee")).alias("fee"), known.alias("known"))
+        note = F.concat(F.coalesce(symbol, F.concat(F.lit("token "), token)), F.when(unknown, " · decimals unknown").otherwise(""))
+        x = x.withColumn(f"_side{i}", F.struct(amount.alias("amount"), token.alias("token"), note.alias("note")))
+    known, d0, d1 = F.col("currency0").isNotNull(), F.col("amount0"), F.col("amount1")
+    return x.select(
+        "tx_hash", "log_index", F.when(known & (d0 < 0), F.col("_side0")).when(known & (d1 < 0), F.col("_side1")).alias("paid"),
+        F.when(known & (d0 > 0), F.col("_side0")).when(known & (d1 > 0), F.col("_side1")).alias("received"),
+        fmt_fee(F.col("fee")).alias("fee"), known.alias("known"))
 
 
 def tx_events(rows: DataFrame) -> DataFrame:
