@@ -111,6 +111,19 @@ def party_kinds(transfers: DataFrame, ctx: DataFrame, codes: DataFrame) -> DataF
     )
 
 
+def known_kinds(ctx: DataFrame, codes: DataFrame) -> DataFrame:
+    """(address, is_contract) of every address with code or that ever sent a transaction: the dimension itself.
+
+    For jobs that describe whole ranges: it spares a pass over the transfers to
+    find which addresses to ask about.
+    """
+    senders = ctx.filter("ctx IS NOT NULL").select(F.col("ctx.sender").alias("address"), F.lit(False).alias("is_contract"))
+    coded = codes.select("address", is_contract_code(F.col("code")).alias("is_contract"))
+    # a sender is a wallet whatever its code says, so false wins
+    return senders.unionByName(coded).filter(F.col("address") != V.ZERO_ADDRESS).groupBy("address").agg(
+        F.bool_and("is_contract").alias("is_contract"))
+
+
 SYMBOL = r"^[A-Za-z0-9$._-]{1,16}$"
 
 

@@ -54,13 +54,21 @@ def ask_counts(described: DataFrame, new: DataFrame) -> DataFrame:
     return rows.select(asked.scalar().alias("asked"), (F.col("rows") - asked.scalar()).alias("reused"))
 
 
-def settle(described: DataFrame, answers: DataFrame, profile: str = "archive") -> DataFrame:
-    """Adds choice, probs, lane and lane_p to described rows."""
-    x = described.join(answers.select("sentence", "choice", "probs"), "sentence", "left")
-    unruled = F.col("ruled") == ""
-    x = x.withColumn("choice", F.when(unruled, F.col("choice"))).withColumn("probs", F.when(unruled, F.col("probs")))
+def settle_columns(rows: DataFrame, profile: str = "archive") -> DataFrame:
+    """Adds lane and lane_p to rows with ruled, choice and probs."""
     s = settle_lane(F.col("choice"), F.col("probs"), F.col("ruled"), profile)
-    return x.withColumn("_s", s).withColumn("lane", F.col("_s.lane")).withColumn("lane_p", F.col("_s.p")).drop("_s")
+    return rows.withColumn("_s", s).withColumn("lane", F.col("_s.lane")).withColumn("lane_p", F.col("_s.p")).drop("_s")
+
+
+def settle(described: DataFrame, answers: DataFrame, profile: str = "archive") -> DataFrame:
+    """Adds choice, probs, lane and lane_p to described rows.
+
+    Only unruled rows are joined: ruled ones, which may be most and share few
+    sentences, need no answer.
+    """
+    unruled = described.filter("ruled = ''").join(answers.select("sentence", "choice", "probs"), "sentence", "left")
+    ruled = described.filter("ruled <> ''")
+    return settle_columns(unruled.unionByName(ruled, allowMissingColumns=True), profile)
 
 
 def drop_stuck(answers: DataFrame, control: DataFrame, fires: float = V.CONTROL_FIRES) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from ..functions.scoring import choice_of, hash_probs
 from ..operators import enrich as E
 from ..operators import sentences as S
+from ..operators.lanes import settle_columns
 from ..sources import testdata as T
 
 # Configured contracts with named functions: (contract, address, selector, name).
@@ -47,7 +49,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 def described(spark: SparkSession, sf: str) -> DataFrame:
     """Every archived event with its sentence, facts, protocol and ruled lane."""
     ctx = T.tx_ctx(spark, sf).select("tx_hash", "ctx")
-    kinds = E.party_kinds(T.moves(spark, sf), ctx, T.codes(spark, sf))
+    kinds = E.known_kinds(ctx, T.codes(spark, sf))
     x = S.with_kinds(events(spark, sf).join(S.ctx_facts(ctx), "tx_hash", "left"), kinds)
     return S.describe(S.with_calls(x, functions(spark)))
 
@@ -56,19 +58,20 @@ def live(spark: SparkSession, sf: str) -> DataFrame:
     """Every move as the live feed describes it: six decimals, lane sentence and story."""
     ctx = T.tx_ctx(spark, sf).select("tx_hash", "ctx")
     moves = T.moves(spark, sf)
-    kinds = E.party_kinds(moves, ctx, T.codes(spark, sf))
+    kinds = E.known_kinds(ctx, T.codes(spark, sf))
     six = moves.select("block_number", "log_index", "tx_hash", "from_addr", "to_addr",
                        E.native_to_6(F.col("value")).alias("value"), "block_time").withColumn("is_transfer", F.lit(True))
     return S.describe(S.with_kinds(six.join(S.ctx_facts(ctx, "live"), "tx_hash", "left"), kinds), "live")
 
 
 def with_hash_lanes(df: DataFrame, profile: str = "archive") -> DataFrame:
-    """Settle rows with the stand-in scorer's column form: same answers as the plug-in, without a Python stage."""
-    from ..functions.scoring import choice_of, hash_probs
-    from ..operators.lanes import settle
-    answers = df.filter("ruled = ''").select("sentence").distinct().withColumn("probs", hash_probs(F.col("sentence"))).withColumn(
-        "choice", choice_of(F.col("probs")))
-    return settle(df, answers, profile)
+    """Settle rows with the stand-in scorer's column form.
+
+    It is cheap and JVM-side, so it is worked out in place; a scorer that costs
+    something goes through score_sentences, once per distinct sentence.
+    """
+    x = df.withColumn("probs", F.when(F.col("ruled") == "", hash_probs(F.col("sentence"))))
+    return settle_columns(x.withColumn("choice", choice_of(F.col("probs"))), profile)
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
