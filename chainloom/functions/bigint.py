@@ -28,8 +28,11 @@ def word_to_decimal(word: Column, signed: bool = False) -> Column:
             acc = (acc * two32 + _limb(text, at)).cast(BIG)
         return acc
 
+    # values below 2^120, nearly all there are, take two conversions
+    pair = (F.conv(F.substring(word, 35, 15), 16, 10).cast("decimal(19,0)") * F.lit(2**60).cast("decimal(19,0)")
+            + F.conv(F.substring(word, 50, 15), 16, 10).cast("decimal(19,0)")).cast(BIG)
     fits = F.conv(F.substring(low, 1, 8), 16, 10).cast("bigint") < 2**30
-    plain = F.when((F.substring(word, 1, 32) == "0" * 32) & fits, value(low))
+    plain = F.when(F.substring(word, 1, 34) == "0" * 34, pair).when((F.substring(word, 1, 32) == "0" * 32) & fits, value(low))
     if not signed:
         return plain
     flipped = F.translate(F.lower(low), "0123456789abcdef", "fedcba9876543210")
@@ -44,7 +47,7 @@ LIMB = 10**26
 def u256(word: Column) -> Column:
     """An unsigned word as three base-10^26 limbs (hi, mid, lo): any 78-digit value, exactly.
 
-    Digits are fed in from the top, eight hex digits (32 bits) at a time:
+    A word that fits 38 digits is cut from its decimal. Else digits are fed in from the top, eight hex digits (32 bits) at a time:
     value = value * 2^32 + next, with the carry passed up between limbs.
     """
     base = F.lit(str(LIMB)).cast("decimal(27,0)")
@@ -65,7 +68,8 @@ def u256(word: Column) -> Column:
     zero = F.lit(0).cast("decimal(26,0)")
     start = F.struct(zero.alias("hi"), zero.alias("mid"), zero.alias("lo"))
     at = F.array(*[F.lit(i) for i in range(1, 64, 8)])
-    return F.aggregate(at, start, step)
+    small = F.substring(word, 1, 34) == "0" * 34
+    return F.when(small, decimal_to_limbs(word_to_decimal(word))).otherwise(F.aggregate(at, start, step))
 
 
 def decimal_to_limbs(v: Column) -> Column:
@@ -73,7 +77,7 @@ def decimal_to_limbs(v: Column) -> Column:
     v = v.cast(BIG)
     lo = (v % base).cast("decimal(26,0)")
     return F.struct(F.lit(0).cast("decimal(26,0)").alias("hi"),
-                    ((v - v % base) / base).cast("decimal(26,0)").alias("mid"), lo.alias("lo"))
+                    ((v - lo) / base).cast("decimal(26,0)").alias("mid"), lo.alias("lo"))
 
 
 def u256_text(v: Column) -> Column:

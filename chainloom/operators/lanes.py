@@ -54,21 +54,18 @@ def ask_counts(described: DataFrame, new: DataFrame) -> DataFrame:
     return rows.select(asked.scalar().alias("asked"), (F.col("rows") - asked.scalar()).alias("reused"))
 
 
-def settle_columns(rows: DataFrame, profile: str = "archive") -> DataFrame:
-    """Adds lane and lane_p to rows with ruled, choice and probs."""
-    s = settle_lane(F.col("choice"), F.col("probs"), F.col("ruled"), profile)
-    return rows.withColumn("_s", s).withColumn("lane", F.col("_s.lane")).withColumn("lane_p", F.col("_s.p")).drop("_s")
-
-
 def settle(described: DataFrame, answers: DataFrame, profile: str = "archive") -> DataFrame:
     """Adds choice, probs, lane and lane_p to described rows.
 
-    Only unruled rows are joined: ruled ones, which may be most and share few
-    sentences, need no answer.
+    Answers are settled once per sentence, before they are joined; a row then
+    only picks its ruled lane or its sentence's. Ruled rows have no join key.
     """
-    unruled = described.filter("ruled = ''").join(answers.select("sentence", "choice", "probs"), "sentence", "left")
-    ruled = described.filter("ruled <> ''")
-    return settle_columns(unruled.unionByName(ruled, allowMissingColumns=True), profile)
+    s = settle_lane(F.col("choice"), F.col("probs"), F.lit(""), profile)
+    per = answers.select(F.col("sentence").alias("_key"), "choice", "probs", s.alias("_s"))
+    x = described.withColumn("_key", F.when(F.col("ruled") == "", F.col("sentence"))).join(per, "_key", "left")
+    fixed = settle_lane(F.lit(None).cast("string"), F.lit(None).cast(PROBS), F.col("ruled"), profile)
+    own = F.coalesce("_s", fixed)
+    return x.withColumn("lane", own["lane"]).withColumn("lane_p", own["p"]).drop("_key", "_s")
 
 
 def drop_stuck(answers: DataFrame, control: DataFrame, fires: float = V.CONTROL_FIRES) -> DataFrame:

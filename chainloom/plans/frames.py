@@ -9,7 +9,8 @@ from ..functions import vocab as V
 from ..functions.scoring import choice_of, hash_probs
 from ..operators import enrich as E
 from ..operators import sentences as S
-from ..operators.lanes import settle_columns
+from ..operators.lanes import settle
+from ..session import stored
 from ..sources import testdata as T
 
 # Configured contracts with named functions: (contract, address, selector, name).
@@ -65,13 +66,14 @@ def live(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def with_hash_lanes(df: DataFrame, profile: str = "archive") -> DataFrame:
-    """Settle rows with the stand-in scorer's column form.
+    """Settle rows with the stand-in scorer's column form, once per distinct sentence.
 
-    It is cheap and JVM-side, so it is worked out in place; a scorer that costs
-    something goes through score_sentences, once per distinct sentence.
+    The rows are read twice (for their sentences and for the join), so they are written once.
     """
-    x = df.withColumn("probs", F.when(F.col("ruled") == "", hash_probs(F.col("sentence"))))
-    return settle_columns(x.withColumn("choice", choice_of(F.col("probs"))), profile)
+    rows = stored(df, "described")
+    answers = rows.filter("ruled = ''").select("sentence").distinct().withColumn("probs", hash_probs(F.col("sentence"))).withColumn(
+        "choice", choice_of(F.col("probs")))
+    return settle(rows, answers, profile)
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
