@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 BIG = "decimal(38,0)"
 
 
+def negated(v: Column) -> Column:
+    """0 - v. Unary minus (and abs, which uses it) keeps only 34 digits of a decimal; subtraction keeps all 38."""
+    return (F.lit(0).cast("decimal(1,0)") - v).cast(BIG)
+
+
+def magnitude(v: Column) -> Column:
+    return F.when(v < 0, negated(v)).otherwise(v)
+
+
 def _limb(word: Column, start: int) -> Column:
     return F.conv(F.substring(word, start, 8), 16, 10).cast("decimal(10,0)")
 
@@ -37,7 +46,7 @@ def word_to_decimal(word: Column, signed: bool = False) -> Column:
         return plain
     flipped = F.translate(F.lower(low), "0123456789abcdef", "fedcba9876543210")
     flip_fits = F.conv(F.substring(flipped, 1, 8), 16, 10).cast("bigint") < 2**30
-    negative = F.when((F.lower(F.substring(word, 1, 32)) == "f" * 32) & flip_fits, -value(flipped) - 1)
+    negative = F.when((F.lower(F.substring(word, 1, 32)) == "f" * 32) & flip_fits, (negated(value(flipped)) - F.lit(1).cast("decimal(1,0)")).cast(BIG))
     return F.when(F.lower(F.substring(word, 1, 1)).isin(*"89abcdef"), negative).otherwise(plain)
 
 

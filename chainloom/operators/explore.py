@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.amounts import fmt_amount, fmt_fee, fmt_int, pct, short_address, short_hash, units_to_decimal
+from ..functions.bigint import magnitude
 from ..functions.facts import known_name, lookup
 from .ranking import LOGS_PER_PIECE, latest_per_key
 
@@ -343,7 +344,7 @@ def tx_kind(rows: DataFrame, inits: DataFrame, chains: DataFrame) -> DataFrame:
     )
     x = x.withColumn("kind", kind)
     amount = (
-        F.when(F.col("kind").isin("swap out", "swap in"), F.abs("_delta")).when(F.col("kind") == "mint", last["x"])
+        F.when(F.col("kind").isin("swap out", "swap in"), magnitude(F.col("_delta"))).when(F.col("kind") == "mint", last["x"])
         .when(F.col("kind").isin("burn", "self", "paid"), first["x"]).when(F.col("kind") == "many", F.col("total"))
     )
     decimals = F.when(F.col("kind").startswith("swap"), F.col("_dec")).otherwise(V.NATIVE_DECIMALS)
@@ -362,7 +363,7 @@ def swap_sides(swaps: DataFrame, inits: DataFrame, tokens: DataFrame) -> DataFra
     for i in ("0", "1"):
         address = F.col(f"currency{i}")
         face = lookup({k: v[0] for k, v in V.USDC_FACES.items()}, address)
-        x = x.withColumn(f"_face{i}", face).withColumn(f"_size{i}", F.abs(f"amount{i}"))
+        x = x.withColumn(f"_face{i}", face).withColumn(f"_size{i}", magnitude(F.col(f"amount{i}")))
         x = x.withColumn(f"_dec{i}", F.when(F.col(f"_face{i}").isNotNull(), usdc_decimals(address)).otherwise(F.col(f"_dec{i}")))
         x = x.withColumn(f"_units{i}", units_to_decimal(F.col(f"_size{i}"), F.coalesce(f"_dec{i}", F.lit(0))))
         unknown = F.col(f"_dec{i}").isNull()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.amounts import units_to_decimal
+from ..functions.bigint import negated
 from ..operators.ranking import latest_per_key, trailing_sum
 
 BIG = "decimal(38,0)"
@@ -25,9 +26,9 @@ def rolling_minute(moves: DataFrame, span: int = 60, decimals: int = 18, top: in
     rows = moves.filter(F.col("sec") > newest - span)
     order = F.struct("block_number", "log_index")
     best = rows.groupBy("tx_hash").agg(
-        F.min_by(F.struct("log_index", "value"), F.struct((-F.col("value")).alias("v"), order)).alias("b"), F.min(order).alias("first"))
+        F.min_by(F.struct("log_index", "value"), F.struct(negated(F.col("value")).alias("v"), order)).alias("b"), F.min(order).alias("first"))
     largest = best.orderBy(F.desc("b.value"), F.asc("first")).limit(top).agg(F.sort_array(F.collect_list(
-        F.struct((-F.col("b.value")).alias("_v"), "first", "tx_hash", F.col("b.log_index").alias("li"), F.col("b.value").alias("value")))).alias("largest"))
+        F.struct(negated(F.col("b.value")).alias("_v"), "first", "tx_hash", F.col("b.log_index").alias("li"), F.col("b.value").alias("value")))).alias("largest"))
     lanes = rows.filter("lane IS NOT NULL").groupBy("lane").agg(F.count("*").alias("n")).agg(
         F.sort_array(F.collect_list(F.struct("lane", "n"))).alias("lanes"))
     seen = F.greatest(F.lit(1), F.least(F.lit(span), newest - first))
