@@ -47,13 +47,16 @@ def _tail(phrases: dict[str, str], direction: Column | None = None) -> Column:
 def ctx_facts(ctx: DataFrame, profile: str = "archive") -> DataFrame:
     """What each transaction says, worked out once per transaction and before its events are joined.
 
-    Adds facts, protocol, direction and moved to (tx_hash, ctx).
+    Facts, protocol, direction and moved; of the context itself only what a
+    sentence reads is kept, so topics and emitters are not shuffled with it.
     """
     c = F.col("ctx")
+    light = F.when(c.isNotNull(), F.struct(c["to"].alias("to"), c["selector"].alias("selector"), c["sender"].alias("sender")))
     return ctx.select(
-        "tx_hash", "ctx", facts(c["selector"], c["topics"]).alias("facts"), F.when(c.isNotNull(), protocol(c, profile)).alias("named"),
+        "tx_hash", light.alias("_light"), facts(c["selector"], c["topics"]).alias("facts"), F.when(c.isNotNull(), protocol(c, profile)).alias("named"),
         bridge_direction(c["selector"], c["topics"]).alias("direction"),
-        (F.coalesce(c["value_sent"], F.lit(False)) | F.arrays_overlap(c["topics"], texts(V.MOVEMENT_TOPICS))).alias("moved"))
+        (F.coalesce(c["value_sent"], F.lit(False)) | F.arrays_overlap(c["topics"], texts(V.MOVEMENT_TOPICS))).alias("moved"),
+    ).withColumnRenamed("_light", "ctx")
 
 
 def with_facts(df: DataFrame, profile: str = "archive") -> DataFrame:
