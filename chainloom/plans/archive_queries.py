@@ -128,11 +128,6 @@ def snk2(spark, sf):
         "block_number", "log_index", num("value"), "to_addr")
 
 
-def _batch(spark, sf, odd: bool):
-    rows = T.moves(spark, sf).withColumn("block_hash", T.hash_text(F.col("block_number"))).withColumn("address", T.contract_address(F.col("contract_no")))
-    return rows
-
-
 @query("snk3_commit_batch", sql(["moves"], """
 WITH a AS (SELECT a, row_number() OVER (ORDER BY batch, b, l, a) AS id FROM (
   SELECT a, min(batch) AS batch, arg_min(block_number, (batch, block_number, log_index)) AS b,

@@ -25,13 +25,11 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-ctx = F.col("ctx")
-
-
 @query("fct1_facts", sql(["ctx", "facts"], """
 SELECT '0x' || sha256(CAST(o_orderkey AS VARCHAR)) AS tx_hash, coalesce(array_to_string(f.facts, ','), '') AS facts
 FROM orders LEFT JOIN facts f ON f.tx_hash = '0x' || sha256(CAST(o_orderkey AS VARCHAR))"""))
 def fct1(spark, sf):
+    ctx = F.col("ctx")
     return T.tx_ctx(spark, sf).select("tx_hash", F.array_join(X.facts(ctx["selector"], ctx["topics"]), ",").alias("facts"))
 
 
@@ -39,6 +37,7 @@ def fct1(spark, sf):
 SELECT c.tx_hash, p.protocol AS archive, CASE WHEN p.protocol <> '' THEN p.protocol WHEN c.ctx_to = '{V.USDC}' OR c.selector = '0x' THEN 'USDC' ELSE '' END AS live
 FROM ctx c JOIN protocols p ON p.tx_hash = c.tx_hash"""))
 def fct2(spark, sf):
+    ctx = F.col("ctx")
     x = T.tx_ctx(spark, sf).filter("ctx IS NOT NULL")
     return x.select("tx_hash", X.protocol(ctx).alias("archive"), X.protocol(ctx, "live").alias("live"))
 
@@ -49,6 +48,7 @@ SELECT tx_hash, CASE WHEN list_has_any(marks, {texts(V.BRIDGE_OUT)}) AND NOT lis
   WHEN list_has_any(marks, {texts(V.BRIDGE_IN)}) AND NOT list_has_any(marks, {texts(V.BRIDGE_OUT)}) THEN 'in' ELSE '' END AS direction FROM m"""))
 def fct3(spark, sf):
     """Every third transaction also logs a fill of a deposit made elsewhere."""
+    ctx = F.col("ctx")
     topics = F.when(F.col("block_number") % 3 == 0, F.array_append(ctx["topics"], F.lit(V.FILLED_RELAY))).otherwise(ctx["topics"])
     return T.tx_ctx(spark, sf).filter("ctx IS NOT NULL").select("tx_hash", X.bridge_direction(ctx["selector"], topics).alias("direction"))
 
@@ -72,12 +72,14 @@ def fct4(spark, sf):
 
 @query("fct5_plain", sql(["described0"], "SELECT block_number, log_index, plain FROM described0"))
 def fct5(spark, sf):
+    ctx = F.col("ctx")
     x = frames.events(spark, sf).join(T.tx_ctx(spark, sf).select("tx_hash", "ctx"), "tx_hash", "left")
     return x.select("block_number", "log_index", X.is_plain(ctx, X.facts(ctx["selector"], ctx["topics"]), F.col("contract_address")).alias("plain"))
 
 
 @query("fct6_call_phrase", sql(["described0"], "SELECT block_number, log_index, called_phrase AS phrase FROM described0"))
 def fct6(spark, sf):
+    ctx = F.col("ctx")
     from ..operators.sentences import with_calls
     x = frames.events(spark, sf).join(T.tx_ctx(spark, sf).select("tx_hash", "ctx"), "tx_hash", "left")
     return with_calls(x, frames.functions(spark)).select("block_number", "log_index", X.call_phrase(ctx, F.col("fn")).alias("phrase"))

@@ -6,12 +6,12 @@ streaming frame; the others work on a table, as the reading side of one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.amounts import units_to_decimal
 from ..functions.bigint import negated
-from ..operators.ranking import latest_per_key, trailing_sum
+from ..operators.ranking import trailing_sum
 
 BIG = "decimal(38,0)"
 
@@ -134,7 +134,6 @@ def rank_question(answers: DataFrame, n: int = 300, ends: int = 5, least: int =
     ``answers(family, p, ord)``. Rows (side, place, family, p) of both ends
     carry the gap of the outer tenths and its verdict; nothing below ``least`` families.
     """
-    from pyspark.sql import Window
     judged = answers.groupBy("family").agg(F.min("ord").alias("first"), F.max_by("p", "ord").alias("p"))
     pool = judged.orderBy(F.desc("first")).limit(n)
     # at most n rows from here on

@@ -49,10 +49,6 @@ def test_words_to_decimals(spark):
     assert big is None
 
 
-def _dynamic(*parts):
-    return "".join(parts)
-
-
 def test_dynamic_parameters(spark):
     text = "héllo"
     raw = text.encode().hex()
@@ -224,12 +220,10 @@ def test_meta_is_refused(spark):
 
 
 def test_archive_survives_a_stop_between_tables(spark):
-    schema = "block_number bigint, log_index int, tx_hash string, from_addr string, to_addr string, value decimal(38,0), block_hash string, block_time timestamp"
     base = spark.range(60).select(
         F.col("id").alias("block_number"), F.lit(1).alias("log_index"), F.lit("t").alias("tx_hash"), F.concat(F.lit("a"), (F.col("id") % 7).cast("string")).alias("from_addr"),
         F.concat(F.lit("b"), (F.col("id") % 5).cast("string")).alias("to_addr"), F.col("id").cast("decimal(38,0)").alias("value"), F.lit("h").alias("block_hash"),
         F.current_timestamp().alias("block_time"))
-    assert base.schema.simpleString() and schema
     none = spark.createDataFrame([], A.Archive.DEAD)
     first, second = base.filter("block_number < 40"), base.filter("block_number >= 20")
     a = A.Archive(spark, new_folder(spark, "test"))
