@@ -8,7 +8,7 @@ from ..functions import vocab as V
 from ..operators import decode as D
 from ..operators.enrich import assign_ids, swap_ids
 from ..operators.ranking import global_rank
-from ..session import new_folder
+from ..session import new_folder, stored
 from ..sources import archive as A
 from ..sources import logs as L
 from ..sources import testdata as T
@@ -138,7 +138,7 @@ SELECT m.block_number, m.log_index, f.id AS from_id, t.id AS to_id, CAST(m.value
 FROM moves m JOIN a f ON f.a = m.from_addr JOIN a t ON t.a = m.to_addr"""))
 def snk3(spark, sf):
     """Two batches, both replayed; the second also repeats the first one's rows."""
-    rows = T.moves(spark, sf).withColumn("block_hash", T.hash_text(F.col("block_number")))
+    rows = stored(T.moves(spark, sf).withColumn("block_hash", T.hash_text(F.col("block_number"))), "moves")  # read by all four commits
     head = rows.agg(F.max("block_number").alias("b")).first()["b"]
     archive = A.Archive(spark, new_folder(spark, "archive"))
     none = spark.createDataFrame([], A.Archive.DEAD)
