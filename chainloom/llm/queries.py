@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, packing
+from . import decontaminate, near_dedup, packing, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,14 +21,25 @@ def op2_decontaminate(spark, sf_dir):
         _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark")).drop("doc")
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, _read(spark, sf_dir, "labels")).drop("doc")
+
+
 def op6_near_duplicates(spark, sf_dir):
     found = near_dedup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_quality(spark, sf_dir):
+    return quality.quality(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_pack_mixture": op1_pack_mixture,
     "op2_decontaminate": op2_decontaminate,
+    "op5_toxicity": op5_toxicity,
     "op6_near_duplicates": op6_near_duplicates,
+    "op9_quality": op9_quality,
 }
 ORACLE: dict[str, str] = {}
