@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, packing, quality, toxicity
+from . import decontaminate, near_dedup, packing, quality, suffix_tree, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_near_duplicates(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_suffix_scores(spark, sf_dir):
+    return suffix_tree.suffix_scores(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality(spark, sf_dir):
     return quality.quality(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op6_near_duplicates": op6_near_duplicates,
+    "op8_suffix_scores": op8_suffix_scores,
     "op9_quality": op9_quality,
 }
 ORACLE: dict[str, str] = {}
