@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, packing, quality, suffix_tree, toxicity
+from . import decontaminate, near_dedup, packing, quality, suffix_tree, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_decontaminate(spark, sf_dir):
         _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark")).drop("doc")
 
 
+def op3_warc_index(spark, sf_dir):
+    return warc.archive_round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.toxicity(docs, _read(spark, sf_dir, "labels")).drop("doc")
@@ -42,9 +46,18 @@ def op9_quality(spark, sf_dir):
 QUERIES = {
     "op1_pack_mixture": op1_pack_mixture,
     "op2_decontaminate": op2_decontaminate,
+    "op3_warc_index": op3_warc_index,
     "op5_toxicity": op5_toxicity,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_suffix_scores": op8_suffix_scores,
     "op9_quality": op9_quality,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_warc_index": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        t AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS largest FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN largest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN largest <> page_id THEN largest END AS refers_to
+        FROM t""",
+}
