@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, packing, quality, suffix_tree, toxicity, warc
+from . import decontaminate, near_dedup, packing, permutation_index, pii, quality, substring_dedup, suffix_tree, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_warc_index(spark, sf_dir):
     return warc.archive_round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op4_sentence_spans(spark, sf_dir):
+    return substring_dedup.repeated_spans(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("doc")
+
+
 def op5_toxicity(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.toxicity(docs, _read(spark, sf_dir, "labels")).drop("doc")
@@ -35,6 +39,10 @@ def op6_near_duplicates(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_permutation_index(spark, sf_dir):
+    return permutation_index.nearest(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_suffix_scores(spark, sf_dir):
     return suffix_tree.suffix_scores(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -43,14 +51,21 @@ def op9_quality(spark, sf_dir):
     return quality.quality(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
 
 
+def op10_pseudonyms(spark, sf_dir):
+    return pii.pseudonymized(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("doc")
+
+
 QUERIES = {
     "op1_pack_mixture": op1_pack_mixture,
     "op2_decontaminate": op2_decontaminate,
     "op3_warc_index": op3_warc_index,
+    "op4_sentence_spans": op4_sentence_spans,
     "op5_toxicity": op5_toxicity,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_permutation_index": op7_permutation_index,
     "op8_suffix_scores": op8_suffix_scores,
     "op9_quality": op9_quality,
+    "op10_pseudonyms": op10_pseudonyms,
 }
 ORACLE: dict[str, str] = {
     "op3_warc_index": """
