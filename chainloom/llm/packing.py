@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,27 @@ from . import textscan as ts
 WEIGHT_STEPS = 1_000_000
 #: More sources than this share queues by hash, so the table of queues stays small.
 QUEUES = 1024
-KEPT_UNITS = 400_000
+KEPT_UNITS = 2_000_000
+
+
+#: Beside an ASCII letter these always end a pre-token; the apostrophe (contractions) and the bar (special tokens) do not.
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in '!"#$%&()*+,-./:;=?@[]^_`{}~']] = True
+#: First bytes of the characters above ASCII that count as white space.
+_MAYBE_SPACE = np.zeros(256, bool)
+_MAYBE_SPACE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
 
 
 class Encoder:
     """Token ids of whole texts, each distinct piece between safe cuts tokenized once.
 
-    A single space between two other characters always begins a new pre-token of
-    a byte-level BPE, so a text can be cut there and the ids joined again.
+    A byte-level BPE never merges across pre-tokens. A pre-token always begins
+    at a single space between other characters, on both sides of a single line
+    feed, and between an ASCII letter and a mark, so texts can be cut there and
+    the ids joined again. Known pieces are a sorted table of hashes with places
+    in one array of ids.
     """
 
     def __init__(self, path: str):
@@ -45,9 +59,24 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.sizes: list[int] = []
+        self.known, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(1 << 20, np.uint16)
+        self.used = 0
+
+    def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        sizes, ids = [], []
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            got = e.ids
+            sizes.append(len(got))
+            ids += got
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        self.pool[self.used: self.used + len(ids)] = ids
+        size = np.array(sizes, np.int64)
+        begin = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.begin, self.size = (np.insert(x, at, y) for x, y in ((self.known, hashes), (self.begin, begin), (self.size, size)))
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, number of ids of each row)."""
@@ -55,41 +84,43 @@ class Encoder:
         rows = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.uint16), np.zeros(rows, np.int64)
-        plain = ts.NONSPACE[data]
-        cut = np.zeros(len(data), bool)
-        cut[1:-1] = (data[1:-1] == 0x20) & plain[:-2] & plain[2:]
-        inner = offsets[(offsets > 0) & (offsets < len(data))]
-        cut[inner] = True
-        cut[inner - 1] &= np.isin(inner - 1, offsets)
-        cut[0] = True
+        plain, letter, mark = ts.NONSPACE[data], _LETTER[data], _MARK[data]
+        # white space that stands alone inside one row; what follows must not begin a non-ASCII space either
+        alone = np.zeros(len(data), bool)
+        alone[1:-1] = ~plain[1:-1] & plain[:-2] & plain[2:] & ~_MAYBE_SPACE[data[2:]]
+        edge = offsets[(offsets > 0) & (offsets < len(data))]
+        alone[edge] = alone[edge - 1] = False
+        feed = alone & (data == 0x0A)
+        cut = (alone & (data == 0x20)) | feed
+        cut[1:] |= feed[:-1] | (letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])
+        cut[edge] = cut[0] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
         unique, index, back = np.unique(ts.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.parts) > KEPT_UNITS:
+        if len(self.known) > KEPT_UNITS:
             self.clear()
-        new = [i for i, h in enumerate(unique.tolist()) if h not in self.place]
-        if new:
-            texts = [data[starts[index[i]]: ends[index[i]]].tobytes().decode() for i in new]
-            for i, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                self.place[int(unique[i])] = len(self.parts)
-                ids = np.array(e.ids, np.uint16)
-                self.parts.append(ids)
-                self.sizes.append(len(ids))
-        place = np.array([self.place[h] for h in unique.tolist()], np.int64)
-        parts = [self.parts[p] for p in place.tolist()]
-        sizes = np.array([self.sizes[p] for p in place.tolist()], np.int64)
-        pool = np.concatenate(parts)
-        begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        n = sizes[back]
-        out_begin = np.concatenate(([0], np.cumsum(n)))
-        ids = pool[np.arange(out_begin[-1]) - np.repeat(out_begin[:-1] - begin[back], n)]
+        at = np.minimum(np.searchsorted(self.known, unique), max(0, len(self.known) - 1))
+        new = np.flatnonzero(self.known[at] != unique) if len(self.known) else np.arange(len(unique))
+        if len(new):
+            raw = data.tobytes()
+            self.learn(unique[new], [raw[s:e].decode() for s, e in zip(starts[index[new]].tolist(), ends[index[new]].tolist())])
+            at = np.searchsorted(self.known, unique)
+        begin, n = self.begin[at][back], self.size[at][back]
+        out = np.concatenate(([0], np.cumsum(n)))
+        ids = self.pool[np.arange(out[-1]) + np.repeat(begin - out[:-1], n)]
         row_first = np.searchsorted(starts, offsets)
-        return ids, out_begin[row_first[1:]] - out_begin[row_first[:-1]]
+        return ids, out[row_first[1:]] - out[row_first[:-1]]
+
+
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One per worker process, so that its table serves all its tasks."""
+    return Encoder(path)
 
 
 def _tokenize(path: str, end_id: int):
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         had: dict[int, int] = {}
         part = TaskContext.get().partitionId()
         for whole in batches:
