@@ -9,9 +9,11 @@ registers with a chance below 1e-7; the estimate rejects only beyond six
 standard deviations.
 
 A band shared by many documents does not become all pairs: its members are
-compared with the member that shares most bands with others, linked members
-fall into one component, and only what is still apart is compared on, in blocks
-of bounded size.
+compared with the member that shares most bands with others. Bands that then
+still hold different components join their members to families; a family is
+compared in blocks of bounded size, where a product of incidence matrices
+counts the common shingles of all pairs exactly, and a block returns only links
+between different components, at most one less than it has components.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ MANTISSA = 10
 EMPTY = 0xFFFF
 #: Chance that two different minima get the same register: about one in 2^MANTISSA, as most minima share few zero counts.
 COLLISION = 2.0 ** -MANTISSA
-BLOCK = 256
-HUB_ROUNDS = 2
+BLOCK = 512
+COLUMNS = 4096
 
 
 def shingle_sets(data, offsets, k: int) -> list[np.ndarray]:
@@ -129,26 +131,64 @@ def _alike(k: int, percent: int):
     return run
 
 
-def _blocks(percent: int):
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sorted sets, by products of incidence matrices a few thousand hashes at a time."""
+    def flat(sets):
+        return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    (x, i), (y, j) = flat(left), flat(right)
+    shared = np.intersect1d(x, y)
+    out = np.zeros((len(left), len(right)), np.float32)
+    at = [np.minimum(np.searchsorted(shared, v), max(0, len(shared) - 1)) for v in (x, y)]
+    if len(shared):
+        ok = [shared[p] == v for p, v in zip(at, (x, y))]
+        (p, i), (q, j) = (at[0][ok[0]], i[ok[0]]), (at[1][ok[1]], j[ok[1]])
+        for c in range(0, len(shared), COLUMNS):
+            parts = []
+            for place, owner, n in ((p, i, len(left)), (q, j, len(right))):
+                mine = (place >= c) & (place < c + COLUMNS)
+                m = np.zeros((n, COLUMNS), np.float32)
+                m[owner[mine], place[mine] - c] = 1
+                parts.append(m)
+            out += parts[0] @ parts[1].T
+    return out
+
+
+def _blocks(k: int, percent: int):
     def run(pdf):
         import pandas as pd
-        s = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, REGISTERS)
-        node, label, n, block = (pdf[c].to_numpy() for c in ("node", "label", "n", "block"))
         lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        sides = [pdf[pdf["block"] == b].sort_values("node") for b in (lo, hi)]
+        sets = [[s for at in range(0, len(side), 64) for s in shingle_sets(*ts.utf8(pa.array(side["text"].iloc[at: at + 64], pa.string())), k)] for side in (sides if lo != hi else sides[:1])]
+        left, right = sets[0], sets[-1]
+        both = common(left, right).astype(np.float64)
+        size = [np.array([len(s) for s in x], np.float64) for x in (left, right)]
+        linked = 100 * both >= percent * (size[0][:, None] + size[1][None, :] - both)
+        label = [side["label"].to_numpy() for side in sides]
+        linked &= label[0][:, None] != label[1][None, :]
+        node = [side["node"].to_numpy() for side in sides]
+        root: dict[int, int] = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
         out = []
-        right = np.flatnonzero(block == hi)
-        for i in np.flatnonzero(block == lo):
-            ok = (label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))
-            if lo == hi:
-                ok &= node[right] > node[i]
-            j = right[ok]
-            if len(j):
-                est, slack = estimate(s[j], s[i])
-                out += [(node[i], node[x]) for x in j[est >= percent / 100 - slack]]
-        return pd.DataFrame([(min(p), max(p)) for p in out], columns=["a", "b"])
+        for i, j in zip(*np.nonzero(linked)):
+            a, b = find(label[0][i]), find(label[1][j])
+            if a != b:  # these two components are not yet joined here
+                root[max(a, b)] = min(a, b)
+                out.append((node[0][i], node[1][j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
     return run
 
 
+def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) of every node."""
+    return stored(nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
     """Every row of ``docs`` with its group of near duplicates.
 
@@ -179,53 +219,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     weight = members.groupBy("node").agg(F.sum("c").alias("weight"))
     members = stored(members.join(weight, "node"), "members")
 
-    label = nodes.select("node", F.col("node").alias("label"))
-    edges = tested = None
-    # leave only members of bands that still join different components, then compare them with one more hub
-    left = members.withColumn("label", F.col("node"))
-    for turn in range(HUB_ROUNDS + 1):
-        if turn < HUB_ROUNDS:
-            hubs = left.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("hub"), F.col("label").alias("hub_label")), F.struct("weight", "node")).alias("h"))
-            hubs = hubs.select("key", "h.*")
-            pairs = left.join(hubs, "key").filter("node <> hub and label <> hub_label").select(
-                F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "hub").groupBy("a", "b").agg(F.max("hub").alias("hub"))
-            pairs = pairs.select(F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("hub").alias("b"))
-        else:
-            sized = left.join(nodes, "node").withColumn("of", F.ceil(F.col("c") / BLOCK).cast("int"))
-            sized = sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
-            spread = sized.withColumn("other", F.explode(F.expr("sequence(0, of - 1)"))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-            pairs = spread.select("key", "lo", "hi", "block", "node", "label", "n", "sketch").groupBy("key", "lo", "hi").applyInPandas(_blocks(percent), "a long, b long").distinct()
-        if tested is not None:
-            # a pair is the same in either order
-            flipped = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(flipped, ["a", "b"], "left_anti")
-        sized = nodes.select("node", "n", "sketch")
-        pairs = stored(
-            pairs.join(sized.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-            .join(sized.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-            .filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
-            .mapInArrow(_likely(percent), "a long, b long"), "pairs")
-        texts = base.select(F.col("_row").alias("node"), F.col("doc.text").alias("text"))
-        found = (
-            pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-            .mapInArrow(_alike(k, percent), "a long, b long")
-        )
-        found = stored(found, "links")
-        edges = found if edges is None else edges.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        linked = components(edges)
-        label = stored(nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-        if turn == HUB_ROUNDS:
-            break
-        now = members.join(label, "node")
-        apart = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-        # in a band of two, the one pair has been tested
-        used = hubs.select("key", F.col("hub").alias("node"))
-        left = now.filter("c > 2").join(apart, "key")
-        left = stored(left.join(used, ["key", "node"], "left_anti") if turn + 1 < HUB_ROUNDS else left, "apart")
-        if left.isEmpty():
-            break
+    texts = base.select(F.col("_row").alias("node"), F.col("doc.text").alias("text"))
+    hubs = members.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("b"))
+    pairs = members.join(hubs, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    sized = nodes.select("node", "n", "sketch")
+    pairs = stored(
+        pairs.join(sized.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+        .join(sized.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+        .filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
+        .mapInArrow(_likely(percent), "a long, b long"), "pairs")
+    links = stored(
+        pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        .mapInArrow(_alike(k, percent), "a long, b long"), "links")
+
+    # what bands still hold apart; in a band of two the one pair has been tested
+    label = _labels(nodes, links)
+    now = members.filter("c > 2").join(label, "node")
+    apart = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("node").alias("a")).filter("x <> y").select("key", "a")
+    apart = stored(members.join(apart, "key").select("a", F.col("node").alias("b")).distinct(), "apart")
+    family = components(apart).withColumnRenamed("label", "family").join(label, "node").select("node", "label", "family")
+    family = stored(family, "families")
+    sizes = family.groupBy("family").agg(F.count("*").alias("c"))
+    placed = family.join(sizes, "family").withColumn("of", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, of - 1)"))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    more = placed.join(texts, "node").select("family", "lo", "hi", "block", "node", "label", "text").groupBy("family", "lo", "hi").applyInPandas(_blocks(k, percent), "a long, b long")
+    label = _labels(nodes, stored(links.union(more), "all-links"))
 
     ids = base.join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).join(label, "node").select("_row", "label", "doc_id")
     lowest = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
