@@ -5,15 +5,15 @@ register keeps its smallest hash as a count of leading zeros plus mantissa bits
 (two bytes). Bands of registers propose pairs, the collision-corrected estimate
 over all registers thins them, and exact Jaccard on the full shingle sets
 confirms each. At a similarity of 0.85 a pair misses all 24 bands of 4
-registers with a chance below 1e-7; the estimate rejects only beyond six
-standard deviations.
+registers with a chance below 1e-7; the estimate rejects only beyond five
+standard errors.
 
 A band shared by many documents does not become all pairs: its members are
-compared with the member that shares most bands with others. Bands that then
-still hold different components join their members to families; a family is
-compared in blocks of bounded size, where a product of incidence matrices
-counts the common shingles of all pairs exactly, and a block returns only links
-between different components, at most one less than it has components.
+compared with the member that shares most bands with others. In bands that then
+still hold different components, members whose estimates allow a link join to
+families, and a family is compared in blocks of bounded size, where a product
+of incidence matrices counts the common shingles of all pairs exactly. Either
+step returns a spanning forest of each block and not its pairs.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     used = (a != EMPTY) | (b != EMPTY)
     n = np.maximum(used.sum(-1), 1)
     raw = ((a == b) & used).sum(-1) / n
-    return (raw - COLLISION) / (1 - COLLISION), 6 * np.sqrt(0.13 / n)
+    return (raw - COLLISION) / (1 - COLLISION), 5 * np.sqrt(0.13 / n)
 
 
 def _sketch(k: int):
@@ -154,6 +154,25 @@ def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _families(percent: int):
+    """Of one block pair of a band: links enough to join all members whose estimates allow one, between components only."""
+    def run(rows: pa.Table) -> pa.Table:
+        lo, hi = rows["lo"][0].as_py(), rows["hi"][0].as_py()
+        s = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        node, label, n, block = (rows[c].to_numpy() for c in ("node", "label", "n", "block"))
+        out, joined, right = [], np.arange(len(node)), np.flatnonzero(block == hi)
+        for i in np.flatnonzero(block == lo):
+            j = right[(label[right] != label[i]) & (joined[right] != joined[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+            if len(j):
+                est, slack = estimate(s[j], s[i])
+                for x in j[est >= percent / 100 - slack]:
+                    if joined[x] != joined[i]:
+                        out.append((node[i], node[x]))
+                        joined[joined == joined[x]] = joined[i]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+    return run
+
+
 def _blocks(k: int, percent: int):
     def run(pdf):
         import pandas as pd
@@ -184,6 +203,12 @@ def _blocks(k: int, percent: int):
     return run
 
 
+def _in_blocks(rows: DataFrame, group: str, size) -> DataFrame:
+    """Each row once for every pair of blocks of its group that it is part of; a block holds about BLOCK nodes."""
+    cut = rows.withColumn("of", F.ceil(size / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    return cut.withColumn("other", F.explode(F.expr("sequence(0, of - 1)"))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+
+
 def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label) of every node."""
     return stored(nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
@@ -236,14 +261,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame
     # what bands still hold apart; in a band of two the one pair has been tested
     label = _labels(nodes, links)
     now = members.filter("c > 2").join(label, "node")
-    apart = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("node").alias("a")).filter("x <> y").select("key", "a")
-    apart = stored(members.join(apart, "key").select("a", F.col("node").alias("b")).distinct(), "apart")
-    family = components(apart).withColumnRenamed("label", "family").join(label, "node").select("node", "label", "family")
+    apart = now.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    open_ = _in_blocks(now.join(apart, "key").join(sized, "node"), "key", F.col("c"))
+    # numbered partitions: small rows that cost much work are not to be merged into few tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    open_ = open_.select("key", "lo", "hi", "block", "node", "label", "n", "sketch").repartition(tasks, "key", "lo", "hi")
+    likely = stored(open_.groupBy("key", "lo", "hi").applyInArrow(_families(percent), "a long, b long").distinct(), "likely")
+    family = components(likely).withColumnRenamed("label", "family").join(label, "node").select("node", "label", "family")
     family = stored(family, "families")
     sizes = family.groupBy("family").agg(F.count("*").alias("c"))
-    placed = family.join(sizes, "family").withColumn("of", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, of - 1)"))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    more = placed.join(texts, "node").select("family", "lo", "hi", "block", "node", "label", "text").groupBy("family", "lo", "hi").applyInPandas(_blocks(k, percent), "a long, b long")
+    placed = _in_blocks(family.join(sizes, "family"), "family", F.col("c")).join(texts, "node")
+    placed = placed.select("family", "lo", "hi", "block", "node", "label", "text").repartition(tasks, "family", "lo", "hi")
+    more = placed.groupBy("family", "lo", "hi").applyInPandas(_blocks(k, percent), "a long, b long")
     label = _labels(nodes, stored(links.union(more), "all-links"))
 
     ids = base.join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).join(label, "node").select("_row", "label", "doc_id")
