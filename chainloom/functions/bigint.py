@@ -21,17 +21,32 @@ def _limb(word: Column, start: int) -> Column:
     return F.conv(F.substring(word, start, 8), 16, 10).cast("decimal(10,0)")
 
 
-def word_to_decimal(word: Column, signed: bool = False) -> Column:
-    """A 64-digit word as DECIMAL(38,0); null when the value has more than 38 digits.
+#: 10^38 and the largest flipped word of a negative number that 38 digits hold, as 32 hex digits.
+TOO_BIG = f"{10**38:032x}"
+TOO_SMALL = f"{10**38 - 1:032x}"
 
-    Four 32-bit limbs cover the low half; the high half must be the sign's fill
-    and the result must fit, otherwise the caller keeps the limb form.
-    """
+
+def _flipped(word: Column) -> Column:
+    return F.translate(F.lower(word), "0123456789abcdef", "fedcba9876543210")
+
+
+def fits_decimal(word: Column, signed: bool = False) -> Column:
+    """Whether a 64-digit word is an integer of at most 38 digits."""
+    def low_enough(x: Column, limit: str) -> Column:
+        return (F.substring(x, 1, 32) == "0" * 32) & (F.substring(x, 33, 32) < limit)
+
+    plain = low_enough(F.lower(word), TOO_BIG)
+    if not signed:
+        return plain
+    return F.when(F.lower(F.substring(word, 1, 1)).isin(*"89abcdef"), low_enough(_flipped(word), TOO_SMALL)).otherwise(plain)
+
+
+def word_to_decimal(word: Column, signed: bool = False) -> Column:
+    """A 64-digit word as DECIMAL(38,0); null when the value has more than 38 digits (see ``fits_decimal``)."""
     low = F.substring(word, 33, 32)
     two32 = F.lit(2**32).cast("decimal(10,0)")
 
     def value(text: Column) -> Column:
-        # the top limb alone may pass 38 digits (2^126 has 38): it must stay below 2^30
         acc = _limb(text, 1).cast(BIG)
         for at in (9, 17, 25):
             acc = (acc * two32 + _limb(text, at)).cast(BIG)
@@ -40,13 +55,10 @@ def word_to_decimal(word: Column, signed: bool = False) -> Column:
     # values below 2^120, nearly all there are, take two conversions
     pair = (F.conv(F.substring(word, 35, 15), 16, 10).cast("decimal(19,0)") * F.lit(2**60).cast("decimal(19,0)")
             + F.conv(F.substring(word, 50, 15), 16, 10).cast("decimal(19,0)")).cast(BIG)
-    fits = F.conv(F.substring(low, 1, 8), 16, 10).cast("bigint") < 2**30
-    plain = F.when(F.substring(word, 1, 34) == "0" * 34, pair).when((F.substring(word, 1, 32) == "0" * 32) & fits, value(low))
+    plain = F.when(F.substring(word, 1, 34) == "0" * 34, pair).when(fits_decimal(word), value(low))
     if not signed:
         return plain
-    flipped = F.translate(F.lower(low), "0123456789abcdef", "fedcba9876543210")
-    flip_fits = F.conv(F.substring(flipped, 1, 8), 16, 10).cast("bigint") < 2**30
-    negative = F.when((F.lower(F.substring(word, 1, 32)) == "f" * 32) & flip_fits, (negated(value(flipped)) - F.lit(1).cast("decimal(1,0)")).cast(BIG))
+    negative = F.when(fits_decimal(word, True), (negated(value(_flipped(low))) - F.lit(1).cast("decimal(1,0)")).cast(BIG))
     return F.when(F.lower(F.substring(word, 1, 1)).isin(*"89abcdef"), negative).otherwise(plain)
 
 

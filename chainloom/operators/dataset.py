@@ -156,7 +156,7 @@ def audit_sample(rows: DataFrame, n: int = 60, seed: int = 0) -> DataFrame:
     """n labelled training questions in a seeded order, to be read by hand."""
     flat = rows.filter("split = 'train'").select("state", F.explode("questions").alias("qid", "q"), "gold").filter("qid <> 'lane'")
     g = F.element_at("gold", F.col("qid"))
-    x = flat.select("state", "qid", F.substring("q", len(V.RULE_PREFIX) + 1, 1000).alias("question"),
+    x = flat.select("state", "qid", F.substr("q", F.lit(len(V.RULE_PREFIX) + 1)).alias("question"),
                     (F.element_at(g, "true") > F.element_at(g, "false")).alias("yes"))
     return x.orderBy(seeded(seed, F.col("state"), F.col("qid")), "state", "qid").limit(n)
 

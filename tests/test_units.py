@@ -366,3 +366,21 @@ def test_a_hot_address_keeps_every_row(spark):
     assert total["out_count"] == 10000 and int(total["out_value"]) == 10000
     page = Q.recent_page(moves, 1000).filter("address = 'hot'")
     assert page.count() == 1000 and page.agg(F.min("block_number")).first()[0] == 29997 - 3 * 999
+
+
+def test_no_integer_is_lost_in_silence(spark):
+    from chainloom.functions import bigint as B
+    from chainloom.operators import decode as D
+    values = [0, 1, 2**120 - 1, 2**126 - 1, 2**126, 10**38 - 1, 10**38, 2**128, 2**256 - 1]
+    signed = [-1, -(2**126), -(10**38) + 1, -(10**38), -(2**255), 2**255 - 1]
+    word = lambda v: f"{v % 2**256:064x}"
+    logs = spark.createDataFrame([(i, "0x" + word(v), ["0xaa"]) for i, v in enumerate(values + signed)], "i int, data string, topics array<string>")
+    for kind, mine in (("uint256", range(len(values))), ("int256", range(len(values), len(values + signed)))):
+        got = {r.i: r for r in D.decode_logs(logs, [("value", kind, False)]).select("i", "row", "error").collect()}
+        for i in mine:
+            v = (values + signed)[i]
+            if abs(v) < 10**38:
+                assert got[i].error is None and int(got[i].row.value) == v
+            else:
+                assert got[i].row is None and got[i].error == "integer has more than 38 digits"
+    assert B.TOO_BIG == "4b3b4ca85a86c47a098a224000000000"
