@@ -37,10 +37,10 @@ def normalize(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), "^ | $", "")
 
 
-def avoided(text: Column, words: list[str]) -> Column:
-    """Whether a lower-cased text holds any of the words."""
+def avoided(text: Column, words: Column) -> Column:
+    """Whether a lower-cased text holds any word of an array."""
     low = F.lower(text)
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
+    return F.exists(words, lambda w: F.contains(low, w))
 
 
 MIN_CHARS, MAX_CHARS = 6, 160

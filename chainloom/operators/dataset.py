@@ -71,21 +71,21 @@ def pick_phrasings(chosen: DataFrame, phrasings: DataFrame, each: int = 2, seed:
     return x.withColumn("qid", F.concat_ws(".", "topic", F.col("k").cast("string"))).drop("k")
 
 
-def add_nonsense(states: DataFrame, n_rules: int, questions: list[str], share: float = 0.05, seed: int = 0) -> DataFrame:
-    """int(n_rules * share) extra questions answered no, each on a state drawn with replacement.
+def add_nonsense(states: DataFrame, n_rules: int, questions: DataFrame, share: float = 0.05, seed: int = 0) -> DataFrame:
+    """int(n_rules * share) extra questions answered no, state and question each drawn with replacement.
 
-    States get dense positions, so a draw is a join on a number and any count
-    of draws is spread over the cluster.
+    States and the distinct texts of ``questions(text)`` get dense positions, so a
+    draw is a join on two numbers and any count of draws is spread over the cluster.
     """
-    spark = states.sparkSession
-    places = global_rank(states.select("state").distinct(), ["state"])
-    n = places.agg(F.count("*")).scalar()
+    places = global_rank(states.select("state").distinct(), ["state"], "_s")
+    asked = global_rank(questions.select("text").distinct(), ["text"], "_q")
     k = F.col("id").cast("string")
-    draws = spark.range(int(n_rules * share)).select(
-        F.concat(F.lit("nonsense."), k).alias("qid"), F.pmod(hash32(F.concat_ws("|", F.lit(f"{seed}s"), k)), n).alias("rank"),
-        F.element_at(F.array(*[F.lit(q) for q in questions]),
-                     (F.pmod(hash32(F.concat_ws("|", F.lit(f"{seed}q"), k)), F.lit(len(questions))) + 1).cast("int")).alias("text"))
-    return draws.join(places, "rank").select("state", "qid", "text", F.lit(False).alias("yes"))
+
+    def drawn(mark: str, bank: DataFrame) -> Column:
+        return F.pmod(hash32(F.concat_ws("|", F.lit(f"{seed}{mark}"), k)), bank.agg(F.count("*")).scalar())
+    draws = states.sparkSession.range(int(n_rules * share)).select(
+        F.concat(F.lit("nonsense."), k).alias("qid"), drawn("s", places).alias("_s"), drawn("q", asked).alias("_q"))
+    return draws.join(places, "_s").join(asked, "_q").select("state", "qid", "text", F.lit(False).alias("yes"))
 
 
 def noul_gold(yes: Column, smooth: float = SMOOTH) -> Column:
@@ -161,18 +161,32 @@ def audit_sample(rows: DataFrame, n: int = 60, seed: int = 0) -> DataFrame:
     return x.orderBy(seeded(seed, F.col("state"), F.col("qid")), "state", "qid").limit(n)
 
 
-def leaks(rows: DataFrame, forbidden: DataFrame, words: list[str]) -> DataFrame:
-    """Adds ``leaked`` (the normalised text is a forbidden one) and ``avoided`` (it holds an avoided word)."""
+def leaks(rows: DataFrame, forbidden: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds ``leaked`` (the normalised text is a forbidden one) and ``avoided`` (it holds an avoided word).
+
+    ``words(word)`` is a short vocabulary written by hand: its distinct words travel as one array.
+    """
     bad = forbidden.select(normalize(F.col("text")).alias("_n")).distinct().withColumn("leaked", F.lit(True))
-    x = rows.withColumn("_n", normalize(F.col("text"))).join(bad, "_n", "left")
-    return x.withColumn("leaked", F.coalesce("leaked", F.lit(False))).withColumn("avoided", avoided(F.col("text"), words)).drop("_n")
+    listed = words.select("word").distinct().agg(F.collect_list("word")).scalar()
+    x = rows.withColumn("_n", normalize(F.col("text"))).join(bad, "_n", "left").withColumn("_w", listed)
+    return x.withColumn("leaked", F.coalesce("leaked", F.lit(False))).withColumn("avoided", avoided(F.col("text"), F.col("_w"))).drop("_n", "_w")
 
 
-def replay_sample(stories: DataFrame, questions: list[str], each: int = 6, seed: int = 0) -> DataFrame:
-    """``each`` distinct questions per story, drawn inside the row: the same ones for the same seed."""
-    asked = F.array(*[F.lit(q) for q in questions])
-    order = F.array_sort(F.transform(asked, lambda q: F.struct(seeded(seed, F.col("story"), q).alias("h"), q.alias("q"))))
-    return stories.select("story", F.explode(F.transform(F.slice(order, 1, each), lambda s: s["q"])).alias("question"))
+def replay_sample(stories: DataFrame, questions: DataFrame, each: int = 6, seed: int = 0) -> DataFrame:
+    """``each`` distinct questions per story, or all if there are fewer: the same ones for the same seed.
+
+    The distinct texts of ``questions(text)`` stand in a seeded order; a story
+    starts at a place of its own and takes equal strides, so every draw is a join
+    on a dense number, however long the bank is.
+    """
+    bank = questions.select("text").distinct().withColumn("_h", seeded(seed, F.col("text")))
+    bank = global_rank(bank, ["_h", "text"], "_at").select("_at", F.col("text").alias("question"))
+    n = F.col("_n")
+    turns = F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("_j")
+    x = stories.withColumn("_n", bank.agg(F.count("*")).scalar()).select("story", "_n", turns).filter(F.col("_j") < n)
+    start = hash32(F.concat_ws("|", F.lit(f"{seed}r"), "story"))
+    at = F.pmod(start + F.col("_j") * F.greatest(F.lit(1), F.floor(n / each)), n)
+    return x.withColumn("_at", at).join(bank, "_at").select("story", "question")
 
 
 def replay_answers(sample: DataFrame, scorer: Callable[[str, list[str]], list[float]], chunk: int = 16) -> DataFrame:

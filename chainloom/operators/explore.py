@@ -415,18 +415,27 @@ def move_struct() -> Column:
 
 
 def _messages(rows: DataFrame) -> DataFrame:
-    """Nested moves per block, in log order; rows are already bounded by the read's cap."""
+    """Nested moves per block, in log order; a block holds a bounded number of logs."""
     return rows.groupBy(F.col("block_number").alias("n")).agg(
         F.min(F.unix_timestamp("block_time")).alias("t"), F.array_sort(F.collect_list(move_struct())).alias("moves"))
 
 
-def block_messages(transfers: DataFrame, insights: DataFrame, lo: Column | int, hi: Column | int, cap: int = 50_000) -> DataFrame:
-    """One message per block of (lo, hi], at most ``cap`` movements per read; ``cut`` warns that the cap was met."""
-    rows = transfers.filter((F.col("block_number") > lo) & (F.col("block_number") <= hi)).orderBy("block_number", "log_index").limit(cap)
-    rows = rows.join(insights.select("block_number", "log_index", "lane"), ["block_number", "log_index"], "left")
-    out = _messages(rows)
-    total = F.sum(F.size("moves")).over(Window.partitionBy())  # over at most cap blocks
-    return out.withColumn("cut", total >= cap)
+def page_end(transfers: DataFrame, lo: Column | int, hi: Column | int, cap: int = 50_000) -> Column:
+    """The last block of a page of (lo, hi]: whole blocks of at most ``cap`` movements together, one block at least.
+
+    A reader goes on with this block as its next ``lo``, so no page loses a movement.
+    """
+    n = F.col("block_number")
+    first = transfers.filter((n > lo) & (n <= hi)).select(n).orderBy(n).limit(cap + 1)
+    whole = F.when(F.count("*") <= cap, F.lit(hi)).otherwise(F.greatest(F.max(n) - 1, F.min(n)))
+    return first.agg(whole).scalar()
+
+
+def block_messages(transfers: DataFrame, insights: DataFrame, lo: Column | int, hi: Column | int) -> DataFrame:
+    """One message per block of (lo, hi] with all its movements; ``page_end`` gives ranges of bounded size."""
+    inside = (F.col("block_number") > lo) & (F.col("block_number") <= hi)
+    lanes = insights.filter(inside).select("block_number", "log_index", "lane")
+    return _messages(transfers.filter(inside).join(lanes, ["block_number", "log_index"], "left"))
 
 
 def catch_up(rows: DataFrame, max_gap: int = 600, tail: int = 150) -> DataFrame:

@@ -244,11 +244,15 @@ _HOLES = "live_scored s ON s.block_number = m.block_number AND s.log_index = m.l
 
 
 @query("q13_block_messages", sql(["moves", "live_scored"], f"""
-WITH c AS (SELECT * FROM moves WHERE block_number > -1 ORDER BY block_number, log_index LIMIT 50000)
+WITH f AS (SELECT block_number FROM moves ORDER BY block_number LIMIT 20001),
+e AS (SELECT CASE WHEN count(*) <= 20000 THEN 1099511627776 ELSE greatest(max(block_number) - 1, min(block_number)) END AS page_end FROM f)
 SELECT m.block_number AS n, CAST(min(epoch(m.block_time)) AS BIGINT) AS t, string_agg({_MOVE}, '; ' ORDER BY m.log_index) AS moves,
-  sum(count(*)) OVER () >= 50000 AS cut FROM c m LEFT JOIN {_HOLES} GROUP BY 1"""))
+  m.block_number > (SELECT page_end FROM e) AS later_page FROM moves m LEFT JOIN {_HOLES} GROUP BY 1"""))
 def q13(spark, sf):
-    return out_messages(X.block_messages(T.moves(spark, sf), lanes_with_holes(spark, sf), -1, 1 << 40), "cut")
+    """All blocks; ``later_page`` marks those behind the first page of 20,000 movements."""
+    moves = T.moves(spark, sf)
+    messages = X.block_messages(moves, lanes_with_holes(spark, sf), -1, 1 << 40)
+    return out_messages(messages.withColumn("later_page", F.col("n") > X.page_end(moves, -1, 1 << 40, cap=20_000)), "later_page")
 
 
 @query("q14_catch_up", """
@@ -388,5 +392,5 @@ def q23(spark, sf):
     moves = T.moves(spark, sf)
     newest = moves.agg(F.max("block_number").alias("b")).first()["b"]
     lanes = stored(lanes_with_holes(spark, sf).select("block_number", "log_index", "lane"), "lanes")
-    messages = X.block_messages(moves, lanes, newest - 5000, newest, cap=1 << 30)
+    messages = X.block_messages(moves, lanes, newest - 5000, newest)
     return out_messages(X.resume_after(messages, X.latest_moves(moves, lanes), newest - 100, F.lit(newest - 4000)))
