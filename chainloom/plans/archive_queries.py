@@ -62,11 +62,12 @@ WITH p AS (SELECT {PROGRESS} FROM events), q AS (SELECT id, greatest(head - 2, 0
 r AS (SELECT id, seen, coalesce(cursor, seen) AS c FROM q)
 SELECT id, CASE WHEN seen < c THEN NULL WHEN seen - c + 1 > 600 THEN seen ELSE c END AS lo,
   CASE WHEN seen < c THEN NULL WHEN seen - c + 1 > 600 THEN seen ELSE least(seen, c + 199) END AS hi,
-  CASE WHEN seen >= c AND seen - c + 1 > 600 THEN seen - c ELSE 0 END AS skipped FROM r"""))
+  CASE WHEN seen >= c AND seen - c + 1 > 600 THEN seen - c ELSE 0 END AS skipped,
+  CASE WHEN seen > c AND seen - c + 1 > 600 THEN c END AS skipped_lo, CASE WHEN seen > c AND seen - c + 1 > 600 THEN seen - 1 END AS skipped_hi FROM r"""))
 def src3(spark, sf):
     progress = T.table(spark, sf, "events").selectExpr(*[p.strip() for p in (
         "event_id AS id", "CASE WHEN user_id % 11 = 0 THEN NULL ELSE event_id - (user_id * 13) % 900 END AS cursor", "event_id AS head")])
-    return L.bounded_range(progress).select("id", "lo", "hi", "skipped")
+    return L.bounded_range(progress).select("id", "lo", "hi", "skipped", "skipped_lo", "skipped_hi")
 
 
 def _starts(spark, sf):

@@ -241,11 +241,14 @@ def dec17(spark, sf):
         "block_number", "log_index", "from_id", "to_id")
 
 
-@query("dec18_union_events", sql(["transfers", "swaps", "modifies"], """
+@query("dec18_union_events", sql(["transfers", "swaps", "modifies", "donates", "inits"], """
 SELECT 'transfer' AS table_name, block_number, tx_hash, log_index, from_addr, to_addr, CAST(value AS VARCHAR) AS value FROM transfers
 UNION ALL SELECT 'swap', block_number, tx_hash, log_index, NULL, NULL, NULL FROM swaps
-UNION ALL SELECT 'modify', block_number, tx_hash, log_index, NULL, NULL, NULL FROM modifies"""))
+UNION ALL SELECT 'modify', block_number, tx_hash, log_index, NULL, NULL, NULL FROM modifies
+UNION ALL SELECT 'donate', block_number, tx_hash, log_index, NULL, NULL, NULL FROM donates
+UNION ALL SELECT 'initialize', block_number, tx_hash, log_index, NULL, NULL, NULL FROM inits"""))
 def dec18(spark, sf):
-    tables = [("transfer", T.transfers(spark, sf), True), ("swap", T.swaps(spark, sf), False), ("modify", T.modifies(spark, sf), False)]
+    tables = [("transfer", T.transfers(spark, sf), True), ("swap", T.swaps(spark, sf), False), ("modify", T.modifies(spark, sf), False),
+              ("donate", T.donates(spark, sf), False), ("initialize", T.inits(spark, sf).withColumn("contract_no", F.lit(0)), False)]
     return E.union_events(tables, 0, 1 << 40).select(
         "table_name", "block_number", "tx_hash", "log_index", "from_addr", "to_addr", num("value")).orderBy("block_number", "log_index")

@@ -384,3 +384,23 @@ def test_no_integer_is_lost_in_silence(spark):
             else:
                 assert got[i].row is None and got[i].error == "integer has more than 38 digits"
     assert B.TOO_BIG == "4b3b4ca85a86c47a098a224000000000"
+
+
+def test_pages_of_whole_blocks_lose_no_movement(spark):
+    sizes = {1: 3, 2: 2, 4: 9, 5: 1, 6: 1}
+    rows = spark.createDataFrame([(b, i) for b, n in sizes.items() for i in range(n)], "block_number bigint, log_index int")
+    lo, pages = 0, []
+    while lo < 6:
+        hi = rows.sparkSession.range(1).select(Q.page_end(rows, lo, 6, cap=5)).first()[0]
+        assert hi > lo
+        pages.append(rows.filter((F.col("block_number") > lo) & (F.col("block_number") <= hi)).count())
+        lo = hi
+    assert pages == [5, 9, 2]  # a block larger than a page is read whole
+
+
+def test_replay_questions_are_distinct_and_few_banks_are_used_up(spark):
+    stories = spark.createDataFrame([(f"s{i}",) for i in range(40)], "story string")
+    for size, each in ((0, 0), (4, 4), (6, 6), (100, 6)):
+        bank = spark.createDataFrame([(f"q{i}",) for i in range(size)] * 2, "text string")
+        got = S.replay_sample(stories, bank).collect()
+        assert len(got) == len(set(got)) == 40 * each
