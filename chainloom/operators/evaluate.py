@@ -10,48 +10,62 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 from ..functions.facts import fact_lane
 from ..streaming.live import logit
+from .ranking import latest_per_key, total_before
 
 MIN_COUNT = 10
 MIN_SEPARATION = 0.12
 
 
-def _ranked(scores: DataFrame) -> DataFrame:
-    """A question's answers over the probe set, sorted; the set is fixed, so the list is small."""
-    return scores.groupBy("question").agg(F.array_sort(F.collect_list("p")).alias("s"))
-
-
 def yes_line(scores: DataFrame) -> DataFrame:
-    """Where yes starts: the log-odds midpoint of the second lowest and second highest probe answer."""
-    low, high = logit(F.try_element_at("s", F.lit(2))), logit(F.try_element_at("s", F.lit(-2)))
-    line = 1 / (1 + F.exp(-(low + high) / 2))
-    return _ranked(scores).select("question", F.when(F.size("s") < 4, 0.5).otherwise(
+    """Where yes starts: the log-odds midpoint of the second lowest and second highest probe answer.
+
+    Both ranks are cut to two before the shuffle, however many answers a question has.
+    """
+    answers = scores.filter("p IS NOT NULL").select("question", "p")
+
+    def second(order: Column, name: str) -> DataFrame:
+        return latest_per_key(answers, ["question"], [order], 2).filter("rn = 2").select("question", F.col("p").alias(name))
+    x = scores.groupBy("question").agg(F.count("p").alias("n"))
+    x = x.join(second(F.col("p").asc(), "low"), "question", "left").join(second(F.col("p").desc(), "high"), "question", "left")
+    line = 1 / (1 + F.exp(-(logit(F.col("low")) + logit(F.col("high"))) / 2))
+    return x.select("question", F.when(F.col("n") < 4, 0.5).otherwise(
         F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.01), line)), 4)).alias("line"))
 
 
 def separation(scores: DataFrame, accept: float = MIN_SEPARATION) -> DataFrame:
-    """Mean of the top fifth minus mean of the bottom fifth, at least two answers each."""
-    n = F.size("s")
-    edge = F.greatest(F.lit(2), F.floor(n / 5)).cast("int")
+    """Mean of the top fifth minus mean of the bottom fifth, at least two answers each.
+
+    Answers are counted per distinct score; a score's place among its question's
+    answers says how many of them lie in either fifth.
+    """
+    per = scores.groupBy("question", "p").agg(F.count("p").alias("c"))
+    sizes = per.groupBy("question").agg(F.sum("c").alias("n"))
+    x = total_before(per, ["question", "p"], "c")
+    first = x.groupBy("question").agg(F.min("before").alias("_first"))
+    x = x.join(sizes.join(first, "question"), "question")
+    edge, at, c = F.greatest(F.lit(2), F.floor(F.col("n") / 5)), F.col("before") - F.col("_first"), F.col("c")
 
-    def total(part):
-        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x) / edge
-    gap = total(F.slice("s", F.greatest(n - edge + 1, F.lit(1)), edge)) - total(F.slice("s", F.lit(1), edge))
-    return _ranked(scores).select("question", gap.alias("separation")).withColumn("accepted", F.col("separation") >= accept)
+    def total(share):
+        return F.coalesce(F.sum(F.col("p") * F.least(c, F.greatest(F.lit(0), share))), F.lit(0.0))
+    gap = (total(at + c - (F.col("n") - edge)) - total(edge - at)) / F.max(edge)
+    return x.groupBy("question").agg(gap.alias("separation")).withColumn("accepted", F.col("separation") >= accept)
 
 
 def auc(scores: DataFrame, by: str = "question") -> DataFrame:
     """Rank-sum AUC with midranks over (by, p, label).
 
-    Rows are first counted per distinct score (answers have three or four
-    digits, so a question has at most ten thousand), and only those counts are
-    put in order: no task sorts a question's rows.
+    Rows are first counted per distinct score, and the noes before a score come
+    from one distributed order of those counts: no task holds a question's scores.
     """
     per = scores.groupBy(by, "p").agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
-    below = Window.partitionBy(by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    x = per.withColumn("less", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    won = F.sum(F.col("pos") * (F.col("less") + F.col("neg") / 2))
-    return x.groupBy(by).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), won.alias("_won")).select(
-        by, "pos", "neg", F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("_won") / (F.col("pos") * F.col("neg"))).alias("auc"))
+    x = total_before(per, [by, "p"], "neg")
+
+    def product(a: Column, b: Column) -> Column:  # exact: products of two counts pass 64 bits
+        return a.cast("decimal(18,0)") * b.cast("decimal(19,0)")
+    twice = F.sum(product(F.col("pos"), 2 * F.col("before") + F.col("neg"))) - product(F.sum("pos"), 2 * F.min("before"))
+    pairs = F.col("pos").cast("double") * F.col("neg")
+    return x.groupBy(by).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), (twice.cast("double") / 2).alias("_won")).select(
+        by, "pos", "neg", F.when(pairs > 0, F.col("_won") / pairs).alias("auc"))
 
 
 def tally(scores: DataFrame, truths: DataFrame, lines: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:

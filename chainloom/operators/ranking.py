@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 
+def _spread_in_order(df: DataFrame, order: list) -> DataFrame:
+    """Rows in range partitions, the partition's number as ``_part``; written once, so that all readers see the same partitions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+
+
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     """Zero-based position of every row in a total order, without a one-task window.
 
@@ -17,12 +23,8 @@ def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     see the same partitions even when an executor is lost in between.
     ``order`` must be a total order: that is what lets a range split any hot value.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = (
-        df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("bigint"), 33))
-    )
+    placed = _spread_in_order(df, order).withColumn(
+        "_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("bigint"), 33))
     placed = stored(placed, "rank")
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -35,6 +37,23 @@ def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     )
 
 
+def total_before(df: DataFrame, order: list, measure: str, name: str = "before") -> DataFrame:
+    """Sum of ``measure`` over all rows that come earlier in a total order.
+
+    As ``global_rank``: each range partition sums its own rows, and the sums of
+    the partitions before it (one small row each) are added.
+    """
+    placed = stored(_spread_in_order(df, order), "totals")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("_part").agg(F.sum(measure).alias("_n"))
+    offsets = sums.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        placed.withColumn("_in", F.coalesce(F.sum(measure).over(inside), F.lit(0))).join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+    )
+
+
 # log_index is a 31-bit integer and unique within its block, so a group of logs
 # cut into pieces of this many holds at most 2^16 rows in a piece and 2^15 pieces.
 LOGS_PER_PIECE = 1 << 16

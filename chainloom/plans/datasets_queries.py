@@ -242,17 +242,19 @@ def set13(spark, sf):
 
 
 @query("snk7_training_rows", f"""
-WITH {_ROWS}, e AS (SELECT DISTINCT CASE WHEN v.val THEN 'val' ELSE 'train' END AS split, state FROM flat JOIN val v ON v.shape = flat.shape
-  UNION ALL SELECT 'val', ln.shape FROM ln JOIN val v ON v.shape = ln.shape WHERE v.val
-  UNION ALL SELECT 'train', ln.shape FROM ln JOIN val v ON v.shape = ln.shape, (SELECT unnest([1, 2, 3])) t WHERE NOT v.val)
-SELECT split, state, count(*) AS n FROM e GROUP BY 1, 2""")
+WITH {_ROWS} SELECT CASE WHEN v.val THEN 'val' ELSE 'train' END AS split, state, qid, '{V.RULE_PREFIX}' || text AS question, 'true' AS key, round(p, 9) AS p, 1::BIGINT AS copies FROM flat JOIN val v ON v.shape = flat.shape
+UNION ALL SELECT CASE WHEN v.val THEN 'val' ELSE 'train' END, ln.shape, 'lane', '{V.LANE_QUESTION}', k, round(CASE WHEN k = ln.lane THEN 0.95 ELSE 0.05 / 7 END::DOUBLE, 9), CASE WHEN v.val THEN 1 ELSE 3 END
+FROM ln JOIN val v ON v.shape = ln.shape, (SELECT unnest({texts(V.LANES)}) AS k) l
+UNION ALL SELECT CASE WHEN v.val THEN 'val' ELSE 'train' END, state, qid, '{V.RULE_PREFIX}' || text, 'false', round(1 - p, 9), 1 FROM flat JOIN val v ON v.shape = flat.shape""")
 def snk7(spark, sf):
-    """The data set of capped topic questions would be written the same way; these are the labelled documents."""
+    """Every question and gold answer of the written rows, read back; the labelled documents stand for stories."""
     rows = S.assemble_rows(*asked(spark, sf))
     path = new_folder(spark, "rows")
     A.write_rows(rows, path)
     back = spark.read.schema("state string, questions map<string,string>, gold map<string,map<string,double>>, split string").json(path)
-    return back.groupBy("split", "state").agg(F.count("*").alias("n"))
+    flat = back.select("split", "state", F.explode("questions").alias("qid", "question"), "gold")
+    flat = flat.select("split", "state", "qid", "question", F.explode(F.element_at("gold", F.col("qid"))).alias("key", "p"))
+    return flat.groupBy("split", "state", "qid", "question", "key", F.round("p", 9).alias("p")).agg(F.count("*").alias("copies"))
 
 
 @query("set3_story_questions", sql(["live"], f"""

@@ -14,6 +14,7 @@ from chainloom.operators import catalog as C
 from chainloom.operators import dataset as S
 from chainloom.operators import decode as D
 from chainloom.operators import enrich as E
+from chainloom.operators import evaluate as EV
 from chainloom.operators import explore as Q
 from chainloom.operators import lanes as N
 from chainloom.operators import ranking as R
@@ -404,3 +405,18 @@ def test_replay_questions_are_distinct_and_few_banks_are_used_up(spark):
         bank = spark.createDataFrame([(f"q{i}",) for i in range(size)] * 2, "text string")
         got = S.replay_sample(stories, bank).collect()
         assert len(got) == len(set(got)) == 40 * each
+
+
+def test_separation_and_auc_equal_a_plain_count(spark):
+    rng = random.Random(5)
+    rows = [(f"q{n}", round(rng.random() ** 2, 1), rng.random() < 0.4) for n in (0, 1, 2, 3, 11, 200) for _ in range(n)]
+    df = spark.createDataFrame(rows, "question string, p double, label boolean")
+    gaps = {r["question"]: r["separation"] for r in EV.separation(df).collect()}
+    wins = {r["question"]: r["auc"] for r in EV.auc(df).collect()}
+    for q in {r[0] for r in rows}:
+        s = sorted(r[1] for r in rows if r[0] == q)
+        edge = max(2, len(s) // 5)
+        assert gaps[q] == pytest.approx((sum(s[-edge:]) - sum(s[:edge])) / edge)
+        yes, no = [r[1] for r in rows if r[0] == q and r[2]], [r[1] for r in rows if r[0] == q and not r[2]]
+        won = sum((a > b) + (a == b) / 2 for a in yes for b in no)
+        assert wins[q] == (pytest.approx(won / len(yes) / len(no)) if yes and no else None)
