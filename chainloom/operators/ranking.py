@@ -9,7 +9,7 @@ from ..session import stored
 
 
 def _spread_in_order(df: DataFrame, order: list) -> DataFrame:
-    """Rows in range partitions, the partition's number as ``_part``; written once, so that all readers see the same partitions."""
+    """Rows in range partitions, the partition's number as ``_part``; callers write them once, so that all reads see the same partitions."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
 
