@@ -148,10 +148,11 @@ def token_meta(reads: DataFrame) -> DataFrame:
                         F.when(F.col("decimals") <= 77, F.col("decimals")).alias("decimals"))
 
 
-def assign_ids(dictionary: DataFrame, values: DataFrame, columns: list[str]) -> DataFrame:
+def assign_ids(dictionary: DataFrame, values: DataFrame, columns: list[str], last: Column | None = None) -> DataFrame:
     """New dictionary rows (id, address): dense ids after the largest known one, in order of first sight.
 
-    ``values`` also carries block_number and log_index. Known addresses consume no id.
+    ``values`` also carries block_number and log_index. Known addresses consume
+    no id. ``last`` is the largest id where ``dictionary`` is only a part of the whole.
     """
     seen = (
         values.select("block_number", "log_index", F.explode(F.array(*columns)).alias("address"))
@@ -161,7 +162,7 @@ def assign_ids(dictionary: DataFrame, values: DataFrame, columns: list[str]) ->
     new = seen.join(dictionary.select("address"), "address", "left_anti")
     ranked = global_rank(new.select("address", F.col("_first.block_number").alias("b"), F.col("_first.log_index").alias("l")),
                          ["b", "l", "address"])
-    base = F.coalesce(dictionary.agg(F.max("id")).scalar(), F.lit(0))
+    base = F.coalesce(dictionary.agg(F.max("id")).scalar(), F.lit(0)) if last is None else last
     return ranked.select((base + 1 + F.col("rank")).cast("bigint").alias("id"), "address")
 
 

@@ -12,9 +12,9 @@ from ..session import new_folder, stored
 from ..sources import archive as A
 from ..sources import logs as L
 from ..sources import testdata as T
+from ..streaming.ingest import ingest
 from .oracle_views import sql
 
-TOP = 1 << 40
 TRANSFER_INPUTS = [("from", "address", True), ("to", "address", True), ("value", "uint256", False)]
 num = lambda c: F.col(c).cast("string").alias(c)
 ts = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
@@ -34,11 +34,16 @@ def query(name: str, oracle: str | None = None):
 
 
 @query("src1_read_logs", sql(["moves_raw"], f"""
+WITH h AS (SELECT max(o_orderkey) AS head FROM orders)
 SELECT CASE contract_no WHEN 0 THEN '{T.CONTRACTS[0]}' ELSE '{T.CONTRACTS[2]}' END AS address, block_number, tx_hash, log_index,
   CAST(value AS VARCHAR) AS amount, 3 AS n_topics
-FROM moves_raw WHERE contract_no IN (0, 2)"""))
+FROM moves_raw, h WHERE contract_no IN (0, 2) AND block_number BETWEEN head // 10 AND head - head // 10"""))
 def src1(spark, sf):
-    logs = L.read_logs(T.raw_logs(spark, sf), [T.CONTRACTS[0].upper().replace("0X", "0x"), T.CONTRACTS[2]], 0, TOP)
+    """Two of three contracts, without the first and last tenth of the chain, from a table in block parts."""
+    path = A.write_event_table(T.raw_logs(spark, sf), new_folder(spark, "logs"), "raw", A.MIN_SIZE)
+    head = T.table(spark, sf, "orders").agg(F.max("o_orderkey")).first()[0]
+    addresses = [T.CONTRACTS[0].upper().replace("0X", "0x"), T.CONTRACTS[2]]
+    logs = L.read_logs(spark.read.parquet(path), addresses, head // 10, head - head // 10, A.MIN_SIZE)
     decoded = D.decode_logs(logs, TRANSFER_INPUTS)
     return decoded.select("address", "block_number", "tx_hash", "log_index",
                           F.col("row.value").cast("string").alias("amount"), F.size("topics").alias("n_topics"))
@@ -123,7 +128,7 @@ fresh AS (SELECT * FROM moves_raw QUALIFY row_number() OVER (PARTITION BY block_
 SELECT block_number, log_index, CAST(value AS VARCHAR) AS value, to_addr FROM fresh
 WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.block_number = fresh.block_number AND k.log_index = fresh.log_index)"""))
 def snk2(spark, sf):
-    batch = A.with_block_part(T.moves_raw(spark, sf), 10_000)
+    batch = stored(A.with_block_part(T.moves_raw(spark, sf), 10_000), "batch")
     known = batch.filter("l_returnflag = 'A'").select("block_number", "log_index", "block_part").distinct()
     return A.append_new(known, batch, ["block_number", "log_index"], T.FIRST_ORDER).select(
         "block_number", "log_index", num("value"), "to_addr")
@@ -141,7 +146,7 @@ def snk3(spark, sf):
     """Two batches, both replayed; the second also repeats the first one's rows."""
     rows = stored(T.moves(spark, sf).withColumn("block_hash", T.hash_text(F.col("block_number"))), "moves")  # read by all four commits
     head = rows.agg(F.max("block_number").alias("b")).first()["b"]
-    archive = A.Archive(spark, new_folder(spark, "archive"))
+    archive = A.Archive(spark, new_folder(spark, "archive"), A.MIN_SIZE)
     none = spark.createDataFrame([], A.Archive.DEAD)
     first = rows.filter("log_index <= 3")
     for batch_id, part in ((0, first), (0, first), (1, rows), (1, rows)):
@@ -158,18 +163,18 @@ def snk4(spark, sf):
 
 
 def malformed(spark, sf):
-    """Raw logs, some with cut data, a missing topic or a topic that is no hash."""
+    """Raw logs, some with cut data, a missing topic, a topic that is no hash, or an amount of 78 digits."""
     logs = T.raw_logs(spark, sf)
     key = F.col("block_number") % 10
-    return logs.withColumn("data", F.when(key == 1, F.substring("data", 1, 40)).when(key == 2, F.lit("0x")).otherwise(F.col("data"))).withColumn(
+    return logs.withColumn("data", F.when(key == 1, F.substring("data", 1, 40)).when(key == 2, F.lit("0x")).when(key == 5, F.lit("0x" + "f" * 64)).otherwise(F.col("data"))).withColumn(
         "topics", F.when(key == 3, F.slice("topics", 1, 2)).when(key == 4, F.array(F.get("topics", F.lit(0)), F.lit("0xzz"), F.get("topics", F.lit(2))))
         .otherwise(F.col("topics")))
 
 
 @query("snk5_dead_letters", sql(["moves_raw"], """
 SELECT block_number, log_index, CASE WHEN block_number % 10 IN (1, 2) THEN 'data is short or malformed'
-  WHEN block_number % 10 IN (3, 4) THEN 'topics are missing or malformed' END AS error,
-  CASE WHEN block_number % 10 NOT IN (1, 2, 3, 4) THEN CAST(value AS VARCHAR) END AS value, count(*) AS n
+  WHEN block_number % 10 IN (3, 4) THEN 'topics are missing or malformed' WHEN block_number % 10 = 5 THEN 'integer has more than 38 digits' END AS error,
+  CASE WHEN block_number % 10 NOT IN (1, 2, 3, 4, 5) THEN CAST(value AS VARCHAR) END AS value, count(*) AS n
 FROM moves_raw GROUP BY ALL"""))
 def snk5(spark, sf):
     rows, dead = A.split_decoded(D.decode_logs(malformed(spark, sf), TRANSFER_INPUTS))
@@ -178,6 +183,31 @@ def snk5(spark, sf):
     return both.groupBy("block_number", "log_index", "value", "error").agg(F.count("*").alias("n"))
 
 
+_LOST = """CASE WHEN block_number % 10 IN (1, 2) THEN 'data is short or malformed' WHEN block_number % 10 IN (3, 4) THEN 'topics are missing or malformed'
+  WHEN block_number % 10 = 5 THEN 'integer has more than 38 digits' END"""
+
+
+@query("snk3_ingest_stream", sql(["moves_raw"], f"""
+WITH r AS (SELECT *, {_LOST} AS error FROM moves_raw QUALIFY row_number() OVER (PARTITION BY block_number, log_index ORDER BY value, to_addr) = 1)
+SELECT block_number, log_index, CASE WHEN error IS NULL THEN from_addr END AS "from", CASE WHEN error IS NULL THEN to_addr END AS "to",
+  CASE WHEN error IS NULL THEN CAST(value AS VARCHAR) END AS value, error FROM r"""))
+def snk3_stream(spark, sf):
+    """All raw logs as a stream of files into the archive, and the whole stream once more under the same batch ids."""
+    path = f"{new_folder(spark, 'raw')}/logs"
+    malformed(spark, sf).repartitionByRange(6, "block_number").write.parquet(path)
+    catalog = spark.createDataFrame([(f"c{i}", a, "Transfer", V.TRANSFER_TOPIC, f"c{i}_transfer") for i, a in enumerate(T.CONTRACTS)],
+                                    "contract string, address string, event string, topic0 string, table_name string")
+    archive = A.Archive(spark, new_folder(spark, "archive"), A.MIN_SIZE)
+    schema = spark.read.parquet(path).schema
+    for _ in range(2):
+        ingest(L.stream_logs(spark, path, schema, max_files=2), catalog, archive, new_folder(spark, "ingest"), ["value", "to_addr"])
+    book = archive.read("addresses")
+    rows = archive.read("rows").join(book.select(F.col("id").alias("from_id"), F.col("address").alias("from")), "from_id").join(
+        book.select(F.col("id").alias("to_id"), F.col("address").alias("to")), "to_id")
+    return rows.select("block_number", "log_index", "from", "to", num("value")).unionByName(
+        archive.read("dead").select("block_number", "log_index", "error"), allowMissingColumns=True)
+
+
 @query("snk6_capture", sql(["moves", "ctx"], """
 WITH r AS (SELECT *, row_number() OVER (ORDER BY block_number, log_index) AS n FROM moves)
 SELECT r.block_number, r.log_index, CAST(r.value AS VARCHAR) AS value, c.selector, CAST(len(c.topics) AS INTEGER) AS n_topics

@@ -37,7 +37,7 @@ def append_new(target: DataFrame, batch: DataFrame, keys: list[str], order: list
     """The batch rows that would be inserted: one per key (first by ``order``), existing keys win.
 
     When both sides carry ``block_part`` the target is read only for the parts
-    the batch touches.
+    the batch touches. The batch is read twice then: give a written table.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     fresh = batch.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
@@ -59,10 +59,14 @@ def build_blocks(rows: DataFrame) -> DataFrame:
 DEAD_LETTER_COLUMNS = ["block_number", "tx_hash", "log_index", "address", "topics", "data", "error"]
 
 
-def split_decoded(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, dead letters) of a decoded frame with ``row`` and ``error`` columns."""
+def split_decoded(decoded: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(rows, dead letters) of a decoded frame with ``row`` and ``error`` columns; rows also carry the ``keep`` columns.
+
+    The frame is written once, so that no log is decoded twice.
+    """
+    decoded = stored(decoded.select(*DEAD_LETTER_COLUMNS, *keep, "row"), "decoded")
     return (
-        decoded.filter(F.col("error").isNull()).select("block_number", "tx_hash", "log_index", "address", "row.*"),
+        decoded.filter(F.col("error").isNull()).select("block_number", "tx_hash", "log_index", "address", *keep, "row.*"),
         decoded.filter(F.col("error").isNotNull()).select(*DEAD_LETTER_COLUMNS),
     )
 
@@ -152,6 +156,13 @@ def insights_full(insights: DataFrame, labels: DataFrame, sentences: DataFrame)
         "block_number", "log_index", "lane", "lane_p", "ruled", "protocol", "facts", "probabilities", "sentence", "model")
 
 
+ADDRESS_PARTS = 16
+
+
+def address_part(address: str = "address") -> Column:
+    return F.pmod(F.xxhash64(address), F.lit(ADDRESS_PARTS)).cast("int")
+
+
 class Archive:
     """Batches of rows, blocks, addresses, dead letters and a cursor below one folder.
 
@@ -159,62 +170,83 @@ class Archive:
     row last. A replayed batch rewrites the same folders from the state before
     it, and readers ignore batches the cursor does not name, so a batch counts
     wholly or not at all.
+
+    Inside a batch rows, blocks and dead letters lie in ``block_part`` folders
+    and addresses in folders of their hash. A commit reads only the block parts
+    between the batch's first and last and the address parts it meets, and takes
+    the largest id from the cursor, so its cost follows the batch and not the
+    history.
     """
 
-    ROWS = "block_number bigint, tx_hash string, log_index int, from_id bigint, to_id bigint, value decimal(38,0)"
-    BLOCKS = "block_number bigint, block_hash string, block_time timestamp, _ingested_at timestamp"
-    ADDRESSES = "id bigint, address string"
-    DEAD = "block_number bigint, tx_hash string, log_index int, address string, topics array<string>, data string, error string"
-    CURSOR = "last_block bigint"
+    ROWS = "block_number bigint, tx_hash string, log_index int, from_id bigint, to_id bigint, value decimal(38,0), block_part bigint"
+    BLOCKS = "block_number bigint, block_hash string, block_time timestamp, _ingested_at timestamp, block_part bigint"
+    ADDRESSES = "id bigint, address string, address_part int"
+    DEAD = "block_number bigint, tx_hash string, log_index int, address string, topics array<string>, data string, error string, block_part bigint"
+    CURSOR = "last_block bigint, last_id bigint"
+    TABLES = {"rows": ROWS, "blocks": BLOCKS, "addresses": ADDRESSES, "dead": DEAD, "cursor": CURSOR}
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, size: int = DEFAULT_SIZE):
+        """Opens the archive; tables that are not there begin as empty folders."""
+        self.spark, self.root, self.size = spark, root, size
+        for table, schema in self.TABLES.items():
+            spark.createDataFrame([], f"{schema}, batch_id bigint").write.mode("append").partitionBy("batch_id").parquet(f"{root}/{table}")
 
-    def _folders(self, table: str, schema: str) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return self.spark.createDataFrame([], f"{schema}, batch_id bigint")
-        return self.spark.read.schema(f"{schema}, batch_id bigint").parquet(f"{self.root}/{table}")
+    def _folders(self, table: str) -> DataFrame:
+        return self.spark.read.schema(f"{self.TABLES[table]}, batch_id bigint").parquet(f"{self.root}/{table}")
 
     def cursor(self) -> DataFrame:
-        return self._folders("cursor", self.CURSOR)
+        return self._folders("cursor")
 
     def read(self, table: str, before: int | None = None) -> DataFrame:
         """Committed rows of a table; ``before`` leaves out that batch and later ones (for its replay)."""
-        schema = {"rows": self.ROWS, "blocks": self.BLOCKS, "addresses": self.ADDRESSES, "dead": self.DEAD}[table]
-        rows = self._folders(table, schema)
+        rows = self._folders(table)
         if before is not None:
             rows = rows.filter(F.col("batch_id") < before)
         done = self.cursor().agg(F.max("batch_id").alias("b")).scalar()
         return rows.filter(F.col("batch_id") <= F.coalesce(done, F.lit(-1)))
 
+    def _known(self, table: str, batch_id: int, batch: DataFrame) -> DataFrame:
+        """Keys of earlier batches within the block parts of a written batch; the bounds are literals, so other folders are pruned."""
+        lo, hi = batch.agg(F.min("block_part"), F.max("block_part")).first()
+        return self.read(table, batch_id).filter(F.lit(False) if lo is None else F.col("block_part").between(lo, hi)).drop("block_part")
+
     def _write(self, df: DataFrame, table: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/batch_id={batch_id}")
+        if table == "addresses":
+            df = df.repartition("address_part")  # hashes are even: one task and one file a part
+        out = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        if table != "cursor":
+            out = out.partitionBy("address_part" if table == "addresses" else "block_part")
+        out.parquet(f"{self.root}/{table}/batch_id={batch_id}")
 
     def commit_batch(self, rows: DataFrame, dead: DataFrame, last_block: int, batch_id: int, order: list,
                      fail_after: str | None = None) -> None:
         """``rows`` has address text in from_addr/to_addr. ``fail_after`` stops after a table, for the replay test."""
         # written once: every table of the batch is derived from the same rows
-        new = stored(append_new(self.read("rows", batch_id), rows, ["block_number", "log_index"], order), "batch")
-        known = self.read("addresses", batch_id).select("id", "address")
-        fresh = assign_ids(known, new, ["from_addr", "to_addr"])
+        batch = stored(with_block_part(rows, self.size), "incoming")
+        new = stored(append_new(self._known("rows", batch_id, batch), batch, ["block_number", "log_index"], order), "batch")
+        met = new.select(F.explode(F.array("from_addr", "to_addr")).alias("address")).select(address_part().alias("p")).distinct()
+        known = self.read("addresses", batch_id).filter(F.col("address_part").isin([r["p"] for r in met.collect()])).select("id", "address")
+        last_id = self.cursor().filter(F.col("batch_id") < batch_id).agg(F.coalesce(F.max("last_id"), F.lit(0))).first()[0]
+        lost = stored(with_block_part(dead, self.size), "lost")
+
+        def own() -> DataFrame:
+            return self.spark.read.schema(self.ADDRESSES).parquet(f"{self.root}/addresses/batch_id={batch_id}")
+
         steps = {
-            "addresses": lambda: fresh,
-            "rows": lambda: swap_ids(
-                new, {"from_addr": "from_id", "to_addr": "to_id"},
-                known.unionByName(self.spark.read.parquet(f"{self.root}/addresses/batch_id={batch_id}")),
-            ).select("block_number", "tx_hash", "log_index", "from_id", "to_id", "value"),
-            "blocks": lambda: build_blocks(new).join(
-                self.read("blocks", batch_id).select("block_number"), "block_number", "left_anti"),
-            "dead": lambda: dead.join(self.read("dead", batch_id).select("block_number", "log_index"),
-                                      ["block_number", "log_index"], "left_anti").select(*DEAD_LETTER_COLUMNS),
+            "addresses": lambda: assign_ids(known, new, ["from_addr", "to_addr"], F.lit(last_id)).withColumn("address_part", address_part()),
+            "rows": lambda: swap_ids(new, {"from_addr": "from_id", "to_addr": "to_id"}, known.unionByName(own().select("id", "address"))).select(
+                "block_number", "tx_hash", "log_index", "from_id", "to_id", "value", "block_part"),
+            "blocks": lambda: with_block_part(build_blocks(new), self.size).join(
+                self._known("blocks", batch_id, new).select("block_number"), "block_number", "left_anti"),
+            "dead": lambda: append_new(self._known("dead", batch_id, lost), lost, ["block_number", "log_index"], ["tx_hash", "error"]).select(
+                *DEAD_LETTER_COLUMNS, "block_part"),
         }
         for table, frame in steps.items():
             self._write(frame(), table, batch_id)
             if fail_after == table:
                 raise RuntimeError(f"stopped after {table}")
-        self._write(self.spark.createDataFrame([(last_block,)], self.CURSOR), "cursor", batch_id)
+        top = own().agg(F.coalesce(F.max("id"), F.lit(last_id))).first()[0]
+        self._write(self.spark.createDataFrame([(last_block, top)], self.CURSOR), "cursor", batch_id)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

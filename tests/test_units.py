@@ -23,7 +23,8 @@ from chainloom.session import new_folder
 from chainloom.sources import archive as A
 from chainloom.sources import logs as L
 from chainloom.streaming import live as LV
-from chainloom.streaming.jobs import drain_closed, each_batch
+from chainloom.streaming.ingest import ingest
+from chainloom.streaming.jobs import drain_closed
 
 
 def word(v):
@@ -239,6 +240,29 @@ def test_archive_survives_a_stop_between_tables(spark):
     assert ids == list(range(1, 13))  # dense: no id was burned
 
 
+def test_a_commit_reads_only_the_parts_it_touches(spark):
+    a = A.Archive(spark, new_folder(spark, "test"), 10_000)
+    none = spark.createDataFrame([], A.Archive.DEAD)
+    for i in range(3):
+        rows = spark.range(i * 10_000, i * 10_000 + 50).select(
+            F.col("id").alias("block_number"), F.lit(1).alias("log_index"), F.lit("t").alias("tx_hash"), F.concat(F.lit("a"), (F.col("id") % 7).cast("string")).alias("from_addr"),
+            F.lit("hot").alias("to_addr"), F.col("id").cast("decimal(38,0)").alias("value"), F.lit("h").alias("block_hash"), F.current_timestamp().alias("block_time"))
+        a.commit_batch(rows, none, i * 10_000 + 49, i, ["value"])
+    known = a._known("rows", 3, A.with_block_part(spark.range(20_000, 20_010).withColumnRenamed("id", "block_number"), 10_000))
+    assert known.count() == 50
+    plan = known._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "block_part" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert len(known.inputFiles()) >= 1 and a.read("rows").count() == 150
+    assert sorted(r["id"] for r in a.read("addresses").collect()) == list(range(1, 9))
+    # a batch without rows still moves the cursor and keeps the largest id
+    a.commit_batch(a_batch(spark).limit(0), none, 99_999, 3, ["value"])
+    assert a.cursor().agg(F.max("last_block"), F.max("last_id")).first()[:] == (99_999, 8)
+
+
+def a_batch(spark):
+    return spark.createDataFrame([], "block_number bigint, log_index int, tx_hash string, from_addr string, to_addr string, value decimal(38,0), block_hash string, block_time timestamp")
+
+
 def test_history_pages_meet(spark):
     moves = spark.range(97).select(
         (F.col("id") / 3).cast("bigint").alias("block_number"), (F.col("id") % 3).cast("int").alias("log_index"), F.lit("t").alias("tx_hash"),
@@ -347,13 +371,24 @@ def test_streams_over_many_files_equal_their_batch_form(spark, monkeypatch):
 
 
 def test_each_batch_feeds_the_archive_sink(spark):
-    folder = new_folder(spark, "files")
-    split_files(spark, folder)
-    root = new_folder(spark, "sink")
-    stream = L.stream_logs(spark, folder, "event_id bigint, ts timestamp, user_id bigint", max_files=2)
-    each_batch(stream, root, lambda df, i: df.write.mode("overwrite").parquet(f"{root}/out/batch_id={i}"))
-    out = spark.read.parquet(f"{root}/out")
-    assert out.count() == 300 and out.select("batch_id").distinct().count() == 3
+    """Three files of logs; every fifth cannot be decoded; the second run replays all batches."""
+    path = f"{new_folder(spark, 'raw')}/logs"
+    hexed = F.lower(F.hex("id"))
+    logs = spark.range(90).select(
+        F.lit("0x" + "7" * 40).alias("address"),
+        F.array(F.lit(V.TRANSFER_TOPIC), F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(F.col("id") % 4)), 64, "0")), F.lit("0x" + "0" * 63 + "9")).alias("topics"),
+        F.when(F.col("id") % 5 == 0, "0x00").otherwise(F.concat(F.lit("0x"), F.lpad(hexed, 64, "0"))).alias("data"), F.col("id").alias("block_number"),
+        F.lit("h").alias("block_hash"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("tx_hash"), F.lit(1).alias("log_index"),
+        F.lit("2024-01-01").cast("timestamp").alias("block_timestamp"))
+    logs.repartitionByRange(3, "block_number").write.parquet(path)
+    catalog = spark.createDataFrame([("c", "0x" + "7" * 40, "Transfer", V.TRANSFER_TOPIC, "c_transfer")], "contract string, address string, event string, topic0 string, table_name string")
+    a = A.Archive(spark, new_folder(spark, "archive"), 10_000)
+    for _ in range(2):
+        ingest(L.stream_logs(spark, path, spark.read.parquet(path).schema, max_files=1), catalog, a, new_folder(spark, "ingest"), ["value"])
+        rows = a.read("rows")
+        assert rows.count() == 72 and a.read("dead").count() == 18 and a.read("blocks").count() == 72
+        assert rows.select("batch_id").distinct().count() == 3 and a.cursor().agg(F.max("last_block")).first()[0] == 89
+        assert sorted(r["id"] for r in a.read("addresses").collect()) == [1, 2, 3, 4, 5]
 
 
 def test_a_hot_address_keeps_every_row(spark):
