@@ -58,14 +58,19 @@ def settle(described: DataFrame, answers: DataFrame, profile: str = "archive") -
     """Adds choice, probs, lane and lane_p to described rows.
 
     Answers are settled once per sentence, before they are joined; a row then
-    only picks its ruled lane or its sentence's. Ruled rows have no join key.
+    only picks its sentence's. Ruled rows take no part in the join: they would
+    all meet under one null key. ``described`` is read twice, so it should be a
+    written table.
     """
     s = settle_lane(F.col("choice"), F.col("probs"), F.lit(""), profile)
-    per = answers.select(F.col("sentence").alias("_key"), "choice", "probs", s.alias("_s"))
-    x = described.withColumn("_key", F.when(F.col("ruled") == "", F.col("sentence"))).join(per, "_key", "left")
+    per = answers.select("sentence", "choice", "probs", s.alias("_s"))
+    open_ = F.coalesce(F.col("ruled") == "", F.lit(False))
+    asked = described.filter(open_).join(per, "sentence", "left")
+    ruled = described.filter(~open_).withColumns(
+        {"choice": F.lit(None).cast("string"), "probs": F.lit(None).cast(PROBS), "_s": F.lit(None).cast(per.schema["_s"].dataType)})
     fixed = settle_lane(F.lit(None).cast("string"), F.lit(None).cast(PROBS), F.col("ruled"), profile)
-    own = F.coalesce("_s", fixed)
-    return x.withColumn("lane", own["lane"]).withColumn("lane_p", own["p"]).drop("_key", "_s")
+    x = asked.unionByName(ruled).withColumn("_s", F.coalesce("_s", fixed))
+    return x.withColumn("lane", F.col("_s.lane")).withColumn("lane_p", F.col("_s.p")).drop("_s")
 
 
 def drop_stuck(answers: DataFrame, control: DataFrame, fires: float = V.CONTROL_FIRES) -> DataFrame:

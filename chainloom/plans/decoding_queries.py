@@ -123,13 +123,31 @@ def dec6(spark, sf):
     return x.select("block_number", "log_index", "tx_hash", "row.from", "row.to", F.col("row.value").cast("string").alias("value"))
 
 
-@query("dec7_u256", sql(["moves_raw"], """
-SELECT contract_no, CAST(sum(CAST(value AS HUGEINT)) AS VARCHAR) AS total, lpad(CAST(max(value) AS VARCHAR), 78, '0') AS top, count(*) AS n
-FROM moves_raw GROUP BY 1"""))
+def _times_2_128(v: str) -> str:
+    """v * 2^128 as digits, by long multiplication with limbs of eight digits (the product has no integer type here)."""
+    digits = str(2**128)
+    limbs = [digits[max(0, at - 8):at] for at in range(len(digits), 0, -8)]
+    carry, out = "0::HUGEINT", []
+    for limb in limbs:
+        step = f"({v} * {int(limb)} + {carry})"
+        out.append(f"lpad(CAST({step} % 100000000 AS VARCHAR), 8, '0')")
+        carry = f"({step} // 100000000)"
+    return f"ltrim(CAST({carry} AS VARCHAR) || {' || '.join(reversed(out))}, '0')"
+
+
+@query("dec7_u256", sql(["moves_raw"], f"""
+WITH s AS (SELECT contract_no, block_number % 2 = 0 AS wide, sum(CAST(value AS HUGEINT)) AS total, max(CAST(value AS HUGEINT)) AS top, count(*) AS n FROM moves_raw GROUP BY ALL)
+SELECT contract_no, wide, CASE WHEN wide THEN {_times_2_128('total')} ELSE CAST(total AS VARCHAR) END AS total,
+  lpad(CASE WHEN wide THEN {_times_2_128('top')} ELSE CAST(top AS VARCHAR) END, 78, '0') AS top, n FROM s"""))
 def dec7(spark, sf):
-    x = T.raw_logs(spark, sf).select("address", u256(F.substring("data", 3, 64)).alias("v"))
+    """Amounts of even blocks are moved up by 128 bits, beyond any 38 digits."""
+    word = F.substring("data", 3, 64)
+    wide = F.col("block_number") % 2 == 0
+    x = T.raw_logs(spark, sf).select(
+        "address", wide.alias("wide"), u256(F.when(wide, F.concat(F.substring(word, 33, 32), F.lit("0" * 32))).otherwise(word)).alias("v"))
     no = F.array_position(F.array(*[F.lit(c) for c in T.CONTRACTS]), F.col("address")) - 1
-    return x.groupBy(no.cast("int").alias("contract_no")).agg(u256_sum(F.col("v")).alias("total"), F.max(u256_key(F.col("v"))).alias("top"), F.count("*").alias("n"))
+    return x.groupBy(no.cast("int").alias("contract_no"), "wide").agg(
+        u256_sum(F.col("v")).alias("total"), F.max(u256_key(F.col("v"))).alias("top"), F.count("*").alias("n"))
 
 
 @query("dec8_block_times", sql(["ev"], """
