@@ -104,6 +104,18 @@ def q5(spark, sf):
     return page.select("address", "block_number", "log_index", "tx_hash", "dir", "counterparty", num("value"), "time", "lane", "older")
 
 
+@query("q5_address_page", sql(["moves"], f"""
+WITH p AS (SELECT *, count(*) OVER () AS n FROM ({_PAGE}) WHERE address = (SELECT arg_max(from_addr, block_number) FROM moves))
+SELECT address, block_number, log_index, tx_hash, dir, counterparty, CAST(value AS VARCHAR) AS value,
+  CASE WHEN n > 25 AND rn = 25 THEN CAST(block_number AS VARCHAR) || '-' || CAST(log_index AS VARCHAR) END AS older FROM p WHERE rn <= 25"""))
+def q5_page(spark, sf):
+    """The page of one named address, the newest sender: its filter goes into the scan."""
+    moves = stored(T.moves(spark, sf), "moves")
+    who = moves.agg(F.max_by("from_addr", "block_number")).first()[0]
+    page = X.address_history(moves, address=who)
+    return page.select("address", "block_number", "log_index", "tx_hash", "dir", "counterparty", num("value"), "older")
+
+
 @query("q6_counterparties", sql(["moves"], f"""
 WITH p AS (SELECT * FROM ({_PAGE}) WHERE rn <= 1000), t AS (SELECT address, count(*) AS total FROM p GROUP BY 1),
 c AS (SELECT address, counterparty, count(*) AS n, sum(CAST(value AS HUGEINT)) AS v FROM p WHERE dir <> 'self' GROUP BY 1, 2),
@@ -130,8 +142,14 @@ UNION ALL SELECT tx_hash, block_number, log_index, 'Initialize', NULL, NULL, poo
 _TX_VIEWS = ["transfers", "swaps", "modifies", "donates", "inits"]
 
 
+def tx_tables(spark, sf):
+    """(moves, the five event tables): the moves are written once, and four tables are slices of them."""
+    m = stored(T.moves(spark, sf), "moves")
+    return m, [T.transfers(spark, sf, m), T.swaps(spark, sf, m), T.modifies(spark, sf, m), T.donates(spark, sf, m), T.inits(spark, sf)]
+
+
 def tx_rows(spark, sf):
-    return X.tx_rows(T.transfers(spark, sf), T.swaps(spark, sf), T.modifies(spark, sf), T.donates(spark, sf), T.inits(spark, sf))
+    return X.tx_rows(*tx_tables(spark, sf)[1])
 
 
 @query("q8_tx_detail", sql([*_TX_VIEWS, "blocks"], f"""
@@ -139,10 +157,26 @@ WITH {_TX_ROWS} SELECT tx.tx_hash, tx.block_number, tx.li, tx.kind, tx.a, tx.b,
   coalesce(CAST(epoch(bl.block_time) AS BIGINT), 0) AS time, i.currency0, i.currency1, i.fee AS pool_fee, i.tick_spacing, i.hooks
 FROM tx LEFT JOIN blocks bl ON bl.block_number = tx.block_number LEFT JOIN inits i ON i.pool = tx.pool"""))
 def q8(spark, sf):
-    d = X.tx_detail(tx_rows(spark, sf), T.blocks(T.moves(spark, sf)), T.inits(spark, sf))
+    moves, tables = tx_tables(spark, sf)
+    d = X.tx_detail(X.tx_rows(*tables), T.blocks(moves), tables[4])
     return d.select("tx_hash", "block_number", "li", "kind", "a", "b", "pool", num("x"), num("y"), "fee", "time", "currency0", "currency1", "pool_fee", "tick_spacing", "hooks")
 
 
+@query("q8_tx_page", sql([*_TX_VIEWS, "blocks"], f"""
+WITH {_TX_ROWS}, o AS (SELECT * FROM tx WHERE tx_hash = (SELECT arg_max(tx_hash, block_number) FROM transfers))
+SELECT o.tx_hash, min(o.block_number) AS block, max(coalesce(CAST(epoch(bl.block_time) AS BIGINT), 0)) AS time, count(DISTINCT i.pool) AS n_pools,
+  string_agg(concat_ws('|', CAST(o.li AS VARCHAR), o.kind, o.a, o.b, o.pool, CAST(o.x AS VARCHAR), CAST(o.y AS VARCHAR), CAST(o.fee AS VARCHAR)), ';' ORDER BY o.li) AS events
+FROM o LEFT JOIN blocks bl ON bl.block_number = o.block_number LEFT JOIN inits i ON i.pool = o.pool GROUP BY 1"""))
+def q8_page(spark, sf):
+    """The newest transaction as one nested row, its events written out as text."""
+    moves, tables = tx_tables(spark, sf)
+    newest = tables[0].agg(F.max_by("tx_hash", "block_number")).first()[0]
+    page = X.tx_page(X.tx_rows(*tables), T.blocks(moves), tables[4], newest)
+    event = lambda e: F.concat_ws("|", *[e[c].cast("string") for c in ("li", "kind", "a", "b", "pool", "x", "y", "fee")])
+    return page.select("tx_hash", "block", "time", F.size("pools").cast("bigint").alias("n_pools"),
+                       F.array_join(F.transform("events", event), ";").alias("events"))
+
+
 @query("q9_tx_lane", sql([*_TX_VIEWS, "scored"], f"""
 WITH {_TX_ROWS}, ins AS (SELECT * FROM scored WHERE block_number BETWEEN 500 AND 12000 AND (block_number + log_index) % 3 <> 0),
 h AS (SELECT tx.tx_hash, arg_min(struct_pack(lane := i.lane, p := i.lane_p, s := i.sentence), (tx.kind <> 'Transfer', tx.li)) FILTER (WHERE i.lane IS NOT NULL) AS l,
@@ -197,9 +231,9 @@ SELECT tx_hash, kind, CAST(amount AS VARCHAR) AS amount, CASE WHEN amount IS NOT
     "WITH tx AS", f"WITH back AS (SELECT t.block_number, b.* FROM transfers t JOIN {_BACK} b ON b.tx_hash = t.tx_hash AND b.log_index = t.log_index), tx AS", 1).replace(
     "WITH \ntx AS", f"WITH back AS (SELECT t.block_number, b.* FROM transfers t JOIN {_BACK} b ON b.tx_hash = t.tx_hash AND b.log_index = t.log_index), tx AS", 1)))
 def q11(spark, sf):
-    moved = back_and_forth(T.transfers(spark, sf))
-    rows = X.tx_rows(moved, T.swaps(spark, sf), T.modifies(spark, sf), T.donates(spark, sf), T.inits(spark, sf))
-    x = X.tx_kind(rows, T.inits(spark, sf), X.transfer_chains(moved))
+    _, tables = tx_tables(spark, sf)
+    moved = back_and_forth(tables[0])
+    x = X.tx_kind(X.tx_rows(moved, *tables[1:]), tables[4], X.transfer_chains(moved))
     return x.select("tx_hash", "kind", num("amount"), "decimals")
 
 
@@ -215,6 +249,20 @@ def q12(spark, sf):
     return X.release_to(rows).select("event_id", "to")
 
 
+@query("q12_held_through", sql(["blocks"], """
+WITH h AS (SELECT max(block_number) AS cursor, max(block_time) AS now FROM blocks),
+g AS (SELECT cursor, (SELECT max(block_number) FROM blocks WHERE block_time <= now - INTERVAL 30 DAY) AS held, cursor // 2 AS lane_cursor FROM h)
+SELECT cursor, held, greatest(least(lane_cursor, cursor), least(coalesce(held, -1), cursor)) AS "to" FROM g"""))
+def q12_held(spark, sf):
+    """The hold from the blocks' own times, thirty days of them, as blocks here are days apart; lanes are half-way."""
+    blocks = stored(T.blocks(T.moves(spark, sf)).withColumn("_ingested_at", F.col("block_time")), "blocks")
+    now = blocks.agg(F.max("block_time").alias("t")).scalar()
+    held = X.held_through(blocks, now, 30 * 86_400_000)
+    rows = blocks.agg(F.max("block_number").alias("cursor")).select(
+        "cursor", held.alias("held"), F.floor(F.col("cursor") / 2).alias("lane_cursor"), F.lit(True).alias("lanes_on"))
+    return X.release_to(rows).select("cursor", "held", "to")
+
+
 def _exact(v: str) -> str:
     return (f"CAST({v} // 1000000000000000000 AS VARCHAR) || CASE WHEN {v} % 1000000000000000000 = 0 THEN '' ELSE '.' || "
             f"rtrim(lpad(CAST({v} % 1000000000000000000 AS VARCHAR), 18, '0'), '0') END")

@@ -210,17 +210,18 @@ def pool_id(part: Column) -> Column:
     return F.concat(F.lit("0x"), F.sha2(F.concat(F.lit("pool"), part.cast("string")), 256))
 
 
-def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return moves(spark, sf_dir).filter("log_index NOT IN (3, 4, 5)")
+def transfers(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """``of`` is a written table of the moves, where several slices are taken of them."""
+    return (moves(spark, sf_dir) if of is None else of).filter("log_index NOT IN (3, 4, 5)")
 
 
-def _pool_rows(spark: SparkSession, sf_dir: str, line: int) -> DataFrame:
-    return moves(spark, sf_dir).filter(F.col("log_index") == line)
+def _pool_rows(spark: SparkSession, sf_dir: str, line: int, of: DataFrame | None) -> DataFrame:
+    return (moves(spark, sf_dir) if of is None else of).filter(F.col("log_index") == line)
 
 
-def swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def swaps(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     sign = F.when(F.col("l_returnflag") == "A", -1).when(F.col("l_returnflag") == "N", 1).otherwise(0)
-    return _pool_rows(spark, sf_dir, 5).select(
+    return _pool_rows(spark, sf_dir, 5, of).select(
         "block_number", "log_index", "tx_hash", "contract_no", pool_id(F.col("l_partkey")).alias("pool"),
         F.col("from_addr").alias("sender"),
         (F.col("value") * sign).cast(BIG).alias("amount0"),
@@ -229,9 +230,9 @@ def swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def modifies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def modifies(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     sign = F.when(F.col("l_returnflag") == "A", -1).otherwise(1)
-    return _pool_rows(spark, sf_dir, 4).select(
+    return _pool_rows(spark, sf_dir, 4, of).select(
         "block_number", "log_index", "tx_hash", "contract_no", pool_id(F.col("l_partkey")).alias("pool"),
         F.col("from_addr").alias("sender"),
         (F.col("value") * sign).cast(BIG).alias("liquidity_delta"),
@@ -239,8 +240,8 @@ def modifies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def donates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pool_rows(spark, sf_dir, 3).select(
+def donates(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    return _pool_rows(spark, sf_dir, 3, of).select(
         "block_number", "log_index", "tx_hash", "contract_no", pool_id(F.col("l_partkey")).alias("pool"),
         F.col("from_addr").alias("sender"), F.col("value").alias("amount0"),
         (F.col("l_quantity").cast("bigint") * 1000000).cast(BIG).alias("amount1"),
