@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from ..session import stored
 from .ranking import global_rank, row_number_by_log
 
 BIG = "decimal(38,0)"
@@ -23,7 +24,8 @@ def drop_mirrors(logs: DataFrame, native: DataFrame, scale: int = 10**12) -> Dat
 
     A multiset difference that keeps whole rows: equal ERC-20 logs are only
     counted, and a native log survives when its number within its key is beyond
-    that count.
+    that count. Native logs are read for their numbers and for the sizes of
+    their pieces, so they are written once.
     """
     keys = ["tx_hash", "from_addr", "to_addr", "value"]
     taken = (
@@ -31,7 +33,7 @@ def drop_mirrors(logs: DataFrame, native: DataFrame, scale: int = 10**12) -> Dat
         .groupBy(*keys).agg(F.count("*").alias("_taken"))
     )
     return (
-        row_number_by_log(native, keys, "_rn").join(taken, keys, "left")
+        row_number_by_log(stored(native, "native"), keys, "_rn").join(taken, keys, "left")
         .filter(F.col("_rn") > F.coalesce("_taken", F.lit(0))).drop("_rn", "_taken")
     )
 

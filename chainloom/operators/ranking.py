@@ -82,13 +82,20 @@ def row_number_by_log(df: DataFrame, keys: list[str], name: str = "rn", log: str
     )
 
 
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, spread: int = 1) -> DataFrame:
     """The first ``k`` rows of every key, as row number ``rn``.
 
     The rank filter is applied map-side before the shuffle, so a hot key sends
-    at most k rows per task. For a large k, ``spread`` first ranks each key in
+    at most k rows per task; Spark does so up to a threshold, which is raised to
+    k where it is lower. For a large k, ``spread`` first ranks each key in
     that many slices, so that no single task receives all the hot key's rows.
     """
+    conf = df.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT)) < k:
+        conf.set(GROUP_LIMIT, str(k))
     rows = df
     if spread > 1:
         rows = df.withColumn("_slice", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c not in keys]), F.lit(spread)))

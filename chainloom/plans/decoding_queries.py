@@ -10,6 +10,7 @@ from ..functions.naming import storage_type
 from ..operators import catalog as C
 from ..operators import decode as D
 from ..operators import enrich as E
+from ..session import stored
 from ..sources import testdata as T
 from .archive_queries import TRANSFER_INPUTS, num
 from .oracle_views import sql, values
@@ -174,7 +175,7 @@ SELECT r.tx_hash, r.log_index, CAST(r.value AS VARCHAR) AS value FROM r LEFT JOI
   ON c.tx_hash = r.tx_hash AND c.from_addr = r.from_addr AND c.to_addr = r.to_addr AND c.value = r.value WHERE rn > coalesce(n, 0)"""))
 def dec10(spark, sf):
     """Lines up to four are logged twice by the native address once, the first two once more; the rest only natively."""
-    m = T.moves(spark, sf).withColumn("v6", E.native_to_6(F.col("value")))
+    m = stored(T.moves(spark, sf).select("tx_hash", "from_addr", "to_addr", "log_index", "value"), "moves").withColumn("v6", E.native_to_6(F.col("value")))
     scaled = (F.col("v6") * F.lit(10**12).cast("decimal(13,0)")).cast(E.BIG)
     erc = m.filter("log_index <= 4").select("tx_hash", "from_addr", "to_addr", "log_index", F.col("v6").alias("value"))
     native = m.select("tx_hash", "from_addr", "to_addr", (F.col("log_index") + 100).alias("log_index"),

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scoring import hash_score
+from ..session import new_folder
 from ..sources import testdata as T
 from ..streaming import live as S
 from ..streaming.jobs import drain, drain_closed
 from ..sources.logs import stream_logs
 from . import frames
 from .archive_queries import num
+from .explore_queries import _name
 from .oracle_views import sql
 
 QUERIES: dict = {}
@@ -45,8 +47,9 @@ DAY = 86400
 @query("str1_rolling_minute", sql(["ev"], f"""
 WITH s AS (SELECT *, CAST(floor(epoch(t)) AS BIGINT) AS sec FROM ev), e AS (SELECT max(sec) AS newest, min(sec) AS first FROM s),
 r AS (SELECT s.*, e.newest, e.first FROM s, e WHERE sec > newest - {DAY}),
-x AS (SELECT tx_hash, arg_min(log_index, (-value, block_number, log_index)) AS li, max(value) AS v, min((block_number, log_index)) AS f FROM r GROUP BY 1),
-l AS (SELECT string_agg(tx_hash || ' ' || CAST(li AS VARCHAR) || ' ' || CAST(v AS VARCHAR), ',' ORDER BY v DESC, f) AS largest FROM (SELECT * FROM x ORDER BY v DESC, f LIMIT 5)),
+x AS (SELECT tx_hash, unnest(arg_min(struct_pack(li := log_index, b := block_number, s := sec, f0 := from_addr, t0 := to_addr, l := lane), (-value, block_number, log_index))), max(value) AS v, min((block_number, log_index)) AS f FROM r GROUP BY 1),
+l AS (SELECT string_agg(tx_hash || ' ' || CAST(li AS VARCHAR) || ' ' || CAST(v AS VARCHAR) || ' ' || CAST(b AS VARCHAR) || ' ' || CAST(s AS VARCHAR) || ' ' || f0 || ' ' || {_name('f0')}
+    || ' ' || t0 || ' ' || {_name('t0')} || ' ' || coalesce(l, '-'), ',' ORDER BY v DESC, f) AS largest FROM (SELECT * FROM x ORDER BY v DESC, f LIMIT 5)),
 n AS (SELECT string_agg(lane || '=' || CAST(n AS VARCHAR), ',' ORDER BY lane) AS lanes FROM (SELECT lane, count(*) AS n FROM r WHERE lane IS NOT NULL GROUP BY 1)),
 a AS (SELECT count(*) AS count, sum(value) AS total, max(sec) AS head_t, greatest(1, least({DAY}, any_value(newest) - any_value(first))) AS span FROM r)
 SELECT count, CAST(total // 1000000 AS VARCHAR) || CASE WHEN total % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(total % 1000000 AS VARCHAR), 6, '0'), '0') END AS usdc,
@@ -56,7 +59,11 @@ def str1(spark, sf):
     rows = T.ev(spark, sf).withColumn("sec", F.unix_timestamp("t"))
     x = S.rolling_minute(rows, span=DAY, decimals=6)
     lanes = F.array_join(F.transform("lanes", lambda s: F.concat_ws("=", s["lane"], s["n"].cast("string"))), ",")
-    largest = F.array_join(F.transform("largest", lambda s: F.concat_ws(" ", s["tx_hash"], s["li"].cast("string"), s["value"].cast("string"))), ",")
+    def leg(s):
+        numbers = [s[c].cast("string") for c in ("li", "value", "block_number", "sec")]
+        return F.concat_ws(" ", s["tx_hash"], *numbers, s["from_addr"], F.coalesce(s["from_name"], F.lit("")), s["to_addr"],
+                           F.coalesce(s["to_name"], F.lit("")), F.coalesce(s["lane"], F.lit("-")))
+    largest = F.array_join(F.transform("largest", leg), ",")
     return x.select("count", "usdc", "per_sec", "head_t", lanes.alias("lanes"), largest.alias("largest"))
 
 
@@ -101,6 +108,16 @@ def str5(spark, sf):
     return S.collapse_families(docs, "family", "doc_id", ["doc_id", "lang", "source"])
 
 
+@query("str5_collapse_stream", ORACLE["str5_collapse_families"])
+def str5_stream(spark, sf):
+    """The same over a stream of files, collapsed batch by batch."""
+    path = f"{new_folder(spark, 'texts')}/documents"
+    T.table(spark, sf, "documents").repartition(4).write.parquet(path)
+    stream = stream_logs(spark, path, T.table(spark, sf, "documents").schema, max_files=1).select(
+        "doc_id", "lang", "source", F.sha2("text", 256).alias("family"))
+    return S.collapse_stream(stream, new_folder(spark, "families"), "family", "doc_id", ["doc_id", "lang", "source"])
+
+
 @query("str6_counters", sql(["live_scored"], """
 WITH b AS (SELECT *, block_number // 1000 AS batch_id FROM live_scored), f AS (SELECT sentence, min(batch_id) AS batch_id FROM b WHERE ruled = '' GROUP BY 1),
 a AS (SELECT batch_id, count(*) AS n FROM f GROUP BY 1), u AS (SELECT batch_id, count(*) AS rows FROM b WHERE ruled = '' GROUP BY 1)

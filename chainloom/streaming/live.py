@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.amounts import units_to_decimal
 from ..functions.bigint import negated
+from ..functions.facts import known_name
 from ..operators.ranking import trailing_sum
+from ..session import stored
+from .jobs import each_batch
 
 BIG = "decimal(38,0)"
 
@@ -20,18 +23,22 @@ def rolling_minute(moves: DataFrame, span: int = 60, decimals: int = 18, top: in
     """One row of figures over ``(newest - span, newest]`` by block time in whole seconds ``sec``.
 
     Exact sum, rate per second over the time seen, counts per lane, and the
-    largest movements with one per transaction (its first largest leg).
+    largest movements with one per transaction (its first largest leg), with
+    block, time, parties, their known names and lane.
     """
-    newest, first = moves.agg(F.max("sec")).scalar(), moves.agg(F.min("sec")).scalar()
-    rows = moves.filter(F.col("sec") > newest - span)
+    newest, first = moves.agg(F.max("sec"), F.min("sec")).first()
+    # read for the sums, the lanes and the largest legs
+    rows = stored(moves.filter(F.col("sec") > F.lit(newest) - span).select(
+        "block_number", "log_index", "tx_hash", "from_addr", "to_addr", "value", "lane", "sec"), "minute")
     order = F.struct("block_number", "log_index")
-    best = rows.groupBy("tx_hash").agg(
-        F.min_by(F.struct("log_index", "value"), F.struct(negated(F.col("value")).alias("v"), order)).alias("b"), F.min(order).alias("first"))
+    leg = F.struct("block_number", F.col("log_index").alias("li"), "sec", "from_addr", known_name(F.col("from_addr")).alias("from_name"),
+                   "to_addr", known_name(F.col("to_addr")).alias("to_name"), "value", "lane")
+    best = rows.groupBy("tx_hash").agg(F.min_by(leg, F.struct(negated(F.col("value")).alias("v"), order)).alias("b"), F.min(order).alias("first"))
     largest = best.orderBy(F.desc("b.value"), F.asc("first")).limit(top).agg(F.sort_array(F.collect_list(
-        F.struct(negated(F.col("b.value")).alias("_v"), "first", "tx_hash", F.col("b.log_index").alias("li"), F.col("b.value").alias("value")))).alias("largest"))
+        F.struct(negated(F.col("b.value")).alias("_v"), "first", "tx_hash", "b.*"))).alias("largest"))
     lanes = rows.filter("lane IS NOT NULL").groupBy("lane").agg(F.count("*").alias("n")).agg(
         F.sort_array(F.collect_list(F.struct("lane", "n"))).alias("lanes"))
-    seen = F.greatest(F.lit(1), F.least(F.lit(span), newest - first))
+    seen = F.greatest(F.lit(1), F.least(F.lit(span), F.lit(newest) - F.lit(first)))
     return rows.agg(F.count("*").alias("count"), F.sum("value").cast(BIG).alias("total"), F.max("sec").alias("head_t")).select(
         "count", units_to_decimal(F.coalesce("total", F.lit(0)).cast(BIG), decimals).alias("usdc"),
         (F.floor(F.col("count") / seen * 10 + 0.5) / 10).alias("per_sec"), lanes.scalar().alias("lanes"), largest.scalar().alias("largest"), "head_t")
@@ -84,6 +91,20 @@ def collapse_families(batch: DataFrame, family: str, order: str, keep: list[str]
     return batch.groupBy(*(by or []), family).agg(F.count("*").alias("count"), first).select(*(by or []), family, "count", "_first.*")
 
 
+def collapse_stream(stream: DataFrame, root: str, family: str, order: str, keep: list[str]) -> DataFrame:
+    """Families of a stream: every micro-batch is collapsed to a folder of its own, and the batches' families are merged on reading.
+
+    A replayed batch rewrites its folder, so nothing is counted twice.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        collapse_families(batch, family, order, keep).write.mode("overwrite").parquet(f"{root}/families/batch_id={batch_id}")
+
+    each_batch(stream, root, handle)
+    parts = stream.sparkSession.read.parquet(f"{root}/families")
+    first = F.min_by(F.struct(*keep), order).alias("_first")
+    return parts.groupBy(family).agg(F.sum("count").alias("count"), first).select(family, "count", "_first.*")
+
+
 def counters(rows: DataFrame, by: str = "batch_id") -> DataFrame:
     """Counter rows (name, lane, n) per batch: received, classified per lane, asked and reused.
 
