@@ -1,21 +1,27 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-A state is a run of up to ``depth`` words. A run is a candidate if it makes at
-least ``context_share`` of the training tokens, and it becomes a state if its
-next-word distribution diverges enough from that of its longest shorter state.
-A state keeps the next words that follow it in at least ``entry_share`` of all
-tokens, discounted; the mass left goes to its shorter state, down to the root,
-which is the smoothed word count over the whole corpus. A text is scored by the
-longest state that ends before each token.
-
-The shares bound the tree whatever the corpus: at most 1/context_share states
-and 1/entry_share entries a level, so the tree travels to the tasks. Words above
-``head_share`` (at most 1/head_share) travel too; all rarer words keep their
-exact counts and are joined by a shuffle.
+A context is a run of up to ``depth`` words. The tree keeps every next word that
+follows a context at least twice in the training texts, whatever their size, and
+a context is a state if its next-word distribution diverges enough from that of
+its longest shorter state. A state's entries are discounted; the mass left goes
+to its shorter state, down to the root, which is the smoothed word count over
+the whole corpus. A text is scored by the longest state that ends before each
+token.
+
+The tree is a written table, one level after the other: a run of words and what
+it adds to the score of a text each time it ends there. That is, as the next
+word of the context before it, how much its log probability differs from that
+after the shorter context; and as a context of the next word, the log of the
+mass it passes on. Words and runs are found in it by a join of their hashes. Two
+things of bounded size spare most of the rows of that join and change no score:
+a bit map of the runs in the table, and the most frequent runs, at most
+1/``head_share`` a level, which travel to the tasks.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from . import textscan as ts
+from .decontaminate import bit_map
 from .labelled import remainder
 
 #: The end of a text as a token: a hash no span gets but by chance.
@@ -31,6 +38,8 @@ END = np.uint64(0x454E44 * ts.BASE & 0xFFFFFFFFFFFFFFFF)
 SHIFT = 24
 CHUNK = 4_000_000
 DISCOUNT = 0.75
+#: Bits of the maps of kept runs: 4 MB a level whatever the corpus; a full map lets more rows into the joins and changes no score.
+LOG_BITS = 25
 
 
 def tokens(column) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +75,7 @@ def _words(batches):
 
 
 class Tree:
-    """The head words and, level by level, the candidate runs with what they keep."""
+    """A tree held in memory, a level at a time: the rule by which the written tables settle states, in numpy."""
 
     def __init__(self, head: np.ndarray, count: np.ndarray, total: int, distinct: int):
         self.head, self.count = head, count
@@ -81,11 +90,6 @@ class Tree:
         self.keys: list[np.ndarray] = []
         self.logs: list[np.ndarray] = []
 
-    def ranks(self, h: np.ndarray) -> np.ndarray:
-        """Place of every token in the head, -1 for rarer ones."""
-        values, back = np.unique(h, return_inverse=True)
-        return _find(self.head, values)[back]
-
     def candidates(self, word: np.ndarray) -> list[np.ndarray]:
         """Per level the number of the candidate run that ends at each token, -1 if none."""
         out, last = [], np.zeros(len(word), np.int64)
@@ -121,21 +125,6 @@ def _find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-def _nexts(tree: Tree):
-    """Counts of (deepest level's candidate, next head word)."""
-    def keys(batches):
-        for whole in batches:
-            for b in ts.slices(whole):
-                word = tree.ranks(tokens(b.column("text"))[0])
-                run = tree.candidates(word)[-1]
-                ok = np.flatnonzero((run[:-1] >= 0) & (word[1:] >= 0))
-                yield run[ok] << SHIFT | word[ok + 1]
-
-    def run(batches):
-        yield from _counted(keys(batches), "key")
-    return run
-
-
 def _parent_log(tree: Tree, level: int, run: np.ndarray, word: np.ndarray) -> np.ndarray:
     """log10 of a word after the longest state shorter than a candidate of ``level``."""
     spelled = []
@@ -176,80 +165,189 @@ def _settle(tree: Tree, level: int, uses: np.ndarray, keys: np.ndarray, n: np.nd
     tree.logs.append(np.log10(p[ok]))
 
 
-def _score(tree: Tree):
+def runs_of(h: np.ndarray, first: np.ndarray, depth: int):
+    """Level by level (hash of the run of level + 1 tokens that ends at each token, whether the run lies in one row)."""
+    place = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    out = [(h, np.ones(len(h), bool))]
+    for level in range(1, depth + 1):
+        longer = np.zeros(len(h), np.uint64)
+        longer[level:] = ts.mix(out[-1][0][level:] * np.uint64(ts.BASE) + h[: max(0, len(h) - level)])
+        out.append((longer, place >= level))
+    return out
+
+
+def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    slot = h & np.uint64(8 * len(bits) - 1)
+    return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+RUNS = ["h", "context", "shorter", "n"]
+
+
+def _longer(level: int, bits: np.ndarray):
+    """Counts of the runs of level + 1 tokens whose context and whose shorter run can both be kept, a chunk at a time."""
+    def run(batches):
+        held, size = [], 0
+
+        def out():
+            h, context, shorter = (np.concatenate(x) for x in zip(*held))
+            h, at, n = np.unique(h, return_index=True, return_counts=True)
+            for i in range(0, len(h), 100_000):
+                j = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h[j], context[at[j]], shorter[at[j]], n[j])], RUNS)
+
+        for whole in batches:
+            for b in ts.slices(whole):
+                shorter, (h, inside) = runs_of(*tokens(b.column("text")), level)[-2:]
+                kept = _in_map(bits, shorter[0])
+                at = np.flatnonzero(inside & kept & np.append(False, kept[:-1]))
+                if len(at):
+                    held.append((h[at], shorter[0][at - 1], shorter[0][at]))
+                    size += len(at)
+                if size >= CHUNK:
+                    yield from out()
+                    held, size = [], 0
+        if held:
+            yield from out()
+    return run
+
+
+def _level(runs: DataFrame, last: DataFrame, often: float, divergence: float) -> tuple[DataFrame, DataFrame]:
+    """(runs with n, log and add, contexts with passed) of a level: ``last`` has h, n and log of the level before.
+
+    A kept run's context and shorter run are kept too, as they occur wherever
+    it does, so the joins lose no run but those whose context is too rare.
+    """
+    runs = runs.join(last.filter(F.col("n") >= often).select(F.col("h").alias("context"), F.col("n").alias("uses")), "context")
+    runs = runs.join(last.select(F.col("h").alias("shorter"), F.col("log").alias("before")), "shorter")
+    runs = stored(runs.select("h", "context", "n", "uses", "before"), "runs").withColumn("p", (F.col("n") - DISCOUNT) / F.col("uses"))
+    q = F.pow(F.lit(10.0), F.col("before"))
+    rest, shorter = F.greatest(1 - F.sum("p"), F.lit(1e-12)), F.greatest(1 - F.sum(q), F.lit(1e-12))
+    far = F.sum(F.col("p") * F.log(F.col("p") / q)) + rest * F.log(rest / shorter)
+    states = stored(runs.groupBy("context").agg(F.log10(rest / shorter).alias("passed"), far.alias("far")).filter(F.col("far") >= divergence).drop("far"), "states")
+    after = F.log10("p")
+    runs = runs.join(states, "context", "left").select(
+        "h", "n", F.when(F.col("passed").isNull(), F.col("before")).otherwise(after).alias("log"),
+        F.when(F.col("passed").isNull(), F.lit(0.0)).otherwise(after - F.col("before") - F.col("passed")).alias("add"))
+    return runs, states
+
+
+class Lookup:
+    """What travels to the tasks: the frequent words and runs, and a map of the other runs in the table."""
+
+    def __init__(self, heads: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray, bits: list[np.ndarray]):
+        self.heads, self.root, self.bits = heads, root, bits
+
+
+def _score(tree: Lookup):
     def run(batches):
         made = TaskContext.get().partitionId() << 33
         for whole in batches:
             for b in ts.slices(whole):
                 h, first = tokens(b.column("text"))
-                word = tree.ranks(h)
-                known = np.where(word >= 0, 1, 0)
-                base = np.where(word >= 0, tree.root[word], 0.0) if len(tree.root) else np.zeros(len(word))
                 rows = made + np.arange(len(first), dtype=np.int64)
                 made += len(first)
                 n = np.diff(np.append(first, len(h)))
+                own = np.repeat(np.arange(len(first)), n)
+                known, base, score = np.zeros(len(first), np.int64), np.zeros(len(first)), np.zeros(len(first))
+                asked = []
+                for level, (run_, inside) in enumerate(runs_of(h, first, len(tree.heads) - 1)):
+                    at = np.flatnonzero(inside if not level else inside & _in_map(tree.bits[level], run_))
+                    values, back = np.unique(run_[at], return_inverse=True)
+                    found = _find(tree.heads[level][0], values)[back]
+                    has = found >= 0
+                    score += np.bincount(own[at[has]], tree.heads[level][1][found[has]], len(first))
+                    if not level:
+                        known += np.bincount(own[at[has]], minlength=len(first))
+                        base += np.bincount(own[at[has]], tree.root[found[has]], len(first))
+                    left = at[~has]
+                    asked.append((np.full(len(left), level, np.int32), run_[left].view(np.int64), rows[own[left]]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(first), np.int32)), pa.array(rows), pa.array(rows), b.column("doc_id"), pa.array(n.astype(np.int64)),
-                     pa.array(np.add.reduceat(known, first).astype(np.int64)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(tree.log_next(word), first))],
-                    COLUMNS)
-                rare = np.flatnonzero(word < 0)
-                if len(rare):
-                    own = rows[np.searchsorted(first, rare, "right") - 1]
-                    one = np.ones(len(rare), np.int64)
+                    [pa.array(np.full(len(first), -1, np.int32)), pa.array(rows), pa.array(rows), b.column("doc_id"), pa.array(n.astype(np.int64)),
+                     pa.array(known), pa.array(base), pa.array(score)], COLUMNS)
+                level, key, row = (np.concatenate(x) for x in zip(*asked))
+                for i in range(0, len(key), 100_000):
+                    j = slice(i, i + 100_000)
+                    size = len(key[j])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(one.astype(np.int32)), pa.array(h[rare].view(np.int64)), pa.array(own), pa.nulls(len(rare), b.column("doc_id").type),
-                         pa.nulls(len(rare), pa.int64()), pa.nulls(len(rare), pa.int64()), pa.nulls(len(rare), pa.float64()), pa.nulls(len(rare), pa.float64())],
-                        COLUMNS)
+                        [pa.array(level[j]), pa.array(key[j]), pa.array(row[j]), pa.nulls(size, b.column("doc_id").type),
+                         pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.float64()), pa.nulls(size, pa.float64())], COLUMNS)
     return run
 
 
 COLUMNS = ["kind", "key", "row", "doc_id", "n_tokens", "n_known", "base", "score"]
 
 
-def learn(texts: DataFrame, depth: int, context_share: float, entry_share: float, head_share: float, divergence: float):
-    """(tree, word counts): ``texts`` has a column text; every text counts whole."""
-    counts = stored(texts.select("text").mapInArrow(_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "words")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+def learn(texts: DataFrame, depth: int, context_share: float, entry_share: float, divergence: float, log_bits: int = LOG_BITS):
+    """(tables of h, value and n, word first; tokens; distinct tokens; norm): ``texts`` has a column text; every text counts whole.
+
+    A value is what a word or run adds to the score of a text that holds it. A
+    run that adds nothing is in no table.
+    """
+    counts = stored(texts.select("text").mapInArrow(_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total = int(total)
-    head = counts.filter(F.col("c") >= total * head_share).toPandas()  # at most 1 / head_share rows
-    order = np.argsort(head["h"].to_numpy().view(np.uint64))
-    tree = Tree(head["h"].to_numpy().view(np.uint64)[order], head["c"].to_numpy()[order], total, distinct)
-    often = np.flatnonzero((tree.count >= total * context_share) & (tree.head != END))
-    runs, uses = often.astype(np.int64), tree.count[often]
-    for level in range(depth):
-        if not len(runs):
+    norm = total + 0.5 * (distinct + 1)
+    last = counts.withColumn("log", F.log10((F.col("n") + 0.5) / F.lit(float(norm)))).withColumn("add", F.col("log"))
+    levels = []
+    often, least = max(2.0, total * context_share), max(2.0, total * entry_share)
+    for level in range(1, depth + 1):
+        bits = bit_map(last.filter(F.col("n") >= min(often, least)).select("h"), log_bits)
+        if not bits.any():
             break
-        tree.runs.append(runs)
-        pairs = texts.select("text").mapInArrow(_nexts(tree), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        pairs = stored(pairs.filter(F.col("n") >= max(2.0, total * entry_share)), "nexts").toPandas()  # at most 1 / entry_share rows
-        keys, n = pairs["key"].to_numpy(), pairs["n"].to_numpy()
-        _settle(tree, level, uses, keys, n, divergence)
-        longer = (n >= total * context_share) & (tree.head[keys & ((1 << SHIFT) - 1)] != END)
-        order = np.argsort(keys[longer])
-        runs, uses = keys[longer][order], n[longer][order]
-    return tree, counts
-
-
-def suffix_scores(docs: DataFrame, depth: int = 2, context_share: float = 5e-5, entry_share: float = 1e-6, head_share: float = 5e-7, divergence: float = 0.02) -> DataFrame:
+        found = texts.select("text").mapInArrow(_longer(level, bits), "h long, context long, shorter long, n long")
+        runs = found.groupBy("h").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"), F.sum("n").alias("n")).filter(F.col("n") >= least)
+        new, states = _level(runs, last, often, divergence)
+        levels.append(_values(last, states, not levels))
+        last = stored(new, "level") if level < depth else new
+    levels.append(_values(last, None, not levels))
+    return levels, total, distinct, norm
+
+
+def _values(runs: DataFrame, states: DataFrame | None, words: bool) -> DataFrame:
+    """What each run adds as the next word after its context and as a context; words are all kept, as they are known."""
+    if states is not None:
+        runs = runs.join(states.withColumnRenamed("context", "h"), "h", "left").withColumn("add", F.col("add") + F.coalesce("passed", F.lit(0.0)))
+    return stored((runs if words else runs.filter("add <> 0")).select("h", F.col("add").alias("value"), "n"), "values")
+
+
+def suffix_scores(docs: DataFrame, depth: int = 3, context_share: float = 0.0, entry_share: float = 0.0, head_share: float = 5e-7, divergence: float = 0.02) -> DataFrame:
     """Scores of every document by a tree learnt from those whose crc32(doc_id as text) mod 5 is not 1.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and
     score, one row per input row. A null or empty text is its end alone; a null
     doc_id is not held out; equal rows count and are scored each. Without
-    training text every token has the chance of an unknown one.
+    training text every token has the chance of an unknown one. A caller can ask
+    for contexts or next words that make a share of all tokens; by default two
+    occurrences are enough at any size.
     """
     ts.small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    tree, counts = learn(docs.filter(remainder(F.col("doc_id"), 5) != 1), depth, context_share, entry_share, head_share, divergence)
+    levels, total, distinct, norm = learn(docs.filter(remainder(F.col("doc_id"), 5) != 1), depth, context_share, entry_share, divergence)
+    unknown = math.log10(0.5 / norm)
+    heads, bits, root, rare = [], [], np.zeros(0), None
+    for level, table in enumerate(levels):
+        frequent = F.col("n") >= total * head_share * (4 if level else 1)
+        head = table.filter(frequent).toPandas()  # at most 1 / head_share rows, a quarter of that for runs
+        order = np.argsort(head["h"].to_numpy().view(np.uint64))
+        heads.append((head["h"].to_numpy().view(np.uint64)[order], head["value"].to_numpy()[order]))
+        if not level:
+            root = np.log10((head["n"].to_numpy()[order] + 0.5) / norm)
+        others = table.filter(~frequent)
+        bits.append(bit_map(table.select("h"), LOG_BITS) if level else np.zeros(1, np.uint8))
+        others = others.select(F.lit(level).alias("kind"), F.col("h").alias("key"), "value", "n")
+        rare = others if rare is None else rare.union(others)
     kind = dict(docs.dtypes)["doc_id"]
-    scored = docs.mapInArrow(_score(tree), f"kind int, key long, row long, doc_id {kind}, n_tokens long, n_known long, base double, score double")
-    rare = counts.filter(F.col("c") < tree.total * head_share).select(F.lit(1).alias("kind"), F.col("h").alias("key"), "c")
-    unknown = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(tree.norm)))
+    scored = docs.mapInArrow(_score(Lookup(heads, root, bits)), f"kind int, key long, row long, doc_id {kind}, n_tokens long, n_known long, base double, score double")
+    own, word = F.col("kind") == -1, F.col("kind") == 0
+    plain = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(norm)))
     per_token = scored.join(rare, ["kind", "key"], "left").select(
-        "row", "doc_id", "n_tokens", F.when(F.col("kind") == 0, F.col("n_known")).otherwise(F.col("c").isNotNull().cast("long")).alias("n_known"),
-        F.when(F.col("kind") == 0, F.col("base")).otherwise(unknown).alias("base"), F.when(F.col("kind") == 0, F.col("score")).otherwise(unknown).alias("score"))
+        "row", "doc_id", "n_tokens",
+        F.when(own, F.col("n_known")).when(word, F.col("n").isNotNull().cast("long")).otherwise(0).alias("n_known"),
+        F.when(own, F.col("base")).when(word, plain).otherwise(0.0).alias("base"),
+        F.when(own, F.col("score")).otherwise(F.coalesce("value", F.when(word, F.lit(unknown)).otherwise(0.0))).alias("score"))
     return (
         per_token.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
                                      F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-        .select("doc_id", (remainder(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")
+        .select("doc_id", (remainder(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
     )

@@ -277,6 +277,51 @@ def test_suffix_scores(spark):
     assert suffix_tree.suffix_scores(empty(spark)).count() == 0
 
 
+def suffix_scores_by_hand(rows, depth, divergence=0.02):
+    split = [(r[0], SPACED.findall((r[1] or "").translate(LOW)) + [None]) for r in rows]
+    n = [collections.Counter() for _ in range(depth + 1)]
+    for d, w in split:
+        if d is None or zlib.crc32(str(d).encode()) % 5 != 1:
+            for level in range(depth + 1):
+                n[level].update(tuple(w[i: i + level + 1]) for i in range(len(w) - level))
+    norm = sum(n[0].values()) + 0.5 * (len(n[0]) + 1)
+    states = [{} for _ in range(depth + 1)]
+
+    def chance(before, word):
+        out = (n[0][(word,)] + 0.5) / norm
+        for level in range(1, min(depth, len(before)) + 1):
+            context = before[len(before) - level:]
+            if context in states[level]:
+                known = n[level][context + (word,)]
+                out = (known - 0.75) / n[level - 1][context] if known >= 2 else states[level][context] * out
+        return out
+
+    for level in range(1, depth + 1):
+        after = collections.defaultdict(list)
+        for run, k in n[level].items():
+            if k >= 2:
+                after[run[:-1]].append(((k - 0.75) / n[level - 1][run[:-1]], chance(run[1:-1], run[-1])))
+        found = {}
+        for context, pairs in after.items():
+            rest, shorter = (max(1 - sum(x), 1e-12) for x in zip(*pairs))
+            if sum(p * math.log(p / q) for p, q in pairs) + rest * math.log(rest / shorter) >= divergence:
+                found[context] = rest / shorter
+        states[level] = found
+    return [(d, sum(math.log10(chance(tuple(w[max(0, i - depth): i]), w[i])) for i in range(len(w)))) for d, w in split]
+
+
+@pytest.mark.parametrize("head_share", [5e-7, 2e-3])
+def test_suffix_tree_keeps_every_repeated_run(spark, head_share):
+    rng = random.Random(12)
+    told = ["alpha beta gamma delta epsilon zeta eta theta", "one beta gamma delta other zeta eta iota", "q beta gamma rho"]
+    extra = [words(rng, 30_000, of=20_000) for _ in range(3)] + [words(rng, 5) + " " + rng.choice(told) + " " + words(rng, 5) for _ in range(40)]
+    rows = corpus(extra)
+    got = suffix_tree.suffix_scores(spark.createDataFrame(rows, DOCS), head_share=head_share).collect()
+    want = suffix_scores_by_hand(rows, 3)
+    a, b = (sorted(((str(d), s) for d, s in x)) for x in ([(r.doc_id, r.score) for r in got], want))
+    assert len(a) == len(b) and all(x[0] == y[0] and abs(x[1] - y[1]) < 1e-6 * (1 + abs(y[1])) for x, y in zip(a, b))
+
+
 def test_suffix_tree_distributions_sum_to_one():
     words_ = np.sort(np.arange(1, 60, dtype=np.uint64))
     rng = np.random.default_rng(0)
