@@ -1,7 +1,10 @@
 """Substring deduplication by sliding sentence spans.
 
-A sentence of more than LONGEST words counts as pieces of that many, so texts
-without full stops are covered too. From every sentence a run begins: the fewest
+A sentence of more than LONGEST words counts as pieces: a piece begins at every
+word with the smallest hash of some SPAN consecutive words of the sentence. The
+cuts depend on the words around them only, so they move with a passage, whatever
+stands before it, and texts without full stops are covered too. A piece has at
+most SPAN words, and two copies of 50 words share a run wherever they stand. From every sentence a run begins: the fewest
 consecutive sentences, two at least, that hold ``min_words`` words. Runs are hashed and joined over the whole
 corpus; sentences covered by a run that occurred before (in an earlier row, or
 earlier in the same text) are removed.
@@ -16,12 +19,14 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from . import textscan as ts
+from .decontaminate import winnow
 
 RUN = "array<struct<h:bigint,pos:int,size:int>>"
 RUN_TYPE = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("size", pa.int32())]))
 COVER_TYPE = pa.list_(pa.struct([("pos", pa.int32()), ("size", pa.int32())]))
 
 LONGEST = 12
+SPAN = 10
 
 _END = np.zeros(256, bool)
 _END[[0x2E, 0x21, 0x3F]] = True  # . ! ?
@@ -29,7 +34,7 @@ _SPACE = ~ts.NONSPACE
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first): sentences end after . ! ? before white space, at line feeds and after LONGEST words; spans are trimmed and hold a character."""
+    """(starts, ends, first): sentences end after . ! ? before white space and at line feeds, long ones at words chosen by their hash too; spans are trimmed and hold a character."""
     starts, ends, first = ts.word_spans(data, offsets, ts.NONSPACE)
     if not len(starts):
         return starts, ends, first
@@ -40,8 +45,12 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     opens[1:] |= np.searchsorted(feeds, starts[1:]) > np.searchsorted(feeds, ends[:-1])
     opens[first[:-1][first[:-1] < len(starts)]] = True
     head = np.flatnonzero(opens)
-    opens |= (np.arange(len(starts)) - np.repeat(head, np.diff(np.append(head, len(starts))))) % LONGEST == 0
-    head = np.flatnonzero(opens)
+    size = np.diff(np.append(head, len(starts)))
+    at = np.flatnonzero(np.repeat(size > LONGEST, size))
+    if len(at):
+        h = ts.hash_spans(ts.LOWER[data], starts[at], ends[at])
+        opens[at[winnow(h, np.arange(len(at)), np.repeat(head, size)[at], SPAN)]] = True
+        head = np.flatnonzero(opens)
     begin = starts[head]
     return begin, ends[np.append(head[1:], len(starts)) - 1], np.searchsorted(begin, offsets)
 

@@ -164,6 +164,20 @@ def test_sentence_spans_cover_long_repeats(spark):
     assert sum(middle in r.text for r in got) == 1
 
 
+def test_sentence_spans_follow_a_passage_to_any_offset(spark):
+    rng = random.Random(3)
+    lead = lambda n: " ".join(f"n{rng.randrange(10 ** 9)}" for _ in range(n))
+    for size in (50, 80):
+        passage = [f"Passage{i * 7919 % 10 ** 6}" for i in range(size)]
+        rows = [(i, lead(n) + " " + " ".join(passage).swapcase() + " " + lead(n + i), "en", "s", 1) for i, n in enumerate((40, 41, 45, 52, 3, 64, 71))]
+        rows[0] = (0, lead(40) + " " + " ".join(passage) + " " + lead(11), "en", "s", 1)
+        got = {r.doc_id: r.text.split(" ") for r in substring_dedup.repeated_spans(spark.createDataFrame(rows, DOCS).coalesce(1)).collect()}
+        left = [sum(w.lower().startswith("passage") for w in got[i]) for i in range(len(rows))]
+        assert left[0] == size and max(left[1:]) < size - 10
+        if size == 80:
+            assert not any(w.swapcase() in got[i] for i in range(1, len(rows)) for w in passage[18:51])
+
+
 def labelled(spark, n=1500):
     rng = random.Random(4)
     rows, labels = [], []
