@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 
 #: Fixed patterns, in the order in which they are tried at a place.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
+EMAIL = r"(?<![A-Za-z0-9._%+-])(?=[._%+-]*+[A-Za-z0-9])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9][A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
 PHONE = (r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z])"
-         r"|(?<![0-9A-Za-z+(])\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])")
+         r"|(?<![0-9A-Za-z+(])\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z])"
+         r"|(?<![0-9A-Za-z+])(?<![0-9][.-])(?:1[ .-])?(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![0-9A-Za-z]|[.-][0-9])"
+         r"|(?<![0-9A-Za-z+])(?<![0-9][ .-])(?:1 )?[0-9]{3} [0-9]{3} [0-9]{4}(?![0-9A-Za-z]|[ .-][0-9])")
 DATE = r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./](?:19|20)[0-9]{2})(?![0-9]|[./-][0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
@@ -26,6 +28,9 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3
 SECRET = r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 ANY = "|".join([EMAIL, PHONE, DATE, SSN, IP, IBAN, SECRET, CARD])
+#: From every place where a card or an IBAN can begin, as far as it can reach and the letter or digit behind it.
+CARD_REACH = r"(?<![0-9A-Za-z])(?=([0-9](?:[ -]?[0-9]){12,18}[0-9A-Za-z]?))"
+IBAN_REACH = r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}[A-Z0-9 ]{8,44}[a-z]?))"
 #: A text with none of these holds no match.
 HINT = r"@|[0-9][ .()/-]{0,3}[0-9]|[0-9a-fA-F]{32}"
 
@@ -93,6 +98,28 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.length(digits) - 1), one), F.lit(0), lambda s, x: s + x)
 
 
+def _valid(text: Column, reach: str, shape: str, least: int, most: int, check) -> Column:
+    """The values of a shape that pass their check, of every start and length that no letter or digit touches."""
+    def starts(w: Column) -> Column:
+        def one(n: Column) -> Column:
+            m = F.substr(w, F.lit(1), n)
+            fits = (n <= F.length(w)) & ~F.substr(w, n + 1, F.lit(1)).rlike("[0-9A-Za-z]") & m.rlike(f"^(?:{shape})$")
+            return F.when(fits, F.when(check(m), m))
+
+        return F.filter(F.transform(F.sequence(F.lit(least), F.lit(most)), one), lambda m: m.isNotNull())
+
+    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(reach), F.lit(1)), starts)))
+
+
+def _pattern(text: Column) -> Column:
+    """ANY for one text, with its valid cards and IBANs, longer ones first, in place of all that look like some."""
+    cards = _valid(text, CARD_REACH, r"[0-9](?:[ -]?[0-9]){12,18}", 13, 37, lambda m: luhn_sum(_digits(m), 0) % 10 == 0)
+    ibans = _valid(text, IBAN_REACH, r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", 12, 43, _iban_holds)
+    found = F.array_sort(F.concat(cards, ibans), lambda a, b: F.length(b) - F.length(a))
+    values = F.when(F.size(found) > 0, F.concat(F.lit("|(?<![0-9A-Za-z])(?:"), F.array_join(found, "|"), F.lit(")(?![0-9A-Za-z])"))).otherwise("")
+    return F.concat(F.lit("|".join([EMAIL, PHONE, DATE, SSN, IP])), values, F.lit("|" + SECRET))
+
+
 def _card(m: Column, key: str) -> Column:
     digits = _digits(m)
     body = permuted(F.substr(digits, F.lit(1), F.length(digits) - 1), 10, key, "card")
@@ -102,7 +129,7 @@ def _card(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     """The country code stays, the number behind it is permuted."""
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[^0-9])|^\+[0-9]{2}|^", 0)
+    code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[^0-9])|^\+[0-9]{2}|^1[ .-]|^", 0)
     rest = F.substr(m, F.length(code) + 1)
     return F.concat(code, refilled(rest, "[^0-9]", permuted(_digits(rest), 10, key, "phone")))
 
@@ -143,19 +170,27 @@ def _date(m: Column, key: str) -> Column:
     return out
 
 
-def _iban(m: Column, key: str) -> Column:
-    """Country and letters stay, digits are permuted and the check digits made new (remainder 1 by 97)."""
+def _iban_remainder(country: Column, check: Column, rest: Column) -> Column:
+    chars = F.split(F.concat(rest, country, check), "")
+    value = lambda c: F.conv(c, 36, 10).cast("int")
+    return F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0), lambda s, c: (s * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97)
+
+
+def _iban_parts(m: Column) -> tuple[Column, Column, Column]:
     plain = F.regexp_replace(m, " ", "")
+    return F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(3), F.lit(2)), F.substr(plain, F.lit(5))
+
 
-    def remainder(country: Column, check: Column, rest: Column) -> Column:
-        chars = F.split(F.concat(rest, country, check), "")
-        value = lambda c: F.conv(c, 36, 10).cast("int")
-        return F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0), lambda s, c: (s * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97)
+def _iban_holds(m: Column) -> Column:
+    return _iban_remainder(*_iban_parts(m)) == 1
 
-    country, check, rest = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(3), F.lit(2)), F.substr(plain, F.lit(5))
+
+def _iban(m: Column, key: str) -> Column:
+    """Country and letters stay, digits are permuted and the check digits made new (remainder 1 by 97)."""
+    country, check, rest = _iban_parts(m)
     fresh = F.when(_digits(rest) == "", rest).otherwise(refilled(rest, "[^0-9]", permuted(_digits(rest), 10, key, "iban")))
-    whole = F.transform(F.array(fresh), lambda r: F.concat(country, F.lpad((F.lit(98) - remainder(country, F.lit("00"), r)).cast("string"), 2, "0"), r))[0]
-    return F.when(remainder(country, check, rest) == 1, refilled(m, "[ ]", whole)).otherwise(m)
+    whole = F.transform(F.array(fresh), lambda r: F.concat(country, F.lpad((F.lit(98) - _iban_remainder(country, F.lit("00"), r)).cast("string"), 2, "0"), r))[0]
+    return F.when(_iban_remainder(country, check, rest) == 1, refilled(m, "[ ]", whole)).otherwise(m)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -173,7 +208,7 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(whole(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), _ip(m, key))
         .when(whole(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), _ssn(m, key))
         .when(whole(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}"), _date(m, key))
-        .when(m.rlike(r"^[+(]"), _phone(m, key))
+        .when(m.rlike(r"^[+(]") | whole(r"(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}"), _phone(m, key))
         .when(whole("[0-9a-fA-F]{32,64}"), refilled(m, "[^0-9A-Fa-f]", permuted(F.lower(m), 16, key, "secret")))
         .when(m.rlike("^[A-Z]{2}[0-9]{2}"), _iban(m, key))
         .otherwise(_card(m, key))
@@ -189,9 +224,10 @@ def pseudonymized(docs: DataFrame, key: str = "change me") -> DataFrame:
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     text = F.col("doc.text")
-    found = packed.withColumn("found", F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0))))
+    packed = packed.withColumn("pattern", F.when(text.rlike(HINT), _pattern(text)))
+    found = packed.withColumn("found", F.regexp_extract_all(text, F.col("pattern"), F.lit(0)))
     named = found.withColumn("named", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(m, key))))
-    between = F.split(text, ANY, -1)
+    between = F.split(text, F.col("pattern"), -1)
     joined = F.array_join(F.zip_with(between, F.col("named"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     changed = F.coalesce(F.size(F.filter(F.zip_with("found", "named", lambda a, b: a != b), lambda x: x)), F.lit(0))
     return named.select(
