@@ -24,7 +24,9 @@ from . import textscan as ts
 PIVOTS = 256
 LENGTH = 64
 BLOCK = 4096
+#: A block reranks this many candidates, or this share of its vectors if that is more.
 CANDIDATES = 1024
+CANDIDATE_SHARE = 0.5
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
@@ -63,10 +65,11 @@ def _search(pivots: np.ndarray, length: int, candidates: int, k: int):
             asked = permutations(q, pivots, length)
             place = np.arange(asked.shape[1], dtype=np.int16)[:, None]
             ids = left["ids"].to_numpy()
+            most = max(candidates, int(np.ceil(CANDIDATE_SHARE * len(x))))
             for i in range(len(q)):
-                if len(x) > candidates:
+                if len(x) > most:
                     footrule = np.abs(files[asked[i]] - place).sum(0, dtype=np.int32)
-                    near = np.argpartition(footrule, candidates - 1)[:candidates]
+                    near = np.argpartition(footrule, most - 1)[:most]
                 else:
                     near = np.arange(len(x))
                 rough = x[near] @ q[i]
