@@ -27,8 +27,6 @@ from ..session import stored
 from . import textscan as ts
 
 WEIGHT_STEPS = 1_000_000
-#: More sources than this share queues by hash, so the table of queues stays small.
-QUEUES = 1024
 KEPT_UNITS = 2_000_000
 
 
@@ -215,23 +213,23 @@ def pack(docs: DataFrame, tokenizer: str | None = None, targets: dict[str, float
     """
     spark = docs.sparkSession
     ts.small_batches(spark)
-    queue = F.pmod(F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))), F.lit(QUEUES)).cast("int")
-    if targets:
-        named = F.create_map(*[F.lit(x) for p in zip(sorted(targets), range(QUEUES, QUEUES + len(targets))) for x in p])
-        queue = F.coalesce(named[F.col("source").cast("string")], queue)
+    # every source has a queue of its own, the null source too
+    sources = stored(ts.with_row_id(docs.select("source").distinct().orderBy("source"), "queue"), "sources")
     kind = dict(docs.dtypes)
     tokens = stored(
-        docs.select("doc_id", "source", "text", queue.alias("queue"))
+        docs.select("doc_id", "source", "text").join(sources.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
         .mapInArrow(_tokenize(tokenizer or default_tokenizer(), end_id),
-                    f"doc_id {kind['doc_id']}, source {kind['source']}, queue int, part int, at long, doc_tokens long, ids binary"), "tokens")
+                    f"doc_id {kind['doc_id']}, source {kind['source']}, queue long, part int, at long, doc_tokens long, ids binary"), "tokens")
     parts = tokens.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per queue and task of the pass above; small enough for Spark to send whole, or else joined by shuffle
     bases = stored(parts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))), "bases")
-    totals = {r[0]: int(r[1]) for r in bases.groupBy("queue").agg(F.sum("n")).collect()}  # a row per queue: bounded by QUEUES
+    totals = {r[0]: int(r[1]) for r in bases.groupBy("queue").agg(F.sum("n")).collect()}  # a row per source
     whole = sum(totals.values()) or 1
     share = {q: t / whole for q, t in totals.items()}
-    share.update({QUEUES + i: targets[s] for i, s in enumerate(sorted(targets or ())) if QUEUES + i in totals})
+    if targets:
+        named = sources.select("queue", F.col("source").cast("string").alias("name")).filter(F.col("name").isin(sorted(targets))).collect()
+        share.update({r["queue"]: targets[r["name"]] for r in named if r["queue"] in totals})
     weights = {q: max(1, round(WEIGHT_STEPS * s)) for q, s in share.items()}
     return tokens.join(bases.drop("n"), ["queue", "part"]).mapInArrow(
         _cut(totals, weights, quantum, length),
