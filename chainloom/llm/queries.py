@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, packing, permutation_index, pii, quality, substring_dedup, suffix_tree, toxicity, warc
+from . import decontaminate, near_dedup, packing, permutation_index, pii, quality, sketch_search, substring_dedup, suffix_tree, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_pseudonyms(spark, sf_dir):
     return pii.pseudonymized(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("doc")
 
 
+def op13_sketch_search(spark, sf_dir):
+    return sketch_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_pack_mixture": op1_pack_mixture,
     "op2_decontaminate": op2_decontaminate,
@@ -66,6 +70,7 @@ QUERIES = {
     "op8_suffix_scores": op8_suffix_scores,
     "op9_quality": op9_quality,
     "op10_pseudonyms": op10_pseudonyms,
+    "op13_sketch_search": op13_sketch_search,
 }
 ORACLE: dict[str, str] = {
     "op3_warc_index": """
@@ -75,4 +80,18 @@ ORACLE: dict[str, str] = {
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN largest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN largest <> page_id THEN largest END AS refers_to
         FROM t""",
+    "op13_sketch_search": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+            FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT CAST(count(*) AS BIGINT) AS all_docs, CAST(sum(len(t)) AS BIGINT) AS all_terms FROM d WHERE len(t) > 0),
+        f AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf, any_value(n) AS n
+              FROM (SELECT doc_id, CAST(len(t) AS BIGINT) AS n, unnest(t) AS term FROM d) GROUP BY doc_id, term),
+        w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * all_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, s GROUP BY term, all_docs),
+        q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+              FROM benchmark WHERE text IS NOT NULL),
+        r AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * all_docs) // all_terms)))) AS BIGINT) AS score
+              FROM q JOIN w USING (term) JOIN f USING (term), s GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM r WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10""",
 }
