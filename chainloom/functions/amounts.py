@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import vocab as V
 from .facts import lookup
+from .wide import wide_add, wide_digits, wide_of, wide_parse
 
 BIG = "decimal(38,0)"
 MINUS = "−"
@@ -44,43 +45,48 @@ def amount_words(value: Column) -> Column:
 
 def units_to_decimal(value: Column, decimals: Column | int) -> Column:
     """Raw units as an exact decimal string without trailing zeros."""
-    d = F.lit(decimals) if isinstance(decimals, int) else decimals
     digits = F.regexp_replace(value.cast("string"), "^-", "")
+    return F.concat(F.when(value < 0, "-").otherwise(""), digits_to_decimal(digits, decimals))
+
+
+def digits_to_decimal(digits: Column, decimals: Column | int) -> Column:
+    """``units_to_decimal`` of the digits of a number that is not negative, however many."""
+    d = F.lit(decimals) if isinstance(decimals, int) else decimals
     wide = F.lpad(digits, F.greatest(F.length(digits), d + 1), "0")
     whole = F.substr(wide, F.lit(1), F.length(wide) - d)
     rest = F.regexp_replace(F.substr(wide, F.length(wide) - d + 1, d), "0+$", "")
-    sign = F.when(value < 0, "-").otherwise("")
-    return F.concat(sign, whole, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
+    return F.concat(whole, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
 
 
 def group_digits(digits: Column) -> Column:
     return F.regexp_replace(digits, r"\B(?=(\d{3})+(?!\d))", ",")
 
 
-def _scaled(dec: Column, places: int):
-    """(negative, |value| * 10^places rounded half up, nonzero) of a decimal string."""
+def _scaled(dec: Column, places: int, limbs: bool = False):
+    """(negative, the digits of |value| * 10^places rounded half up, nonzero) of a decimal string; ``limbs`` for more than 38 digits."""
     body = F.regexp_replace(dec, "^-", "")
     whole, rest = F.split_part(body, F.lit("."), F.lit(1)), F.split_part(body, F.lit("."), F.lit(2))
     padded = F.rpad(rest, places + 1, "0") if places + 1 else rest
-    kept = F.concat(whole, F.substring(padded, 1, places)).cast(BIG)
+    kept = F.concat(whole, F.substring(padded, 1, places))
     up = F.when(F.substring(padded, places + 1, 1) >= "5", 1).otherwise(0).cast("decimal(1,0)")
+    digits = wide_digits(wide_add(wide_parse(kept), wide_of(up))) if limbs else (kept.cast(BIG) + up).cast(BIG).cast("string")
     nonzero = body.rlike("[1-9]")
-    return dec.startswith("-") & nonzero, (kept + up).cast(BIG), nonzero
+    return dec.startswith("-") & nonzero, digits, nonzero
 
 
-def fmt_amount(dec: Column) -> Column:
+def fmt_amount(dec: Column, limbs: bool = False) -> Column:
     """Two decimals with separators; '<0.01' for a nonzero amount that rounds to nothing."""
-    neg, cents, nonzero = _scaled(dec, 2)
-    digits = F.lpad(cents.cast("string"), F.greatest(F.length(cents.cast("string")), F.lit(3)), "0")
+    neg, cents, nonzero = _scaled(dec, 2, limbs)
+    digits = F.lpad(cents, F.greatest(F.length(cents), F.lit(3)), "0")
     whole = group_digits(F.substr(digits, F.lit(1), F.length(digits) - 2))
     shown = F.concat(whole, F.lit("."), F.substring(digits, -2, 2))
     sign = F.when(neg, MINUS).otherwise("")
-    return F.when((cents == 0) & nonzero, F.concat(sign, F.lit("<0.01"))).when(cents == 0, "0.00").otherwise(F.concat(sign, shown))
+    return F.when((cents == "0") & nonzero, F.concat(sign, F.lit("<0.01"))).when(cents == "0", "0.00").otherwise(F.concat(sign, shown))
 
 
 def fmt_whole(dec: Column) -> Column:
     neg, units, _ = _scaled(dec, 0)
-    return F.concat(F.when(neg & (units > 0), MINUS).otherwise(""), group_digits(units.cast("string")))
+    return F.concat(F.when(neg & (units != "0"), MINUS).otherwise(""), group_digits(units))
 
 
 def fmt_signed(dec: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
@@ -150,11 +150,12 @@ def token_meta(reads: DataFrame) -> DataFrame:
                         F.when(F.col("decimals") <= 77, F.col("decimals")).alias("decimals"))
 
 
-def assign_ids(dictionary: DataFrame, values: DataFrame, columns: list[str], last: Column | None = None) -> DataFrame:
+def assign_ids(dictionary: DataFrame, values: DataFrame, columns: list[str], last: Column | None = None, few: bool = False) -> DataFrame:
     """New dictionary rows (id, address): dense ids after the largest known one, in order of first sight.
 
     ``values`` also carries block_number and log_index. Known addresses consume
     no id. ``last`` is the largest id where ``dictionary`` is only a part of the whole.
+    ``few`` says that the caller counted the values and one task may number them.
     """
     seen = (
         values.select("block_number", "log_index", F.explode(F.array(*columns)).alias("address"))
@@ -162,8 +163,8 @@ def assign_ids(dictionary: DataFrame, values: DataFrame, columns: list[str], las
         .groupBy("address").agg(F.min(F.struct("block_number", "log_index")).alias("_first"))
     )
     new = seen.join(dictionary.select("address"), "address", "left_anti")
-    ranked = global_rank(new.select("address", F.col("_first.block_number").alias("b"), F.col("_first.log_index").alias("l")),
-                         ["b", "l", "address"])
+    placed, order = new.select("address", F.col("_first.block_number").alias("b"), F.col("_first.log_index").alias("l")), ["b", "l", "address"]
+    ranked = placed.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1) if few else global_rank(placed, order)
     base = F.coalesce(dictionary.agg(F.max("id")).scalar(), F.lit(0)) if last is None else last
     return ranked.select((base + 1 + F.col("rank")).cast("bigint").alias("id"), "address")
 

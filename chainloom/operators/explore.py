@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.amounts import fmt_amount, fmt_fee, fmt_int, pct, short_address, short_hash, units_to_decimal
+from ..functions.amounts import digits_to_decimal, fmt_amount, fmt_fee, fmt_int, group_digits, pct, short_address, short_hash, units_to_decimal
 from ..functions.bigint import magnitude
 from ..functions.facts import known_name, lookup
+from ..functions.wide import WIDE, is_wide, wide_abs, wide_digits, wide_double, wide_lit, wide_negative, wide_sub, wide_sum, wide_zero
+from ..session import stored
 from .ranking import LOGS_PER_PIECE, latest_per_key
 
 BIG = "decimal(38,0)"
@@ -23,10 +25,13 @@ def daily_rollup(transfers: DataFrame, blocks: DataFrame | None = None, frm: str
 
     Both sides come out of one scan, and the sums are partly aggregated before
     they are shuffled, so a hot address costs one row per task and day.
-    ``blocks`` gives the block time when the rows do not carry it.
+    ``blocks`` gives the block time when the rows do not carry it. Amounts in
+    limbs give totals in limbs.
     """
+    limbs = is_wide(transfers, "value")
+    total = wide_sum if limbs else F.sum
     rows = transfers if blocks is None else transfers.join(blocks.select("block_number", "block_time"), "block_number")
-    zero, one, none = F.lit(0).cast(BIG), F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    zero, one, none = wide_lit(0) if limbs else F.lit(0).cast(BIG), F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
 
     def side(column, i, o, ic, oc):
         return F.struct(F.col(column).alias(key), i.alias("i"), o.alias("o"), ic.alias("ic"), oc.alias("oc"))
@@ -34,13 +39,19 @@ def daily_rollup(transfers: DataFrame, blocks: DataFrame | None = None, frm: str
     return (
         rows.select(F.date_format("block_time", DAY).alias("day"), F.inline(both))
         .groupBy(key, "day")
-        .agg(F.sum("i").alias("in_value"), F.sum("o").alias("out_value"), F.sum("ic").alias("in_count"), F.sum("oc").alias("out_count"))
+        .agg(total(F.col("i")).alias("in_value"), total(F.col("o")).alias("out_value"), F.sum("ic").alias("in_count"), F.sum("oc").alias("out_count"))
     )
 
 
 MEASURES = ["in_value", "out_value", "in_count", "out_count"]
 
 
+def _totals(daily: DataFrame) -> list[Column]:
+    """The sum of each measure, in limbs where the values are."""
+    total = wide_sum if is_wide(daily, "in_value") else F.sum
+    return [(total(F.col(m)) if m.endswith("value") else F.sum(m)).alias(m) for m in MEASURES]
+
+
 class Rollup:
     """Daily totals kept as one delta per folded range.
 
@@ -48,11 +59,13 @@ class Rollup:
     last, so a replay rewrites the same folders and nothing is folded twice.
     """
 
-    DELTA = f"address string, day string, in_value {BIG}, out_value {BIG}, in_count bigint, out_count bigint, batch_id bigint"
     CURSOR = "rolled_to bigint, batch_id bigint"
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, limbs: bool = False):
+        """``limbs``: amounts are kept as 256-bit values."""
+        self.spark, self.root, self.limbs = spark, root, limbs
+        kind = WIDE if limbs else BIG
+        self.delta = f"address string, day string, in_value {kind}, out_value {kind}, in_count bigint, out_count bigint, batch_id bigint"
 
     def rolled_to(self) -> int | None:
         """The end of the last folded range: one number for the job that plans the next range."""
@@ -86,9 +99,9 @@ class Rollup:
 
     def read(self) -> DataFrame:
         """Totals over all deltas whose range has been closed."""
-        deltas = self.spark.read.schema(self.DELTA).parquet(f"{self.root}/daily")
+        deltas = self.spark.read.schema(self.delta).parquet(f"{self.root}/daily")
         done = self.spark.read.schema(self.CURSOR).parquet(f"{self.root}/cursor").select("batch_id").distinct()
-        return deltas.join(done, "batch_id", "left_semi").groupBy("address", "day").agg(*[F.sum(m).alias(m) for m in MEASURES])
+        return deltas.join(done, "batch_id", "left_semi").groupBy("address", "day").agg(*_totals(deltas))
 
     def compact(self, into: Rollup, batch_id: int) -> None:
         """Write the closed deltas as a single one below another root."""
@@ -99,7 +112,10 @@ class Rollup:
 
 def address_totals(daily: DataFrame, address: str | None = None) -> DataFrame:
     """Sums, counts, first and last day per address; for one address always a row, of zeros when it never moved."""
-    aggs = [F.coalesce(F.sum(m), F.lit(0)).cast(t).alias(m) for m, t in zip(MEASURES, (BIG, BIG, "bigint", "bigint"))]
+    if is_wide(daily, "in_value"):
+        aggs = [F.coalesce(wide_sum(F.col(m)), wide_lit(0)).alias(m) if m.endswith("value") else F.coalesce(F.sum(m), F.lit(0)).cast("bigint").alias(m) for m in MEASURES]
+    else:
+        aggs = [F.coalesce(F.sum(m), F.lit(0)).cast(t).alias(m) for m, t in zip(MEASURES, (BIG, BIG, "bigint", "bigint"))]
     aggs += [F.min("day").alias("first_day"), F.max("day").alias("last_day")]
     if address is None:
         return daily.groupBy("address").agg(*aggs)
@@ -108,17 +124,20 @@ def address_totals(daily: DataFrame, address: str | None = None) -> DataFrame:
 
 def day_series(daily: DataFrame, key: str = "address", half: int = 82) -> DataFrame:
     """One row per key and day from its first to its last, empty days as zero, with square-root heights."""
+    limbs = is_wide(daily, "in_value")
+    top = F.greatest(F.max("in_value"), F.max("out_value"))
     span = daily.groupBy(key).agg(
-        F.min(F.to_date("day")).alias("_a"), F.max(F.to_date("day")).alias("_b"),
-        F.greatest(F.max("in_value"), F.max("out_value")).cast("double").alias("_top"))
+        F.min(F.to_date("day")).alias("_a"), F.max(F.to_date("day")).alias("_b"), (wide_double(top) if limbs else top.cast("double")).alias("_top"))
     days = span.select(key, "_top", F.explode(F.sequence("_a", "_b")).alias("_d")).select(key, "_top", F.date_format("_d", DAY).alias("day"))
 
+    zero = wide_lit(0) if limbs else F.lit(0)
+
     def height(c):
-        v = F.col(c).cast("double")
+        v = wide_double(F.col(c)) if limbs else F.col(c).cast("double")
         return F.when((F.col("_top") > 0) & (v > 0), F.greatest(F.lit(1.0), F.sqrt(v / F.col("_top")) * half)).otherwise(0.0)
     x = days.join(daily, [key, "day"], "left")
-    return x.select(key, "day", F.coalesce("in_value", F.lit(0)).cast(BIG).alias("in_value"),
-                    F.coalesce("out_value", F.lit(0)).cast(BIG).alias("out_value"), height("in_value").alias("in_h"), height("out_value").alias("out_h"))
+    return x.select(key, "day", F.coalesce("in_value", zero).cast(WIDE if limbs else BIG).alias("in_value"),
+                    F.coalesce("out_value", zero).cast(WIDE if limbs else BIG).alias("out_value"), height("in_value").alias("in_h"), height("out_value").alias("out_h"))
 
 
 def rollup_behind(rolled_to: Column, head: Column, slack: int = 120) -> Column:
@@ -134,7 +153,11 @@ def rollup_state(known: DataFrame, totals: DataFrame, rolled_to: Column, head: C
         .otherwise(f"No USDC movement for this address since {since}.")
     )
     x = known.join(totals.withColumn("_has", F.lit(True)), "address", "left")
-    return x.select("address", (F.col("in_value") - F.col("out_value")).cast(BIG).alias("net"), behind.alias("behind"),
+    if is_wide(totals, "in_value"):
+        net = F.when(F.col("_has"), wide_sub(F.col("in_value"), F.col("out_value")))
+    else:
+        net = (F.col("in_value") - F.col("out_value")).cast(BIG)
+    return x.select("address", net.alias("net"), behind.alias("behind"),
                     F.when(F.col("_has").isNull(), text).alias("empty_text"))
 
 
@@ -180,6 +203,23 @@ def address_history(transfers: DataFrame, insights: DataFrame | None = None, add
     return page.join(insights.select("block_number", "log_index", "lane"), ["block_number", "log_index"], "left")
 
 
+def address_page(archive, address: str, before: tuple[int, int] | None = None, size: int = 25) -> DataFrame:
+    """``address_history`` of one address of an archive, read by its postings: newest files first, none beyond the page."""
+    return address_history(archive.latest_of(address, size + 1, before), address=address, before=before, size=size)
+
+
+def transaction_page(archive, tx_hash: str) -> DataFrame:
+    """The rows of one transaction of an archive with names and time, read from its block's files."""
+    rows = stored(archive.transaction(tx_hash), "transaction")  # one transaction: bounded by its block
+    ids = [r["id"] for r in rows.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct().collect()]
+    blocks = [r["block_number"] for r in rows.select("block_number").distinct().collect()]
+    names = archive.names_of(ids)
+    for side in ("from", "to"):
+        rows = rows.join(names.select(F.col("id").alias(f"{side}_id"), F.col("address").alias(f"{side}_addr")), f"{side}_id", "left")
+    times = archive.read("blocks", [(b, b) for b in blocks]).select("block_number", F.unix_timestamp("block_time").alias("time"))
+    return rows.join(times, "block_number", "left").select("tx_hash", "block_number", "log_index", "from_addr", "to_addr", "value", "time")
+
+
 def recent_page(transfers: DataFrame, n: int = 1000, address: str | None = None) -> DataFrame:
     return latest_per_key(movements(transfers, address), ["address"], _newest(), n, spread=16)
 
@@ -352,7 +392,8 @@ def tx_kind(rows: DataFrame, inits: DataFrame, chains: DataFrame) -> DataFrame:
 
 
 def swap_sides(swaps: DataFrame, inits: DataFrame, tokens: DataFrame) -> DataFrame:
-    """What each swap paid and received: text amount, token, note; raw integer where decimals are unknown."""
+    """What each swap paid and received: text amount, token, note; raw integer where decimals are unknown. Amounts are decimals or limbs."""
+    limbs = is_wide(swaps, "amount0")
     pools = inits.select("pool", "currency0", "currency1")
     x = swaps.join(pools, "pool", "left")
     for i in ("0", "1"):
@@ -363,19 +404,22 @@ def swap_sides(swaps: DataFrame, inits: DataFrame, tokens: DataFrame) -> DataFra
     for i in ("0", "1"):
         address = F.col(f"currency{i}")
         face = lookup({k: v[0] for k, v in V.USDC_FACES.items()}, address)
-        x = x.withColumn(f"_face{i}", face).withColumn(f"_size{i}", magnitude(F.col(f"amount{i}")))
+        x = x.withColumn(f"_face{i}", face).withColumn(
+            f"_size{i}", wide_digits(wide_abs(F.col(f"amount{i}"))) if limbs else magnitude(F.col(f"amount{i}")).cast("string"))
         x = x.withColumn(f"_dec{i}", F.when(F.col(f"_face{i}").isNotNull(), usdc_decimals(address)).otherwise(F.col(f"_dec{i}")))
-        x = x.withColumn(f"_units{i}", units_to_decimal(F.col(f"_size{i}"), F.coalesce(f"_dec{i}", F.lit(0))))
+        x = x.withColumn(f"_units{i}", digits_to_decimal(F.col(f"_size{i}"), F.coalesce(f"_dec{i}", F.lit(0))))
         unknown = F.col(f"_dec{i}").isNull()
-        amount = F.when(unknown, fmt_int(F.col(f"_size{i}"))).otherwise(fmt_amount(F.col(f"_units{i}")))
+        amount = F.when(unknown, group_digits(F.col(f"_size{i}"))).otherwise(fmt_amount(F.col(f"_units{i}"), limbs))
         symbol = F.coalesce(f"_face{i}", f"_sym{i}")
         token = F.coalesce(symbol, short_address(address))
         note = F.concat(F.coalesce(symbol, F.concat(F.lit("token "), token)), F.when(unknown, " · decimals unknown").otherwise(""))
         x = x.withColumn(f"_side{i}", F.struct(amount.alias("amount"), token.alias("token"), note.alias("note")))
     known, d0, d1 = F.col("currency0").isNotNull(), F.col("amount0"), F.col("amount1")
+    below = wide_negative if limbs else lambda d: d < 0
+    above = (lambda d: ~wide_negative(d) & ~wide_zero(d)) if limbs else lambda d: d > 0
     return x.select(
-        "tx_hash", "log_index", F.when(known & (d0 < 0), F.col("_side0")).when(known & (d1 < 0), F.col("_side1")).alias("paid"),
-        F.when(known & (d0 > 0), F.col("_side0")).when(known & (d1 > 0), F.col("_side1")).alias("received"),
+        "tx_hash", "log_index", F.when(known & below(d0), F.col("_side0")).when(known & below(d1), F.col("_side1")).alias("paid"),
+        F.when(known & above(d0), F.col("_side0")).when(known & above(d1), F.col("_side1")).alias("received"),
         fmt_fee(F.col("fee")).alias("fee"), known.alias("known"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from ..functions.wide import wide_text
 from ..operators import decode as D
 from ..operators.enrich import assign_ids, swap_ids
 from ..operators.ranking import global_rank
@@ -17,6 +18,7 @@ from .oracle_views import sql
 
 TRANSFER_INPUTS = [("from", "address", True), ("to", "address", True), ("value", "uint256", False)]
 num = lambda c: F.col(c).cast("string").alias(c)
+big = lambda c: wide_text(F.col(c)).alias(c)
 ts = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 TS = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
 
@@ -151,7 +153,38 @@ def snk3(spark, sf):
     first = rows.filter("log_index <= 3")
     for batch_id, part in ((0, first), (0, first), (1, rows), (1, rows)):
         archive.commit_batch(part, none, head, batch_id, ["value"])
-    return archive.read("rows").select("block_number", "log_index", "from_id", "to_id", num("value"))
+    return archive.read("rows").select("block_number", "log_index", "from_id", "to_id", big("value"))
+
+
+_IDS_BY_PLACE = """
+a AS (SELECT a, row_number() OVER (ORDER BY p, a) AS id FROM (
+  SELECT a, min(p) AS p FROM (SELECT from_addr AS a, (block_number, log_index) AS p FROM moves UNION ALL SELECT to_addr, (block_number, log_index) FROM moves) GROUP BY a))"""
+
+
+def archive_of(spark, rows, batches: int, fan: int = 3):
+    """All rows committed in ``batches`` stretches of blocks, compacted after each, every second one sent twice."""
+    archive = A.Archive(spark, new_folder(spark, "archive"), A.MIN_SIZE, fan=fan)
+    head = rows.agg(F.max("block_number")).first()[0]
+    none, step = spark.createDataFrame([], A.Archive.DEAD), head // batches + 1
+    for i in range(batches):
+        part = rows.filter(F.col("block_number").between(i * step, (i + 1) * step - 1))
+        for _ in range(1 + i % 2):
+            archive.commit_batch(part, none, min(head, (i + 1) * step - 1), i, ["value"])
+        archive.compact()
+    return archive
+
+
+@query("snk3_compaction", sql(["moves"], f"""
+WITH {_IDS_BY_PLACE}
+SELECT m.block_number, m.log_index, m.tx_hash, f.id AS from_id, m.from_addr, t.id AS to_id, m.to_addr, CAST(m.value AS VARCHAR) AS value,
+  strftime(min(m.block_time) OVER (PARTITION BY m.block_number), '%Y-%m-%d %H:%M:%S') AS block_time
+FROM moves m JOIN a f ON f.a = m.from_addr JOIN a t ON t.a = m.to_addr"""))
+def snk3_compaction(spark, sf):
+    """Six batches whose files are merged as they come in; rows, dictionary and blocks read back together."""
+    rows = stored(T.moves(spark, sf).withColumn("block_hash", T.hash_text(F.col("block_number"))), "moves")
+    archive = archive_of(spark, rows, 6)
+    return named_rows(archive).join(archive.read("blocks").select("block_number", "block_time"), "block_number", "left").select(
+        "block_number", "log_index", "tx_hash", "from_id", "from_addr", "to_id", "to_addr", big("value"), ts("block_time"))
 
 
 @query("snk4_build_blocks", sql(["moves"], """
@@ -171,41 +204,53 @@ def malformed(spark, sf):
         .otherwise(F.col("topics")))
 
 
-@query("snk5_dead_letters", sql(["moves_raw"], """
-SELECT block_number, log_index, CASE WHEN block_number % 10 IN (1, 2) THEN 'data is short or malformed'
-  WHEN block_number % 10 IN (3, 4) THEN 'topics are missing or malformed' WHEN block_number % 10 = 5 THEN 'integer has more than 38 digits' END AS error,
-  CASE WHEN block_number % 10 NOT IN (1, 2, 3, 4, 5) THEN CAST(value AS VARCHAR) END AS value, count(*) AS n
-FROM moves_raw GROUP BY ALL"""))
+_VALUE = f"CASE WHEN block_number % 10 = 5 THEN '{2**256 - 1}' ELSE CAST(value AS VARCHAR) END"
+
+
+@query("snk5_dead_letters", sql(["moves_raw"], f"""
+SELECT block_number, log_index, CASE WHEN block_number % 10 IN (1, 2) THEN 'data is short or malformed' WHEN block_number % 10 IN (3, 4) THEN 'topics are missing or malformed' END AS error,
+  CASE WHEN block_number % 10 NOT IN (1, 2, 3, 4) THEN {_VALUE} END AS value, count(*) AS n FROM moves_raw GROUP BY ALL"""))
 def snk5(spark, sf):
-    rows, dead = A.split_decoded(D.decode_logs(malformed(spark, sf), TRANSFER_INPUTS))
-    both = rows.select("block_number", "log_index", num("value")).unionByName(
+    rows, dead = A.split_decoded(D.decode_logs(malformed(spark, sf), TRANSFER_INPUTS, limbs=True))
+    both = rows.select("block_number", "log_index", big("value")).unionByName(
         dead.select("block_number", "log_index", "error"), allowMissingColumns=True)
     return both.groupBy("block_number", "log_index", "value", "error").agg(F.count("*").alias("n"))
 
 
-_LOST = """CASE WHEN block_number % 10 IN (1, 2) THEN 'data is short or malformed' WHEN block_number % 10 IN (3, 4) THEN 'topics are missing or malformed'
-  WHEN block_number % 10 = 5 THEN 'integer has more than 38 digits' END"""
+_LOST = """CASE WHEN block_number % 10 IN (1, 2) THEN 'data is short or malformed' WHEN block_number % 10 IN (3, 4) THEN 'topics are missing or malformed' END"""
 
 
 @query("snk3_ingest_stream", sql(["moves_raw"], f"""
-WITH r AS (SELECT *, {_LOST} AS error FROM moves_raw QUALIFY row_number() OVER (PARTITION BY block_number, log_index ORDER BY value, to_addr) = 1)
+WITH r AS (SELECT *, {_LOST} AS error FROM moves_raw QUALIFY row_number() OVER (PARTITION BY block_number, log_index
+  ORDER BY CASE WHEN block_number % 10 = 5 THEN 0 ELSE value END, to_addr) = 1)
 SELECT block_number, log_index, CASE WHEN error IS NULL THEN from_addr END AS "from", CASE WHEN error IS NULL THEN to_addr END AS "to",
-  CASE WHEN error IS NULL THEN CAST(value AS VARCHAR) END AS value, error FROM r"""))
+  CASE WHEN error IS NULL THEN {_VALUE} END AS value, error FROM r"""))
 def snk3_stream(spark, sf):
     """All raw logs as a stream of files into the archive, and the whole stream once more under the same batch ids."""
+    archive = ingested(spark, sf, times=2)
+    rows = named_rows(archive).select("block_number", "log_index", F.col("from_addr").alias("from"), F.col("to_addr").alias("to"), big("value"))
+    return rows.unionByName(archive.read("dead").select("block_number", "log_index", "error"), allowMissingColumns=True)
+
+
+def ingested(spark, sf, times: int = 1):
+    """An archive of all raw logs, malformed and oversized ones included, read as a stream of files."""
     path = f"{new_folder(spark, 'raw')}/logs"
     malformed(spark, sf).repartitionByRange(6, "block_number").write.parquet(path)
     catalog = spark.createDataFrame([(f"c{i}", a, "Transfer", V.TRANSFER_TOPIC, f"c{i}_transfer") for i, a in enumerate(T.CONTRACTS)],
                                     "contract string, address string, event string, topic0 string, table_name string")
     archive = A.Archive(spark, new_folder(spark, "archive"), A.MIN_SIZE)
     schema = spark.read.parquet(path).schema
-    for _ in range(2):
+    for _ in range(times):
         ingest(L.stream_logs(spark, path, schema, max_files=2), catalog, archive, new_folder(spark, "ingest"), ["value", "to_addr"])
-    book = archive.read("addresses")
-    rows = archive.read("rows").join(book.select(F.col("id").alias("from_id"), F.col("address").alias("from")), "from_id").join(
-        book.select(F.col("id").alias("to_id"), F.col("address").alias("to")), "to_id")
-    return rows.select("block_number", "log_index", "from", "to", num("value")).unionByName(
-        archive.read("dead").select("block_number", "log_index", "error"), allowMissingColumns=True)
+    return archive
+
+
+def named_rows(archive):
+    """Rows of an archive with addresses for ids."""
+    book, out = archive.read("addresses"), archive.read("rows")
+    for side in ("from", "to"):
+        out = out.join(book.select(F.col("id").alias(f"{side}_id"), F.col("address").alias(f"{side}_addr")), f"{side}_id", "left")
+    return out
 
 
 @query("snk6_capture", sql(["moves", "ctx"], """

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
+from ..functions.amounts import parse_before
+from ..operators import decode as D
 from ..operators import enrich as E
 from ..operators import explore as X
 from ..session import new_folder, stored
 from ..sources import testdata as T
 from . import frames
-from .archive_queries import num
+from .archive_queries import archive_of, big, ingested, named_rows, num
 from .facts_queries import _group_sql
 from .oracle_views import short_sql, sql, texts
 
@@ -45,6 +47,46 @@ def q1(spark, sf):
     return out_daily(X.daily_rollup(T.moves(spark, sf)))
 
 
+_LIMB = 10**26
+
+def _limb_text(v: str) -> str:
+    """Digits of the limbs v_hi, v_mid and v_lo after sums, carried."""
+    b = f"CAST('{_LIMB}' AS HUGEINT)"
+    lo, mid = f"({v}_lo % {b})", f"(({v}_mid + {v}_lo // {b}) % {b})"
+    hi = f"({v}_hi + ({v}_mid + {v}_lo // {b}) // {b})"
+    return f"coalesce(nullif(ltrim(CAST({hi} AS VARCHAR) || lpad(CAST({mid} AS VARCHAR), 26, '0') || lpad(CAST({lo} AS VARCHAR), 26, '0'), '0'), ''), '0')"
+
+
+def _limb_sql(name: str, digit: int) -> str:
+    """A limb of an amount: 2^256 - 1 in every tenth block."""
+    top = (2**256 - 1) // _LIMB**digit % _LIMB
+    own = {0: f"CAST(value AS HUGEINT) % CAST('{_LIMB}' AS HUGEINT)", 1: f"CAST(value AS HUGEINT) // CAST('{_LIMB}' AS HUGEINT)", 2: "CAST(0 AS HUGEINT)"}[digit]
+    return f"CASE WHEN block_number % 10 = 5 THEN CAST('{top}' AS HUGEINT) ELSE {own} END AS {name}"
+
+
+@query("q1_wide_rollup", sql(["moves_raw"], f"""
+WITH r AS (SELECT from_addr, to_addr, block_time, {_limb_sql('v_hi', 2)}, {_limb_sql('v_mid', 1)}, {_limb_sql('v_lo', 0)}
+  FROM moves_raw WHERE block_number % 10 NOT IN (1, 2, 3, 4)
+  QUALIFY row_number() OVER (PARTITION BY block_number, log_index ORDER BY CASE WHEN block_number % 10 = 5 THEN 0 ELSE value END, to_addr) = 1),
+s AS (SELECT to_addr AS address, block_time, v_hi AS i_hi, v_mid AS i_mid, v_lo AS i_lo, 0 AS o_hi, 0 AS o_mid, 0 AS o_lo, 1 AS ic, 0 AS oc FROM r
+  UNION ALL SELECT from_addr, block_time, 0, 0, 0, v_hi, v_mid, v_lo, 0, 1 FROM r),
+d AS (SELECT address, strftime(block_time, '%Y-%m-%d') AS day, {', '.join(f'CAST(sum({c}) AS HUGEINT) AS {c}' for c in ('i_hi', 'i_mid', 'i_lo', 'o_hi', 'o_mid', 'o_lo'))},
+  CAST(sum(ic) AS BIGINT) AS in_count, CAST(sum(oc) AS BIGINT) AS out_count FROM s GROUP BY 1, 2)
+SELECT address, day, {_limb_text('i')} AS in_value, {_limb_text('o')} AS out_value, in_count, out_count FROM d"""))
+def q1_wide(spark, sf):
+    """Amounts up to 2^256 - 1 from raw logs through the stream, the archive and daily totals folded in three ranges, then compacted."""
+    archive = ingested(spark, sf)
+    rows = stored(named_rows(archive), "rows")
+    blocks = archive.read("blocks")
+    head = archive.cursor().first()["last_block"]
+    rollup, done = (X.Rollup(spark, new_folder(spark, "rollup"), limbs=True) for _ in range(2))
+    for batch_id, span in enumerate((head // 5, head // 2, 2 * head)):
+        lo, hi = rollup.next_range(blocks, -1, head, span)
+        rollup.fold_range(rows, blocks, lo, hi, batch_id)
+    rollup.compact(done, 0)
+    return done.read().select("address", "day", big("in_value"), big("out_value"), "in_count", "out_count")
+
+
 @query("q2_incremental_rollup", sql(["moves"], _DAILY_OUT))
 def q2(spark, sf):
     """Uneven ranges folded one after another, two of them twice, then compacted."""
@@ -116,6 +158,29 @@ def q5_page(spark, sf):
     return page.select("address", "block_number", "log_index", "tx_hash", "dir", "counterparty", num("value"), "older")
 
 
+@query("q5_indexed_pages", sql(["moves"], f"""
+WITH w AS (SELECT arg_max(from_addr, block_number) AS who FROM moves UNION SELECT '{V.ZERO_ADDRESS}' UNION SELECT min(from_addr) FROM moves),
+p AS (SELECT *, count(*) OVER (PARTITION BY address) AS n FROM ({_PAGE}) WHERE address IN (SELECT who FROM w))
+SELECT address, block_number, log_index, tx_hash, dir, counterparty, CAST(value AS VARCHAR) AS value, CAST(epoch(block_time) AS BIGINT) AS time,
+  CASE WHEN n > rn AND rn % 25 = 0 THEN CAST(block_number AS VARCHAR) || '-' || CAST(log_index AS VARCHAR) END AS older FROM p WHERE rn <= 75"""))
+def q5_indexed(spark, sf):
+    """Three pages each of the newest sender, the first address and the busiest one, each page by the token of the one before, read by index from a compacted archive."""
+    moves = stored(T.moves(spark, sf).withColumn("block_hash", T.hash_text(F.col("block_number"))), "moves")
+    archive = archive_of(spark, moves, 4)
+    newest, first = moves.agg(F.max_by("from_addr", "block_number"), F.min("from_addr")).first()
+    out = None
+    for who in sorted({newest, first, V.ZERO_ADDRESS}):
+        before = None
+        for _ in range(3):
+            page = stored(X.address_page(archive, who, before), "page")
+            out = page if out is None else out.unionByName(page)
+            token = page.filter("older IS NOT NULL").select(parse_before(F.col("older")).alias("t")).first()
+            if token is None:
+                break
+            before = tuple(token["t"])
+    return out.select("address", "block_number", "log_index", "tx_hash", "dir", "counterparty", big("value"), "time", "older")
+
+
 @query("q6_counterparties", sql(["moves"], f"""
 WITH p AS (SELECT * FROM ({_PAGE}) WHERE rn <= 1000), t AS (SELECT address, count(*) AS total FROM p GROUP BY 1),
 c AS (SELECT address, counterparty, count(*) AS n, sum(CAST(value AS HUGEINT)) AS v FROM p WHERE dir <> 'self' GROUP BY 1, 2),
@@ -177,6 +242,23 @@ def q8_page(spark, sf):
                        F.array_join(F.transform("events", event), ";").alias("events"))
 
 
+@query("q8_indexed_tx", sql(["moves"], """
+SELECT m.tx_hash, m.block_number, m.log_index, m.from_addr, m.to_addr, CAST(m.value AS VARCHAR) AS value, CAST(epoch(min(m.block_time) OVER (PARTITION BY m.block_number)) AS BIGINT) AS time
+FROM moves m WHERE m.tx_hash IN (SELECT arg_max(tx_hash, block_number) FROM moves UNION SELECT arg_min(tx_hash, block_number) FROM moves
+  UNION SELECT arg_min(tx_hash, (-n, tx_hash)) FROM (SELECT tx_hash, count(*) AS n FROM moves GROUP BY 1))"""))
+def q8_indexed(spark, sf):
+    """The newest, the oldest and the longest transaction, each read by its hash from a compacted archive."""
+    moves = stored(T.moves(spark, sf).withColumn("block_hash", T.hash_text(F.col("block_number"))), "moves")
+    archive = archive_of(spark, moves, 4)
+    ends = moves.agg(F.max_by("tx_hash", "block_number"), F.min_by("tx_hash", "block_number")).first()
+    longest = moves.groupBy("tx_hash").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tx_hash").first()["tx_hash"]
+    out = None
+    for tx in sorted({*ends, longest}):
+        found = X.transaction_page(archive, tx)
+        out = found if out is None else out.unionByName(found)
+    return out.select("tx_hash", "block_number", "log_index", "from_addr", "to_addr", big("value"), "time")
+
+
 @query("q9_tx_lane", sql([*_TX_VIEWS, "scored"], f"""
 WITH {_TX_ROWS}, ins AS (SELECT * FROM scored WHERE block_number BETWEEN 500 AND 12000 AND (block_number + log_index) % 3 <> 0),
 h AS (SELECT tx.tx_hash, arg_min(struct_pack(lane := i.lane, p := i.lane_p, s := i.sentence), (tx.kind <> 'Transfer', tx.li)) FILTER (WHERE i.lane IS NOT NULL) AS l,
@@ -354,6 +436,47 @@ def q16(spark, sf):
     return x.select("tx_hash", "log_index", "known", "fee", text("paid"), text("received"))
 
 
+def _wide_amount(v: int, dec: int | None) -> str:
+    """An amount of 77 digits as the page shows it."""
+    if dec is None:
+        return f"{v:,}"
+    cents = (v * 200 + 10**dec) // (2 * 10**dec)
+    return f"{cents // 100:,}.{cents % 100:02d}"
+
+
+def _wide_side_sql(i: str) -> str:
+    """``_side_sql``, with the least and the largest int256 as the first amount of some blocks."""
+    if i == "1":
+        return _side_sql("1")
+    top = "CASE block_number % 4 WHEN 1 THEN CASE dec0 {} END WHEN 2 THEN CASE dec0 {} END END".format(
+        *[" ".join(f"WHEN {d} THEN '{_wide_amount(v, d)}'" for d in (6, 18)) + f" ELSE '{_wide_amount(v, None)}'" for v in (2**255, 2**255 - 1)])
+    plain = _side_sql("0")
+    token = f"coalesce(sym0, {short_sql('currency0')})"
+    note = f"coalesce(sym0, 'token ' || {token}) || CASE WHEN dec0 IS NULL THEN ' · decimals unknown' ELSE '' END"
+    return f"CASE WHEN block_number % 4 IN (1, 2) THEN ({top}) || '|' || {token} || '|' || {note} ELSE {plain} END"
+
+
+@query("q16_wide_sides", sql(["swaps", "inits"], f"""
+WITH {_META}, x AS (SELECT s.block_number, s.tx_hash, s.log_index, s.amount0, s.amount1, s.fee, i.currency0, i.currency1, i.pool IS NOT NULL AS known,
+  CASE s.block_number % 4 WHEN 1 THEN -1 WHEN 2 THEN 1 ELSE sign(s.amount0) END AS way,
+  {_FACE.format('i.currency0')} AS dec0, CASE i.currency0 WHEN '{V.ZERO_ADDRESS}' THEN 'USDC (native)' WHEN '{V.USDC}' THEN 'USDC' END AS sym0, m.decimals AS dec1, m.symbol AS sym1
+  FROM swaps s LEFT JOIN inits i ON i.pool = s.pool LEFT JOIN meta m ON m.address = i.currency1)
+SELECT tx_hash, log_index, known, printf('%.2f', fee::DOUBLE / 10000.0::DOUBLE) || '%' AS fee,
+  CASE WHEN NOT known THEN NULL WHEN way < 0 THEN {_wide_side_sql('0')} WHEN amount1 < 0 THEN {_side_sql('1')} END AS paid,
+  CASE WHEN NOT known THEN NULL WHEN way > 0 THEN {_wide_side_sql('0')} WHEN amount1 > 0 THEN {_side_sql('1')} END AS received FROM x"""))
+def q16_wide(spark, sf):
+    """Swap logs decoded from their int256 words, -2^255 and 2^255 - 1 among them."""
+    s, edge = T.swaps(spark, sf), F.col("block_number") % 4
+    word = F.when(edge == 1, "8" + "0" * 63).when(edge == 2, "7" + "f" * 63).otherwise(T.int_word(F.col("amount0")))
+    logs = s.withColumn("data", F.concat(F.lit("0x"), word, T.int_word(F.col("amount1")))).withColumn("topics", F.array(F.lit("0x")))
+    read = D.decode_logs(logs.drop("amount0", "amount1"), [("amount0", "int256", False), ("amount1", "int256", False)], limbs=True)
+    read = stored(read.select("block_number", "log_index", "tx_hash", "pool", "fee", "row.*"), "decoded")  # as ``split_decoded`` does: no word is read twice
+    x = X.swap_sides(read, T.inits(spark, sf), E.token_meta(T.token_reads(spark, sf)))
+    def text(c):
+        return F.when(F.col(c).isNotNull(), F.concat_ws("|", f"{c}.amount", f"{c}.token", f"{c}.note")).alias(c)
+    return x.select("tx_hash", "log_index", "known", "fee", text("paid"), text("received"))
+
+
 _SHORT_POOL = "left(pool, 10) || '…' || right(pool, 6)"
 _CENTS = "((x + 5000000000000000) // 10000000000000000)"
 

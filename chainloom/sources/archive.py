@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.wide import WIDE, is_wide, wide_of
 from ..operators.enrich import assign_ids, swap_ids
 from ..session import stored
+from .tablelog import Conflict, File, TableLog
 
 DEFAULT_SIZE = 2_000_000
 MIN_SIZE = 10_000
@@ -156,97 +159,229 @@ def insights_full(insights: DataFrame, labels: DataFrame, sentences: DataFrame)
         "block_number", "log_index", "lane", "lane_p", "ruled", "protocol", "facts", "probabilities", "sentence", "model")
 
 
-ADDRESS_PARTS = 16
+#: Blocks of one posting: the latest rows of an address lie in at most as many postings as there are rows.
+POSTING_BLOCKS = 1024
+#: So many rows of a table are numbered and written by one task.
+FEW = 200_000
+#: A batch's addresses are looked for in dictionary files by this many leading bits of their hash.
+NAME_BITS = 14
 
 
-def address_part(address: str = "address") -> Column:
-    return F.pmod(F.xxhash64(address), F.lit(ADDRESS_PARTS)).cast("int")
+def name_key(text: str | Column) -> Column:
+    return F.xxhash64(text)
 
 
 class Archive:
-    """Batches of rows, blocks, addresses, dead letters and a cursor below one folder.
-
-    Every batch writes its own ``batch_id=`` folder of each table and the cursor
-    row last. A replayed batch rewrites the same folders from the state before
-    it, and readers ignore batches the cursor does not name, so a batch counts
-    wholly or not at all.
-
-    Inside a batch rows, blocks and dead letters lie in ``block_part`` folders
-    and addresses in folders of their hash. A commit reads only the block parts
-    between the batch's first and last and the address parts it meets, and takes
-    the largest id from the cursor, so its cost follows the batch and not the
-    history.
+    """Batches of rows, blocks, addresses, dead letters and a cursor below one folder, committed through a ``TableLog``.
+
+    A batch's files count from its one commit on, which also moves the cursor
+    and the largest id: a batch counts wholly or not at all, and one that was
+    committed is passed over when it comes again. Files hold sorted keys, and
+    commits and readers open only those whose key range they meet:
+
+    - rows, blocks and dead letters by block, in ``block_part`` folders;
+    - ``addresses`` by id, and ``names`` (the same by the address's hash) to find known ones;
+    - ``postings``: how many rows an id has in which stretch of blocks, by id;
+    - ``transactions``: the block of a transaction, by its hash.
+
+    ``compact`` merges small files. Tables in the order of arrival are never
+    rewritten twice; the others keep a few runs per size, each ``fan`` times the
+    last, so what a lookup opens grows with the logarithm of the archive.
     """
 
-    ROWS = "block_number bigint, tx_hash string, log_index int, from_id bigint, to_id bigint, value decimal(38,0), block_part bigint"
+    ROWS = f"block_number bigint, tx_hash string, log_index int, from_id bigint, to_id bigint, value {WIDE}, batch_id bigint, block_part bigint"
     BLOCKS = "block_number bigint, block_hash string, block_time timestamp, _ingested_at timestamp, block_part bigint"
-    ADDRESSES = "id bigint, address string, address_part int"
+    ADDRESSES = "id bigint, address string"
+    NAMES = "name_key bigint, address string, id bigint"
+    POSTINGS = "id bigint, stretch bigint, n bigint"
+    TRANSACTIONS = "name_key bigint, tx_hash string, block_number bigint"
     DEAD = "block_number bigint, tx_hash string, log_index int, address string, topics array<string>, data string, error string, block_part bigint"
-    CURSOR = "last_block bigint, last_id bigint"
-    TABLES = {"rows": ROWS, "blocks": BLOCKS, "addresses": ADDRESSES, "dead": DEAD, "cursor": CURSOR}
-
-    def __init__(self, spark: SparkSession, root: str, size: int = DEFAULT_SIZE):
-        """Opens the archive; tables that are not there begin as empty folders."""
-        self.spark, self.root, self.size = spark, root, size
-        for table, schema in self.TABLES.items():
-            spark.createDataFrame([], f"{schema}, batch_id bigint").write.mode("append").partitionBy("batch_id").parquet(f"{root}/{table}")
-
-    def _folders(self, table: str) -> DataFrame:
-        return self.spark.read.schema(f"{self.TABLES[table]}, batch_id bigint").parquet(f"{self.root}/{table}")
+    CURSOR = "last_block bigint, last_id bigint, batch_id bigint"
+    TABLES = {"rows": ROWS, "blocks": BLOCKS, "dead": DEAD, "addresses": ADDRESSES, "names": NAMES, "postings": POSTINGS, "transactions": TRANSACTIONS}
+    #: The key and the further order of each table.
+    ORDER = {"rows": ["block_number", "log_index"], "blocks": ["block_number"], "dead": ["block_number", "log_index"], "addresses": ["id"],
+             "names": ["name_key", "address"], "postings": ["id", "stretch"], "transactions": ["name_key", "block_number"]}
+    #: Tables whose keys grow with time: only their small files are merged.
+    ARRIVAL = ("rows", "blocks", "dead", "addresses")
+
+    def __init__(self, spark: SparkSession, root: str, size: int = DEFAULT_SIZE, fan: int = 8, file_rows: int = 4_000_000):
+        """Opens the archive. ``fan`` files or runs are merged at a time, into files of at most ``file_rows`` rows."""
+        self.spark, self.root, self.size, self.fan, self.file_rows = spark, root, size, fan, file_rows
+        self.log = TableLog(spark, root)
+        self.opened = 0  # files that the last commit or lookup planned to open
 
     def cursor(self) -> DataFrame:
-        return self._folders("cursor")
-
-    def read(self, table: str, before: int | None = None) -> DataFrame:
-        """Committed rows of a table; ``before`` leaves out that batch and later ones (for its replay)."""
-        rows = self._folders(table)
-        if before is not None:
-            rows = rows.filter(F.col("batch_id") < before)
-        done = self.cursor().agg(F.max("batch_id").alias("b")).scalar()
-        return rows.filter(F.col("batch_id") <= F.coalesce(done, F.lit(-1)))
-
-    def _known(self, table: str, batch_id: int, batch: DataFrame) -> DataFrame:
-        """Keys of earlier batches within the block parts of a written batch; the bounds are literals, so other folders are pruned."""
-        lo, hi = batch.agg(F.min("block_part"), F.max("block_part")).first()
-        return self.read(table, batch_id).filter(F.lit(False) if lo is None else F.col("block_part").between(lo, hi)).drop("block_part")
-
-    def _write(self, df: DataFrame, table: str, batch_id: int) -> None:
-        if table == "addresses":
-            df = df.repartition("address_part")  # hashes are even: one task and one file a part
-        out = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
-        if table != "cursor":
-            out = out.partitionBy("address_part" if table == "addresses" else "block_part")
-        out.parquet(f"{self.root}/{table}/batch_id={batch_id}")
-
-    def commit_batch(self, rows: DataFrame, dead: DataFrame, last_block: int, batch_id: int, order: list,
-                     fail_after: str | None = None) -> None:
-        """``rows`` has address text in from_addr/to_addr. ``fail_after`` stops after a table, for the replay test."""
+        facts = self.log.refresh().facts
+        return self.spark.createDataFrame([(facts["last_block"], facts["last_id"], facts["batch_id"])] if facts else [], self.CURSOR)
+
+    def read(self, table: str, spans: list[tuple[int, int]] | None = None) -> DataFrame:
+        """Committed rows of a table; ``spans`` of its key leave out files that cannot hold them, not rows."""
+        files = self.log.refresh().files(table, spans)
+        self.opened += len(files)
+        return self.log.read(table, self.TABLES[table], files)
+
+    def _known(self, table: str, batch_id: int, batch: DataFrame, span: tuple | None = None) -> DataFrame:
+        """Rows within the blocks and block parts of a batch; the bounds are literals, so files are pruned."""
+        lo, hi = span or batch.agg(F.min("block_number"), F.max("block_number")).first()
+        if lo is None:
+            return self.read(table, []).drop("block_part")
+        return self.read(table, [(lo, hi)]).filter(F.col("block_part").between(lo // self.size, hi // self.size)).drop("block_part")
+
+    def _sorted(self, table: str, df: DataFrame, rows: int) -> tuple[DataFrame, str, list[str]]:
+        """A table's rows as they are written: sorted by key, in one file when they are few."""
+        order, parts = self.ORDER[table], ["block_part"] if "block_part" in df.columns else []
+        n = -(-rows // self.file_rows)
+        spread = df.coalesce(1) if rows <= FEW else df.repartitionByRange(n, *order) if n > 1 else df.repartitionByRange(*order)
+        return spread.sortWithinPartitions(*parts, *order), order[0], parts
+
+    def commit_batch(self, rows: DataFrame, dead: DataFrame, last_block: int, batch_id: int, order: list, fail_after: str | None = None) -> int:
+        """``rows`` has address text in from_addr/to_addr and a value of limbs or a decimal; returns the number of rows really inserted.
+
+        ``fail_after`` stops after a table, for the replay test.
+        """
+        facts = self.log.refresh().facts
+        if batch_id <= facts.get("batch_id", -1):
+            return 0
+        self.opened = 0
+        rows = rows if is_wide(rows, "value") else rows.withColumn("value", wide_of(F.col("value")))
         # written once: every table of the batch is derived from the same rows
-        batch = stored(with_block_part(rows, self.size), "incoming")
-        new = stored(append_new(self._known("rows", batch_id, batch), batch, ["block_number", "log_index"], order), "batch")
-        met = new.select(F.explode(F.array("from_addr", "to_addr")).alias("address")).select(address_part().alias("p")).distinct()
-        known = self.read("addresses", batch_id).filter(F.col("address_part").isin([r["p"] for r in met.collect()])).select("id", "address")
-        last_id = self.cursor().filter(F.col("batch_id") < batch_id).agg(F.coalesce(F.max("last_id"), F.lit(0))).first()[0]
-        lost = stored(with_block_part(dead, self.size), "lost")
-
-        def own() -> DataFrame:
-            return self.spark.read.schema(self.ADDRESSES).parquet(f"{self.root}/addresses/batch_id={batch_id}")
-
-        steps = {
-            "addresses": lambda: assign_ids(known, new, ["from_addr", "to_addr"], F.lit(last_id)).withColumn("address_part", address_part()),
-            "rows": lambda: swap_ids(new, {"from_addr": "from_id", "to_addr": "to_id"}, known.unionByName(own().select("id", "address"))).select(
-                "block_number", "tx_hash", "log_index", "from_id", "to_id", "value", "block_part"),
-            "blocks": lambda: with_block_part(build_blocks(new), self.size).join(
-                self._known("blocks", batch_id, new).select("block_number"), "block_number", "left_anti"),
-            "dead": lambda: append_new(self._known("dead", batch_id, lost), lost, ["block_number", "log_index"], ["tx_hash", "error"]).select(
-                *DEAD_LETTER_COLUMNS, "block_part"),
-        }
-        for table, frame in steps.items():
-            self._write(frame(), table, batch_id)
-            if fail_after == table:
-                raise RuntimeError(f"stopped after {table}")
-        top = own().agg(F.coalesce(F.max("id"), F.lit(last_id))).first()[0]
-        self._write(self.spark.createDataFrame([(last_block, top)], self.CURSOR), "cursor", batch_id)
+        def kept(df: DataFrame) -> tuple:
+            df = stored(with_block_part(df, self.size), "incoming")
+            return df, *df.agg(F.min("block_number"), F.max("block_number"), F.count("*")).first()
+
+        with ThreadPoolExecutor(2) as pool:
+            (batch, lo, hi, n), (lost, lost_lo, lost_hi, n_lost) = pool.map(kept, (rows, dead))
+        frames, last_id = {}, facts.get("last_id", 0)
+        if n:
+            new = stored(append_new(self._known("rows", batch_id, batch, (lo, hi)), batch, ["block_number", "log_index"], order), "batch")
+            met = new.select(F.explode(F.array("from_addr", "to_addr")).alias("address")).select(
+                F.shiftright(name_key("address"), 64 - NAME_BITS).alias("b")).distinct().collect()  # at most 2^NAME_BITS numbers
+            spans = [(r["b"] << (64 - NAME_BITS), ((r["b"] + 1) << (64 - NAME_BITS)) - 1) for r in met]
+            names = self.read("names", spans).select("id", "address")
+            fresh = stored(assign_ids(names, new, ["from_addr", "to_addr"], F.lit(last_id), n <= FEW), "fresh")
+            filed = stored(swap_ids(new, {"from_addr": "from_id", "to_addr": "to_id"}, names.unionByName(fresh)).withColumn("batch_id", F.lit(batch_id).cast("bigint")).select(
+                "block_number", "tx_hash", "log_index", "from_id", "to_id", "value", "batch_id", "block_part"), "filed")
+            postings = filed.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("id"), F.expr(f"block_number div {POSTING_BLOCKS}").alias("stretch"))
+            frames = {
+                "addresses": fresh.select("id", "address"),
+                "names": fresh.select(name_key("address").alias("name_key"), "address", "id"),
+                "rows": filed,
+                "blocks": with_block_part(build_blocks(new), self.size).join(
+                    self._known("blocks", batch_id, new, (lo, hi)).select("block_number"), "block_number", "left_anti"),
+                "postings": postings.groupBy("id", "stretch").agg(F.count("*").alias("n")),
+                "transactions": filed.select(name_key("tx_hash").alias("name_key"), "tx_hash", "block_number").distinct(),
+            }
+        if n_lost:
+            frames["dead"] = append_new(self._known("dead", batch_id, lost, (lost_lo, lost_hi)), lost, ["block_number", "log_index"], ["tx_hash", "error"]).select(
+                *DEAD_LETTER_COLUMNS, "block_part")
+        sizes = {"dead": n_lost, "addresses": 2 * n, "names": 2 * n, "postings": 2 * n}
+        frames = {t: self._sorted(t, df, sizes.get(t, n)) for t, df in frames.items()}
+        if fail_after:
+            self.log.write({t: frames[t] for t in list(frames)[:list(frames).index(fail_after) + 1]})
+            raise RuntimeError(f"stopped after {fail_after}")
+        add = self.log.write(frames)
+        count = {t: sum(f.rows for u, f in add if u == t) for t in self.TABLES}
+        before = facts.get("counts", {})
+        self.log.commit(add, facts={"last_block": max(last_block, facts.get("last_block", -1)), "last_id": last_id + count["addresses"], "batch_id": batch_id,
+                                    "counts": {t: before.get(t, 0) + c for t, c in count.items()}})
+        return count["rows"]
+
+    # compaction
+
+    def _due(self, table: str) -> list[File]:
+        """Files to be merged into one run now; none when fewer than ``fan`` of a kind are there."""
+        if table in self.ARRIVAL:
+            small = [f for f in self.log.files(table) if f.rows < self.file_rows // 2]
+            return small if len(small) >= self.fan else []
+        tiers: dict[int, list[list[File]]] = {}
+        for files in self.log.runs(table).values():
+            rows, tier = sum(f.rows for f in files), 0
+            while rows >= self.fan ** (tier + 1):
+                tier += 1
+            tiers.setdefault(tier, []).append(files)
+        for tier in sorted(tiers):
+            if len(tiers[tier]) >= self.fan:  # with it all smaller runs, which are newer
+                return [f for t in sorted(tiers) if t <= tier for files in tiers[t] for f in files]
+        return []
+
+    def compact(self) -> dict[str, int]:
+        """Merge what is due in each table, a commit per table; returns how many files were replaced.
+
+        Readers see the files before or those after. What another writer added
+        meanwhile stays; if another compaction took the same files, this one's
+        result is dropped.
+        """
+        done = {}
+        for table in self.TABLES:
+            due = self.log.refresh() and self._due(table)
+            if not due:
+                continue
+            rows = self.log.read(table, self.TABLES[table], due)
+            if table == "postings":
+                rows = rows.groupBy("id", "stretch").agg(F.sum("n").alias("n"))
+            add = self.log.write({table: self._sorted(table, rows, sum(f.rows for f in due))})
+            try:
+                self.log.commit(add, [(table, f.path) for f in due])
+            except Conflict:
+                continue
+            done[table] = len(due)
+        return done
+
+    # lookups
+
+    def _point(self, table: str, text: str) -> DataFrame:
+        key = self.spark.range(1).select(name_key(F.lit(text))).first()[0]
+        return self.read(table, [(key, key)]).filter(F.col("name_key") == key)
+
+    def address_id(self, address: str) -> int | None:
+        found = self._point("names", address).filter(F.col("address") == address).select("id").first()
+        return found and found["id"]
+
+    def names_of(self, ids: list[int]) -> DataFrame:
+        """(id, address) of a few ids."""
+        return self.read("addresses", [(i, i) for i in ids]).filter(F.col("id").isin(ids))
+
+    def latest_of(self, address: str, size: int, before: tuple[int, int] | None = None) -> DataFrame:
+        """At least the ``size`` latest rows of an address before a position, as far as there are any, with names and block times.
+
+        Newest first through its postings: as many as hold ``size`` rows are read
+        and no file beyond them, however long the archive is. A posting that
+        ``before`` falls into is read too, but not relied on.
+        """
+        self.opened = 0
+        none = self.spark.createDataFrame([], f"block_number bigint, tx_hash string, log_index int, value {WIDE}, from_addr string, to_addr string, block_time timestamp")
+        who = self.address_id(address)
+        if who is None:
+            return none
+        postings = self.read("postings", [(who, who)]).filter(F.col("id") == who)
+        if before is not None:
+            postings = postings.filter(F.col("stretch") <= before[0] // POSTING_BLOCKS)
+        stretches, n = [], 0
+        for r in postings.groupBy("stretch").agg(F.sum("n").alias("n")).orderBy(F.desc("stretch")).limit(size + 1).collect():
+            stretches.append(r["stretch"])
+            n += 0 if before is not None and r["stretch"] == before[0] // POSTING_BLOCKS else r["n"]
+            if n >= size:
+                break
+        if not stretches:
+            return none
+        spans = [(s * POSTING_BLOCKS, (s + 1) * POSTING_BLOCKS - 1) for s in stretches]
+        inside = F.expr(f"block_number div {POSTING_BLOCKS}").isin(stretches) & F.col("block_number").between(spans[-1][0], spans[0][1])
+        rows = self.read("rows", spans).filter(inside & ((F.col("from_id") == who) | (F.col("to_id") == who)))
+        if before is not None:
+            rows = rows.filter(F.struct("block_number", "log_index") < F.struct(F.lit(before[0]).cast("bigint"), F.lit(before[1]).cast("int")))
+        rows = stored(rows.orderBy(F.desc("block_number"), F.desc("log_index")).limit(size), "page")  # a page, and all that is named below
+        ids = [r["id"] for r in rows.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct().collect()]
+        names = self.names_of(ids)
+        out = rows.join(names.select(F.col("id").alias("from_id"), F.col("address").alias("from_addr")), "from_id", "left").join(
+            names.select(F.col("id").alias("to_id"), F.col("address").alias("to_addr")), "to_id", "left")
+        times = self.read("blocks", spans).filter(F.col("block_number").between(spans[-1][0], spans[0][1])).select("block_number", "block_time")
+        return out.join(times, "block_number", "left").select("block_number", "tx_hash", "log_index", "value", "from_addr", "to_addr", "block_time")
+
+    def transaction(self, tx_hash: str) -> DataFrame:
+        """The rows of one transaction, from the files of its block only."""
+        self.opened = 0
+        blocks = [r["block_number"] for r in self._point("transactions", tx_hash).filter(F.col("tx_hash") == tx_hash).select("block_number").distinct().collect()]
+        return self.read("rows", [(b, b) for b in blocks]).filter(F.col("block_number").isin(blocks) & (F.col("tx_hash") == tx_hash)).drop("block_part")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

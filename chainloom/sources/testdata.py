@@ -91,6 +91,15 @@ def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def int_word(v: Column) -> Column:
+    """An int256 word of a decimal, by two's complement."""
+    def digits(x: Column) -> Column:
+        two60 = F.lit(2**60).cast(BIG)
+        return F.concat(F.lpad(F.lower(F.hex(((x - x % two60) / two60).cast("bigint"))), 49, "0"), F.lpad(F.lower(F.hex((x % two60).cast("bigint"))), 15, "0"))
+    below = F.translate(digits((F.lit(-1).cast(BIG) - v).cast(BIG)), "0123456789abcdef", "fedcba9876543210")
+    return F.when(v < 0, below).otherwise(digits(v.cast(BIG)))
+
+
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``moves_raw`` as undecoded logs: address, topics, data words."""
     def word(addr: str) -> Column:

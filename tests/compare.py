@@ -55,8 +55,8 @@ def check(spark, con, sf_dir, name, fn, sql):
             return took, len(got), f"type of {f[0]}: {f[1]} vs {kinds[f[0]]}"
     a, b = rows_of(df.columns, got), rows_of(names, want)
     if a != b:
-        only_a = [x for x in a if x not in set(b)][:2] if len(a) < 200000 else []
-        only_b = [x for x in b if x not in set(a)][:2] if len(b) < 200000 else []
+        in_a, in_b = set(a), set(b)
+        only_a, only_b = [x for x in a if x not in in_b][:2], [x for x in b if x not in in_a][:2]
         return took, len(got), f"{len(a)} vs {len(b)} rows; spark only {only_a}; oracle only {only_b}"
     return took, len(got), ""
 
