@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
@@ -88,6 +88,22 @@ LABELS = "id bigint, lane string, lane_p float, ruled boolean, protocol string,
 INSIGHTS = "block_number bigint, log_index int, lane string, label_id bigint"
 
 
+def _numbered(rows: DataFrame, order: list, few: bool) -> DataFrame:
+    """Rows with a dense ``rank`` from 0; ``few`` says that the caller counted them and one task may number them."""
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1) if few else global_rank(rows, order)
+
+
+def seen_sentences(rows: DataFrame) -> DataFrame:
+    """(sentence, model, _p) once each, model '' when unanswered, _p the probabilities if any row has them."""
+    return rows.select("sentence", F.coalesce("model", F.lit("")).alias("model"), "probabilities").groupBy("sentence", "model").agg(F.max("probabilities").alias("_p"))
+
+
+def new_sentences(dictionary: DataFrame, seen: DataFrame, last: Column, few: bool = False) -> DataFrame:
+    """Dictionary rows for the pairs it lacks, with the ids after ``last``."""
+    new = _numbered(seen.join(dictionary.select("sentence", "model"), ["sentence", "model"], "left_anti"), ["sentence", "model"], few)
+    return new.select((last + 1 + F.col("rank")).alias("id"), "sentence", "model", F.col("_p").alias("probabilities"))
+
+
 def upsert_sentences(dictionary: DataFrame, rows: DataFrame) -> DataFrame:
     """The dictionary after ``rows(sentence, model, probabilities)``.
 
@@ -95,13 +111,10 @@ def upsert_sentences(dictionary: DataFrame, rows: DataFrame) -> DataFrame:
     that were null are filled; given ones are never overwritten; known pairs
     use no id.
     """
-    seen = rows.select("sentence", F.coalesce("model", F.lit("")).alias("model"), "probabilities").groupBy(
-        "sentence", "model").agg(F.max("probabilities").alias("_p"))
+    seen = seen_sentences(rows)
     kept = dictionary.join(seen, ["sentence", "model"], "left").select(
         "id", "sentence", "model", F.coalesce("probabilities", "_p").alias("probabilities"))
-    new = global_rank(seen.join(dictionary.select("sentence", "model"), ["sentence", "model"], "left_anti"), ["sentence", "model"])
-    base = F.coalesce(dictionary.agg(F.max("id")).scalar(), F.lit(0))
-    return kept.unionByName(new.select((base + 1 + F.col("rank")).alias("id"), "sentence", "model", F.col("_p").alias("probabilities")))
+    return kept.unionByName(new_sentences(dictionary, seen, F.coalesce(dictionary.agg(F.max("id")).scalar(), F.lit(0))))
 
 
 LABEL_KEY = ["lane", "lane_p", "ruled", "protocol", "facts", "sentence_id"]
@@ -120,13 +133,17 @@ def label_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("lane_p", F.col("lane_p").cast("float")).withColumn("protocol", F.nullif("protocol", F.lit("")))
 
 
-def upsert_labels(dictionary: DataFrame, rows: DataFrame) -> DataFrame:
-    """The label dictionary after ``rows`` with the label columns: dense ids, known labels use none."""
+def new_labels(dictionary: DataFrame, rows: DataFrame, last: Column, few: bool = False) -> DataFrame:
+    """Label rows that the dictionary lacks, with the ids after ``last``."""
     seen = label_rows(rows).select(*LABEL_KEY).dropDuplicates()
     new = seen.join(dictionary, _same_label(seen, dictionary), "left_anti").withColumn("_f", F.array_join("facts", ","))
-    ranked = global_rank(new, ["sentence_id", "lane", "lane_p", "ruled", "protocol", "_f"])
+    return _numbered(new, ["sentence_id", "lane", "lane_p", "ruled", "protocol", "_f"], few).select((last + 1 + F.col("rank")).alias("id"), *LABEL_KEY)
+
+
+def upsert_labels(dictionary: DataFrame, rows: DataFrame) -> DataFrame:
+    """The label dictionary after ``rows`` with the label columns: dense ids, known labels use none."""
     base = F.coalesce(dictionary.agg(F.max("id")).scalar(), F.lit(0))
-    return dictionary.select("id", *LABEL_KEY).unionByName(ranked.select((base + 1 + F.col("rank")).alias("id"), *LABEL_KEY))
+    return dictionary.select("id", *LABEL_KEY).unionByName(new_labels(dictionary, rows, base))
 
 
 def append_insights(target: DataFrame, rows: DataFrame) -> DataFrame:
@@ -137,24 +154,33 @@ def append_insights(target: DataFrame, rows: DataFrame) -> DataFrame:
 def file_lanes(settled: DataFrame, sentences: DataFrame, labels: DataFrame, insights: DataFrame,
                model: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Settled rows into the star: (all sentences, all labels, newly inserted insights)."""
-    rows = settled.select(
-        "block_number", "log_index", "sentence", F.when(F.col("choice").isNotNull(), model).otherwise("").alias("model"),
-        F.col("probs").alias("probabilities"), "lane", "lane_p", (F.col("ruled") != "").alias("ruled"), "protocol", "facts")
+    rows = filing_rows(settled, model)
     all_sentences = stored(upsert_sentences(sentences, rows), "sentences")
     sid = all_sentences.select(F.col("id").alias("sentence_id"), "sentence", "model")
     keyed = stored(label_rows(rows.join(sid, ["sentence", "model"])).drop("probabilities", "sentence"), "keyed")
     all_labels = stored(upsert_labels(labels, keyed), "labels")
-    filed = keyed.join(all_labels, _same_label(keyed, all_labels)).select(
-        keyed["block_number"], keyed["log_index"], keyed["lane"], all_labels["id"].alias("label_id"))
-    return all_sentences, all_labels, append_insights(insights, filed)
+    return all_sentences, all_labels, append_insights(insights, filed_rows(keyed, all_labels))
+
+
+def filing_rows(settled: DataFrame, model: str) -> DataFrame:
+    """Settled rows as the star takes them."""
+    return settled.select(
+        "block_number", "log_index", "sentence", F.when(F.col("choice").isNotNull(), model).otherwise("").alias("model"),
+        F.col("probs").alias("probabilities"), "lane", "lane_p", (F.col("ruled") != "").alias("ruled"), "protocol", "facts")
+
+
+def filed_rows(keyed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(block, log, lane, label_id) of rows with their sentence's id."""
+    return keyed.join(labels, _same_label(keyed, labels)).select(
+        keyed["block_number"], keyed["log_index"], keyed["lane"], labels["id"].alias("label_id"))
 
 
 def classify_range(described: DataFrame, lo: int, hi: int, scorer: Scorer, cache: DataFrame, sentences: DataFrame,
-                   labels: DataFrame, insights: DataFrame, model: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One round over described events of blocks [lo, hi]: score, settle, file."""
+                   labels: DataFrame, insights: DataFrame, model: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One round over described events of blocks [lo, hi]: score, settle, file. Last comes the cache with the new answers."""
     part = stored(described.filter(F.col("block_number").between(lo, hi)), "described")
-    answers, _ = score_sentences(part, scorer, cache)
-    return file_lanes(settle(part, answers), sentences, labels, insights, model)
+    answers, new = score_sentences(part, scorer, cache)
+    return *file_lanes(settle(part, answers), sentences, labels, insights, model), cache.unionByName(new)
 
 
 def cap_range(blocks: DataFrame, lo: Column, hi: Column, max_rows: int = 2000) -> DataFrame:

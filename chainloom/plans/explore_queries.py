@@ -267,7 +267,7 @@ SELECT tx_hash, CASE WHEN l IS NOT NULL THEN 'read' WHEN block < (SELECT min(blo
   l.lane AS lane, round(floor(l.p * 100 + 0.5) / 100, 6) AS p, l.s AS sentence FROM h"""))
 def q9(spark, sf):
     """Lanes exist for a middle stretch of blocks only, with holes in it."""
-    ins = frames.scored(spark, sf).filter("block_number BETWEEN 500 AND 12000 AND (block_number + log_index) % 3 <> 0")
+    ins = frames.scored(spark, sf, (500, 12000)).filter("(block_number + log_index) % 3 <> 0")
     x = X.tx_lane(tx_rows(spark, sf), ins, F.lit(12000))
     return x.select("tx_hash", "state", "lane", F.round("p", 6).alias("p"), "sentence")
 

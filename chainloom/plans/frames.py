@@ -47,11 +47,14 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
         own(by_contract(LABELS)).alias("label"), own(by_contract(DECIMALS)).alias("decimals"))
 
 
-def described(spark: SparkSession, sf: str) -> DataFrame:
-    """Every archived event with its sentence, facts, protocol and ruled lane."""
-    ctx = T.tx_ctx(spark, sf).select("tx_hash", "ctx")
-    kinds = E.known_kinds(ctx, T.codes(spark, sf))
-    x = S.with_kinds(events(spark, sf).join(S.ctx_facts(ctx), "tx_hash", "left"), kinds)
+def described(spark: SparkSession, sf: str, span: tuple[int, int] | None = None) -> DataFrame:
+    """Every archived event with its sentence, facts, protocol and ruled lane; ``span`` cuts events and contexts to a block range first."""
+    ctx = T.tx_ctx(spark, sf)
+    kinds = E.known_kinds(ctx.select("tx_hash", "ctx"), T.codes(spark, sf))
+    rows = events(spark, sf)
+    if span is not None:
+        rows, ctx = (x.filter(F.col("block_number").between(*span)) for x in (rows, ctx))
+    x = S.with_kinds(rows.join(S.ctx_facts(ctx.select("tx_hash", "ctx")), "tx_hash", "left"), kinds)
     return S.describe(S.with_calls(x, functions(spark)))
 
 
@@ -76,8 +79,8 @@ def with_hash_lanes(df: DataFrame, profile: str = "archive") -> DataFrame:
     return settle(rows, answers, profile)
 
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return with_hash_lanes(described(spark, sf))
+def scored(spark: SparkSession, sf: str, span: tuple[int, int] | None = None) -> DataFrame:
+    return with_hash_lanes(described(spark, sf, span))
 
 
 def live_scored(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.wide import WIDE, is_wide, wide_of
 from ..operators.enrich import assign_ids, swap_ids
 from ..session import stored
-from .tablelog import Conflict, File, TableLog
+from .tablelog import FEW, File, LoggedTables, key_spans, name_key
 
 DEFAULT_SIZE = 2_000_000
 MIN_SIZE = 10_000
@@ -161,17 +161,8 @@ def insights_full(insights: DataFrame, labels: DataFrame, sentences: DataFrame)
 
 #: Blocks of one posting: the latest rows of an address lie in at most as many postings as there are rows.
 POSTING_BLOCKS = 1024
-#: So many rows of a table are numbered and written by one task.
-FEW = 200_000
-#: A batch's addresses are looked for in dictionary files by this many leading bits of their hash.
-NAME_BITS = 14
 
-
-def name_key(text: str | Column) -> Column:
-    return F.xxhash64(text)
-
-
-class Archive:
+class Archive(LoggedTables):
     """Batches of rows, blocks, addresses, dead letters and a cursor below one folder, committed through a ``TableLog``.
 
     A batch's files count from its one commit on, which also moves the cursor
@@ -198,28 +189,18 @@ class Archive:
     DEAD = "block_number bigint, tx_hash string, log_index int, address string, topics array<string>, data string, error string, block_part bigint"
     CURSOR = "last_block bigint, last_id bigint, batch_id bigint"
     TABLES = {"rows": ROWS, "blocks": BLOCKS, "dead": DEAD, "addresses": ADDRESSES, "names": NAMES, "postings": POSTINGS, "transactions": TRANSACTIONS}
-    #: The key and the further order of each table.
     ORDER = {"rows": ["block_number", "log_index"], "blocks": ["block_number"], "dead": ["block_number", "log_index"], "addresses": ["id"],
              "names": ["name_key", "address"], "postings": ["id", "stretch"], "transactions": ["name_key", "block_number"]}
-    #: Tables whose keys grow with time: only their small files are merged.
     ARRIVAL = ("rows", "blocks", "dead", "addresses")
 
     def __init__(self, spark: SparkSession, root: str, size: int = DEFAULT_SIZE, fan: int = 8, file_rows: int = 4_000_000):
         """Opens the archive. ``fan`` files or runs are merged at a time, into files of at most ``file_rows`` rows."""
-        self.spark, self.root, self.size, self.fan, self.file_rows = spark, root, size, fan, file_rows
-        self.log = TableLog(spark, root)
-        self.opened = 0  # files that the last commit or lookup planned to open
+        super().__init__(spark, root, size, fan, file_rows)
 
     def cursor(self) -> DataFrame:
         facts = self.log.refresh().facts
         return self.spark.createDataFrame([(facts["last_block"], facts["last_id"], facts["batch_id"])] if facts else [], self.CURSOR)
 
-    def read(self, table: str, spans: list[tuple[int, int]] | None = None) -> DataFrame:
-        """Committed rows of a table; ``spans`` of its key leave out files that cannot hold them, not rows."""
-        files = self.log.refresh().files(table, spans)
-        self.opened += len(files)
-        return self.log.read(table, self.TABLES[table], files)
-
     def _known(self, table: str, batch_id: int, batch: DataFrame, span: tuple | None = None) -> DataFrame:
         """Rows within the blocks and block parts of a batch; the bounds are literals, so files are pruned."""
         lo, hi = span or batch.agg(F.min("block_number"), F.max("block_number")).first()
@@ -227,13 +208,6 @@ class Archive:
             return self.read(table, []).drop("block_part")
         return self.read(table, [(lo, hi)]).filter(F.col("block_part").between(lo // self.size, hi // self.size)).drop("block_part")
 
-    def _sorted(self, table: str, df: DataFrame, rows: int) -> tuple[DataFrame, str, list[str]]:
-        """A table's rows as they are written: sorted by key, in one file when they are few."""
-        order, parts = self.ORDER[table], ["block_part"] if "block_part" in df.columns else []
-        n = -(-rows // self.file_rows)
-        spread = df.coalesce(1) if rows <= FEW else df.repartitionByRange(n, *order) if n > 1 else df.repartitionByRange(*order)
-        return spread.sortWithinPartitions(*parts, *order), order[0], parts
-
     def commit_batch(self, rows: DataFrame, dead: DataFrame, last_block: int, batch_id: int, order: list, fail_after: str | None = None) -> int:
         """``rows`` has address text in from_addr/to_addr and a value of limbs or a decimal; returns the number of rows really inserted.
 
@@ -254,9 +228,7 @@ class Archive:
         frames, last_id = {}, facts.get("last_id", 0)
         if n:
             new = stored(append_new(self._known("rows", batch_id, batch, (lo, hi)), batch, ["block_number", "log_index"], order), "batch")
-            met = new.select(F.explode(F.array("from_addr", "to_addr")).alias("address")).select(
-                F.shiftright(name_key("address"), 64 - NAME_BITS).alias("b")).distinct().collect()  # at most 2^NAME_BITS numbers
-            spans = [(r["b"] << (64 - NAME_BITS), ((r["b"] + 1) << (64 - NAME_BITS)) - 1) for r in met]
+            spans = key_spans(new.select(F.explode(F.array("from_addr", "to_addr")).alias("address")).select(name_key("address")))
             names = self.read("names", spans).select("id", "address")
             fresh = stored(assign_ids(names, new, ["from_addr", "to_addr"], F.lit(last_id), n <= FEW), "fresh")
             filed = stored(swap_ids(new, {"from_addr": "from_id", "to_addr": "to_id"}, names.unionByName(fresh)).withColumn("batch_id", F.lit(batch_id).cast("bigint")).select(
@@ -286,46 +258,8 @@ class Archive:
                                     "counts": {t: before.get(t, 0) + c for t, c in count.items()}})
         return count["rows"]
 
-    # compaction
-
-    def _due(self, table: str) -> list[File]:
-        """Files to be merged into one run now; none when fewer than ``fan`` of a kind are there."""
-        if table in self.ARRIVAL:
-            small = [f for f in self.log.files(table) if f.rows < self.file_rows // 2]
-            return small if len(small) >= self.fan else []
-        tiers: dict[int, list[list[File]]] = {}
-        for files in self.log.runs(table).values():
-            rows, tier = sum(f.rows for f in files), 0
-            while rows >= self.fan ** (tier + 1):
-                tier += 1
-            tiers.setdefault(tier, []).append(files)
-        for tier in sorted(tiers):
-            if len(tiers[tier]) >= self.fan:  # with it all smaller runs, which are newer
-                return [f for t in sorted(tiers) if t <= tier for files in tiers[t] for f in files]
-        return []
-
-    def compact(self) -> dict[str, int]:
-        """Merge what is due in each table, a commit per table; returns how many files were replaced.
-
-        Readers see the files before or those after. What another writer added
-        meanwhile stays; if another compaction took the same files, this one's
-        result is dropped.
-        """
-        done = {}
-        for table in self.TABLES:
-            due = self.log.refresh() and self._due(table)
-            if not due:
-                continue
-            rows = self.log.read(table, self.TABLES[table], due)
-            if table == "postings":
-                rows = rows.groupBy("id", "stretch").agg(F.sum("n").alias("n"))
-            add = self.log.write({table: self._sorted(table, rows, sum(f.rows for f in due))})
-            try:
-                self.log.commit(add, [(table, f.path) for f in due])
-            except Conflict:
-                continue
-            done[table] = len(due)
-        return done
+    def _folded(self, table: str, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("id", "stretch").agg(F.sum("n").alias("n")) if table == "postings" else rows
 
     # lookups
 
