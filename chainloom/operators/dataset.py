@@ -161,13 +161,19 @@ def audit_sample(rows: DataFrame, n: int = 60, seed: int = 0) -> DataFrame:
     return x.orderBy(seeded(seed, F.col("state"), F.col("qid")), "state", "qid").limit(n)
 
 
-def leaks(rows: DataFrame, forbidden: DataFrame, words: DataFrame) -> DataFrame:
+#: Distinct avoided words that ``leaks`` takes; every text is tried for every word.
+MOST_WORDS = 10_000
+
+
+def leaks(rows: DataFrame, forbidden: DataFrame, words: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     """Adds ``leaked`` (the normalised text is a forbidden one) and ``avoided`` (it holds an avoided word).
 
-    ``words(word)`` is a short vocabulary written by hand: its distinct words travel as one array.
+    ``words(word)`` is a short vocabulary written by hand: its distinct words
+    travel as one array, and more than ``most`` of them are an error.
     """
     bad = forbidden.select(normalize(F.col("text")).alias("_n")).distinct().withColumn("leaked", F.lit(True))
-    listed = words.select("word").distinct().agg(F.collect_list("word")).scalar()
+    few = words.select("word").distinct().limit(most + 1).agg(F.collect_list("word").alias("w"))
+    listed = few.select(F.when(F.size("w") > most, F.raise_error(F.lit(f"more than {most} avoided words"))).otherwise(F.col("w"))).scalar()
     x = rows.withColumn("_n", normalize(F.col("text"))).join(bad, "_n", "left").withColumn("_w", listed)
     return x.withColumn("leaked", F.coalesce("leaked", F.lit(False))).withColumn("avoided", avoided(F.col("text"), F.col("_w"))).drop("_n", "_w")
 

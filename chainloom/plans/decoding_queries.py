@@ -124,6 +124,25 @@ def dec6(spark, sf):
     return x.select("block_number", "log_index", "tx_hash", "row.from", "row.to", F.col("row.value").cast("string").alias("value"))
 
 
+@query("dec6_dynamic_params", """
+SELECT p_partkey AS id, CASE WHEN p_partkey % 9 <> 0 THEN p_name END AS name, CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_size % 4 = 0 THEN '[]'
+    ELSE '["' || array_to_string(list_transform(range(p_size % 4), lambda i: CAST(p_partkey + i AS VARCHAR)), '","') || '"]' END AS amounts,
+  p_partkey % 9 = 0 AS lost FROM part""")
+def dec6_dynamic(spark, sf):
+    """A text and a list of amounts per log through the tail decoder; every ninth log is cut short."""
+    def word(v):
+        return F.lpad(F.lower(F.hex(v.cast("bigint"))), 64, "0")
+    part = T.table(spark, sf, "part").select("p_partkey", "p_name", (F.col("p_size") % 4).alias("k"))
+    text = F.lower(F.hex(F.col("p_name").cast("binary")))
+    whole = (F.ceil(F.length(text) / 64) * 64).cast("int")
+    body = F.when(F.col("k") == 0, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.col("k") - 1, F.lit(0))), lambda i: word(F.col("p_partkey") + i)), ""))
+    data = F.concat(F.lit("0x"), word(F.lit(64)), word(96 + whole / 2), word(F.length(text) / 2), F.rpad(text, whole, "0"), word(F.col("k")), body)
+    data = F.when(F.col("p_partkey") % 9 == 0, F.substring(data, 1, 2 + 64 * 3)).otherwise(data)
+    logs = part.select("p_partkey", F.array(F.lit("0xaa")).alias("topics"), data.alias("data"))
+    x = D.decode_logs(logs, [("name", "string", False), ("amounts", "uint256[]", False)])
+    return x.select(F.col("p_partkey").alias("id"), F.col("row.name").alias("name"), F.col("row.amounts").alias("amounts"), F.col("error").isNotNull().alias("lost"))
+
+
 def _times_2_128(v: str) -> str:
     """v * 2^128 as digits, by long multiplication with limbs of eight digits (the product has no integer type here)."""
     digits = str(2**128)

@@ -11,7 +11,7 @@ from ..streaming import live as S
 from ..streaming.jobs import drain, drain_closed
 from ..sources.logs import stream_logs
 from . import frames
-from .archive_queries import num
+from .archive_queries import ingested, num
 from .explore_queries import _name
 from .oracle_views import sql
 
@@ -129,6 +129,19 @@ def str6(spark, sf):
     return S.counters(rows)
 
 
+@query("str6_ingest_counters", sql(["moves_raw"], """
+WITH k AS (SELECT block_number, log_index, any_value(from_addr) AS f, any_value(block_number % 10 IN (1, 2, 3, 4)) AS bad FROM moves_raw GROUP BY 1, 2),
+r AS (SELECT from_addr AS a FROM moves_raw WHERE block_number % 10 NOT IN (1, 2, 3, 4) UNION
+  SELECT to_addr FROM (SELECT * FROM moves_raw WHERE block_number % 10 NOT IN (1, 2, 3, 4)
+    QUALIFY row_number() OVER (PARTITION BY block_number, log_index ORDER BY CASE WHEN block_number % 10 = 5 THEN 0 ELSE value END, to_addr) = 1))
+SELECT 'received' AS name, (SELECT count(*) FROM moves_raw) AS n UNION ALL SELECT 'inserted', (SELECT count(*) FROM k WHERE NOT bad)
+UNION ALL SELECT 'dead_letters', (SELECT count(*) FROM k WHERE bad) UNION ALL SELECT 'blocks', (SELECT count(DISTINCT block_number) FROM k WHERE NOT bad)
+UNION ALL SELECT 'addresses', (SELECT count(*) FROM r)"""))
+def str6_ingest(spark, sf):
+    """What the stream into the archive counted, read from its commits, after the stream was sent twice."""
+    return ingested(spark, sf, times=2).counters()
+
+
 @query("str7_feed_state", """
 WITH e AS (SELECT user_id, CASE WHEN user_id % 5 <> 0 THEN epoch_us(ts) END AS us FROM events), n AS (SELECT max(epoch_us(ts)) AS now, min(epoch_us(ts)) AS started FROM events),
 l AS (SELECT user_id, max(us) AS last FROM e GROUP BY 1)

@@ -252,7 +252,7 @@ class Archive(LoggedTables):
             self.log.write({t: frames[t] for t in list(frames)[:list(frames).index(fail_after) + 1]})
             raise RuntimeError(f"stopped after {fail_after}")
         add = self.log.write(frames)
-        count = {t: sum(f.rows for u, f in add if u == t) for t in self.TABLES}
+        count = {t: sum(f.rows for u, f in add if u == t) for t in self.TABLES} | {"received": n + n_lost}
         before = facts.get("counts", {})
         self.log.commit(add, facts={"last_block": max(last_block, facts.get("last_block", -1)), "last_id": last_id + count["addresses"], "batch_id": batch_id,
                                     "counts": {t: before.get(t, 0) + c for t, c in count.items()}})
@@ -261,6 +261,15 @@ class Archive(LoggedTables):
     def _folded(self, table: str, rows: DataFrame) -> DataFrame:
         return rows.groupBy("id", "stretch").agg(F.sum("n").alias("n")) if table == "postings" else rows
 
+    def counters(self) -> DataFrame:
+        """(name, n): logs received, rows inserted, dead letters, blocks and addresses of all committed batches.
+
+        They are part of each commit, so a batch that comes again is not counted again.
+        """
+        counts = self.log.refresh().facts.get("counts", {})
+        names = {"received": "received", "rows": "inserted", "dead": "dead_letters", "blocks": "blocks", "addresses": "addresses"}
+        return self.spark.createDataFrame([(name, counts.get(t, 0)) for t, name in names.items()], "name string, n bigint")
+
     # lookups
 
     def _point(self, table: str, text: str) -> DataFrame:

@@ -131,3 +131,21 @@ def test_two_writers(spark):
         one.commit([("t", file(n))])
     assert late.refresh().live == one.live and TableLog(spark, root).live == one.live
     assert [f.path for f in late.files("t", [(20, 22), (40, 40)])] == ["/f20", "/f21", "/f22", "/f40"]
+
+
+def test_counters_come_with_the_commits(spark):
+    a = A.Archive(spark, new_folder(spark, "counted"), 10_000)
+    lost = spark.createDataFrame([(3, "t", 1, "a", [], "0x", "short")] * 2, "block_number bigint, tx_hash string, log_index int, address string, topics array<string>, data string, error string")
+    for batch_id in (0, 0, 1):
+        a.commit_batch(rows(spark, 0, 30), lost, 29, batch_id, ["value"])
+    got = {r["name"]: r.n for r in a.counters().collect()}
+    assert got == {"received": 64, "inserted": 30, "dead_letters": 1, "blocks": 30, "addresses": a.cursor().first()["last_id"]}
+
+
+def test_too_many_avoided_words_are_refused(spark):
+    from chainloom.operators import dataset as S
+    texts = spark.createDataFrame([("a fine text",)], "text string")
+    words = spark.createDataFrame([(f"w{i}",) for i in range(6)], "word string")
+    assert S.leaks(texts, texts, words, most=6).first()["leaked"]
+    with pytest.raises(Exception, match="more than 5 avoided words"):
+        S.leaks(texts, texts, words, most=5).collect()
