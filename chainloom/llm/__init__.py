@@ -1 +1 @@
-"""Training-data operators: ten dealt methods, their registered queries and the corpus stages built from them."""
+"""Training-data operators: thirteen dealt methods, their registered queries and the corpus stages built from them."""
