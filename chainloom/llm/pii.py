@@ -10,10 +10,14 @@ as it is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Spark hides settings of this name in its pages and logs.
+KEY_SETTING = "spark.chainloom.pii.secret"
 
 #: Fixed patterns, in the order in which they are tried at a place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])(?=[._%+-]*+[A-Za-z0-9])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9][A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
@@ -55,33 +59,53 @@ def feistel(a: Column, b: Column, low: Column, high: Column, key: str, tweak: Co
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), turn)
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of the value, which is computed once however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """The text cut every ``size`` characters."""
+    return F.filter(F.split(text, rf"(?<=\G[\s\S]{{{size}}})"), lambda p: p != "")
+
+
 def permuted(chars: Column, base: int, key: str, kind: str) -> Column:
-    """A string of base-10, -16 or -36 digits put through the network, in pieces of bounded length; a piece also depends on all before it."""
+    """A string of base-10, -16 or -36 digits put through the network in pieces; a piece also depends on the eight before it."""
     piece = {10: 18, 16: 14, 36: 10}[base]
 
-    def one(i: Column) -> Column:
-        text = F.substr(chars, i * piece + 1, F.lit(piece))
+    def one(text: Column, i: Column, s: Column) -> Column:
         half = F.ceil(F.length(text) / 2).cast("int")
         left, right = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
         number = lambda s: F.coalesce(F.conv(F.when(s == "", "0").otherwise(s), base, 10).cast("long"), F.lit(0).cast("long"))
         size = lambda n: F.round(F.pow(F.lit(float(base)), n)).cast("long")
         rest = F.length(text) - half
-        tweak = F.concat_ws("|", F.lit(kind), F.length(chars).cast("string"), F.substr(chars, F.lit(1), i * piece))
-        return F.transform(F.array(feistel(number(left), number(right), size(half), size(rest), key, tweak)),
-                           lambda s: F.concat(F.lpad(F.lower(F.conv(s["a"].cast("string"), 10, base)), half, "0"),
-                                              F.when(rest > 0, F.lpad(F.lower(F.conv(s["b"].cast("string"), 10, base)), rest, "0")).otherwise("")))[0]
+        before = F.array_join(F.slice(s["pieces"], F.greatest(F.lit(1), i - 7), F.least(i, F.lit(8))), "")
+        tweak = F.concat_ws("|", F.lit(kind), s["size"].cast("string"), i.cast("string"), before)
+        return once(feistel(number(left), number(right), size(half), size(rest), key, tweak),
+                    lambda s: F.concat(F.lpad(F.lower(F.conv(s["a"].cast("string"), 10, base)), half, "0"),
+                                       F.when(rest > 0, F.lpad(F.lower(F.conv(s["b"].cast("string"), 10, base)), rest, "0")).otherwise("")))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(chars) - 1) / piece).cast("int")), one), "")
+    cut = once(chars, lambda c: F.struct(F.length(c).alias("size"), _pieces(c, piece).alias("pieces")))
+    return once(cut, lambda s: F.array_join(F.transform(s["pieces"], lambda p, i: one(p, i, s)), ""))
 
 
 def refilled(text: Column, other: str, chars: Column) -> Column:
     """The text with its characters outside the class ``other`` replaced by ``chars`` in turn; upper case stays upper case."""
-    def one(i: Column) -> Column:
-        old = F.substr(text, i, F.lit(1))
-        new = F.substr(chars, F.length(F.regexp_replace(F.substr(text, F.lit(1), i), other, "")), F.lit(1))
-        return F.when(old.rlike(other), old).when(old.rlike("[A-Z]"), F.upper(new)).otherwise(new)
+    def part(s: Column) -> Column:
+        def one(old: Column, i: Column) -> Column:
+            new = F.substr(s["fill"], F.length(F.regexp_replace(F.substr(s["part"], F.lit(1), i + 1), other, "")), F.lit(1))
+            return F.when(old.rlike(other), old).when(old.rlike("[A-Z]"), F.upper(new)).otherwise(new)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")
+        return F.array_join(F.transform(F.split(s["part"], ""), one), "")
+
+    def parts(s: Column) -> Column:
+        # how many characters are taken before each part of 64
+        taken = F.aggregate(s["parts"], F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(F.regexp_replace(p, other, "")))))
+        filled = lambda t: F.transform(s["parts"], lambda p, k: once(
+            F.struct(p.alias("part"), F.substr(s["chars"], F.get(t, k) + 1, F.lit(64)).alias("fill")), part))
+        return F.array_join(once(taken, filled), "")
+
+    return once(F.struct(_pieces(text, 64).alias("parts"), chars.alias("chars")), parts)
 
 
 def _digits(x: Column) -> Column:
@@ -215,13 +239,28 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymized(docs: DataFrame, key: str = "change me") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key that the setting ``KEY_SETTING`` names; a session without one draws its own and keeps it.
+
+    With a drawn key equal values are linked within the session, and nobody can
+    undo them later. Jobs whose pseudonyms must agree set the same key.
+    """
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def pseudonymized(docs: DataFrame, key: str | None = None) -> DataFrame:
     """Every row with its personal data replaced: doc (the input row), doc_id, text and n_replaced (values that changed).
 
-    ``key`` decides the pseudonyms; who keeps it secret can link but not undo
-    them for others. A null text stays null and an empty one empty, with
-    nothing replaced; equal rows are replaced alike.
+    ``key`` decides the pseudonyms (default: ``session_key``); who keeps it
+    secret can link but not undo them for others. A null text stays null and an
+    empty one empty, with nothing replaced; equal rows are replaced alike, and
+    values of any length take time in proportion to it.
     """
+    key = session_key(docs.sparkSession) if key is None else key
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     text = F.col("doc.text")
     packed = packed.withColumn("pattern", F.when(text.rlike(HINT), _pattern(text)))
