@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether the shuffle files of a job are removed when it ends, rather than when the driver forgets its plan.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(spark: SparkSession) -> SparkSession:
     """Runtime settings the operators rely on; safe to call again and again."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -58,8 +63,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
     A written table survives the loss of an executor and, unlike a recomputed
     plan, gives every later reader the same rows, which the id and rank
-    operators depend on.
+    operators depend on. The shuffle files of the writing job go once the table
+    stands; a frame that is run again makes them anew.
     """
-    path = new_folder(df.sparkSession, label)
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    kept = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the tables behind frames that ``stored`` returned, once all that was derived from them is written itself."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if not re.search("-[0-9a-f]{32}$", folder):
+                raise ValueError(f"{folder} is no stored table")
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
