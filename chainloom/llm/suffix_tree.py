@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 from . import textscan as ts
 from .decontaminate import bit_map
 from .labelled import remainder
@@ -212,15 +212,16 @@ def _longer(level: int, bits: np.ndarray):
     return run
 
 
-def _level(runs: DataFrame, last: DataFrame, often: float, divergence: float) -> tuple[DataFrame, DataFrame]:
-    """(runs with n, log and add, contexts with passed) of a level: ``last`` has h, n and log of the level before.
+def _level(counted: DataFrame, last: DataFrame, often: float, divergence: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs with n, log and add, contexts with passed, the table that runs are read from) of a level: ``last`` has h, n and log of the level before.
 
     A kept run's context and shorter run are kept too, as they occur wherever
     it does, so the joins lose no run but those whose context is too rare.
     """
-    runs = runs.join(last.filter(F.col("n") >= often).select(F.col("h").alias("context"), F.col("n").alias("uses")), "context")
+    runs = counted.join(last.filter(F.col("n") >= often).select(F.col("h").alias("context"), F.col("n").alias("uses")), "context")
     runs = runs.join(last.select(F.col("h").alias("shorter"), F.col("log").alias("before")), "shorter")
-    runs = stored(runs.select("h", "context", "n", "uses", "before"), "runs").withColumn("p", (F.col("n") - DISCOUNT) / F.col("uses"))
+    joined = stored(runs.select("h", "context", "n", "uses", "before"), "runs")
+    runs = joined.withColumn("p", (F.col("n") - DISCOUNT) / F.col("uses"))
     q = F.pow(F.lit(10.0), F.col("before"))
     rest, shorter = F.greatest(1 - F.sum("p"), F.lit(1e-12)), F.greatest(1 - F.sum(q), F.lit(1e-12))
     far = F.sum(F.col("p") * F.log(F.col("p") / q)) + rest * F.log(rest / shorter)
@@ -229,7 +230,7 @@ def _level(runs: DataFrame, last: DataFrame, often: float, divergence: float) ->
     runs = runs.join(states, "context", "left").select(
         "h", "n", F.when(F.col("passed").isNull(), F.col("before")).otherwise(after).alias("log"),
         F.when(F.col("passed").isNull(), F.lit(0.0)).otherwise(after - F.col("before") - F.col("passed")).alias("add"))
-    return runs, states
+    return runs, states, joined
 
 
 class Lookup:
@@ -297,10 +298,13 @@ def learn(texts: DataFrame, depth: int, context_share: float, entry_share: float
             break
         found = texts.select("text").mapInArrow(_longer(level, bits), "h long, context long, shorter long, n long")
         runs = found.groupBy("h").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"), F.sum("n").alias("n")).filter(F.col("n") >= least)
-        new, states = _level(runs, last, often, divergence)
+        counted = stored(runs, "counted")
+        new, states, joined = _level(counted, last, often, divergence)
         levels.append(_values(last, states, not levels))
-        last = stored(new, "level") if level < depth else new
+        before, last = last, stored(new, "level")
+        discard(counted, joined, states, before)
     levels.append(_values(last, None, not levels))
+    discard(last)
     return levels, total, distinct, norm
 
 
