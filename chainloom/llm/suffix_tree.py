@@ -332,11 +332,13 @@ def suffix_scores(docs: DataFrame, depth: int = 3, context_share: float = 0.0, e
     heads, bits, root, rare = [], [], np.zeros(0), None
     for level, table in enumerate(levels):
         frequent = F.col("n") >= total * head_share * (4 if level else 1)
-        head = table.filter(frequent).toPandas()  # at most 1 / head_share rows, a quarter of that for runs
-        order = np.argsort(head["h"].to_numpy().view(np.uint64))
-        heads.append((head["h"].to_numpy().view(np.uint64)[order], head["value"].to_numpy()[order]))
+        head = table.filter(frequent).toArrow()  # at most 1 / head_share rows, a quarter of that for runs
+        h, value, n = (head.column(c).to_numpy() for c in ("h", "value", "n"))
+        del head
+        order = np.argsort(h.view(np.uint64))
+        heads.append((h.view(np.uint64)[order], value[order]))
         if not level:
-            root = np.log10((head["n"].to_numpy()[order] + 0.5) / norm)
+            root = np.log10((n[order] + 0.5) / norm)
         others = table.filter(~frequent)
         bits.append(bit_map(table.select("h"), LOG_BITS) if level else np.zeros(1, np.uint8))
         others = others.select(F.lit(level).alias("kind"), F.col("h").alias("key"), "value", "n")
