@@ -113,10 +113,10 @@ def bit_map(hashes: DataFrame, log_bits: int) -> np.ndarray:
     slot = F.col("h").bitwiseAND(F.lit((1 << log_bits) - 1))
     words = (
         hashes.select(F.shiftrightunsigned(slot, 6).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast((h & {(1 << log_bits) - 1}) & 63 as int))").alias("bit"))
-        .groupBy("at").agg(F.expr("bit_or(bit)").alias("word")).toPandas()
+        .groupBy("at").agg(F.expr("bit_or(bit)").alias("word")).toArrow()
     )
     out = np.zeros(1 << max(0, log_bits - 6), np.int64)
-    out[words["at"].to_numpy()] = words["word"].to_numpy()
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy()
     return out.view(np.uint8)
 
 
