@@ -139,6 +139,42 @@ def feed_state(rows: DataFrame, by: str, now: Column, started: Column, stale: in
     return last.select(by, age.alias("age"), (since <= stale * 1_000_000).alias("alive"))
 
 
+def watch_feeds(stream: DataFrame, stale: float = 120) -> DataFrame:
+    """A row (feed, alive, last) whenever a feed of a stream comes alive or has been silent for ``stale`` seconds.
+
+    ``stream(feed, seen)``: ``seen`` is when the row came, null for a row that
+    only names a feed, which starts its grace. ``last`` is the latest seen so
+    far. Silence is measured by the clock, so it is told without any further
+    row; deadlines are part of the state and outlive a restart. A feed costs a
+    state of three numbers.
+    """
+    import pandas as pd
+
+    grace = int(stale * 1000)
+
+    def turn(key, batches, state):
+        now = state.getCurrentProcessingTimeMs()
+        alive, last, deadline = state.get if state.exists else (None, None, None)
+        before = alive
+        if state.hasTimedOut:
+            alive = False
+        else:
+            news = [m for m in (b["seen_us"].max() for b in batches) if pd.notna(m)]
+            if news or before is None:
+                alive, deadline = True, now + grace
+                last = max([int(m) for m in news] + ([last] if last is not None else []), default=None)
+        state.update((alive, last, deadline))
+        if alive:  # a call clears the timer
+            state.setTimeoutDuration(max(1, deadline - now))
+        if alive != before:
+            yield pd.DataFrame({"feed": [key[0]], "alive": [alive], "last_us": pd.array([last], "Int64")})
+
+    kind = dict(stream.dtypes)["feed"]
+    told = stream.filter("feed is not null").select("feed", F.unix_micros(F.col("seen").cast("timestamp")).alias("seen_us")).groupBy("feed").applyInPandasWithState(
+        turn, f"feed {kind}, alive boolean, last_us long", "alive boolean, last long, deadline long", "append", "ProcessingTimeTimeout")
+    return told.select("feed", "alive", F.timestamp_micros("last_us").alias("last"))
+
+
 def dedup_stream(stream: DataFrame, keys: list[str], delay: str) -> DataFrame:
     """Rows whose key was not seen within the delay; the state held is bounded by it."""
     return stream.withWatermark("t", delay).dropDuplicatesWithinWatermark(keys)
