@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ MAX_IDENTIFIER = 63
 RESERVED = ["block_number", "tx_hash", "log_index", "block_time", "tx_index", "_ingested_at"]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once; a column named twice is worked out twice."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def snake_case(c: Column) -> Column:
     c = F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1_$2")
     c = F.regexp_replace(c, "([A-Z]+)([A-Z][a-z])", "$1_$2")
@@ -20,8 +27,11 @@ def snake_case(c: Column) -> Column:
 
 def identifier(c: Column) -> Column:
     """The name itself, or an error when it would be cut short."""
-    text = F.concat(F.lit("identifier exceeds 63 bytes: "), c)
-    return F.when(F.octet_length(c) > MAX_IDENTIFIER, F.raise_error(text)).otherwise(c)
+    def checked(name: Column) -> Column:
+        text = F.concat(F.lit("identifier exceeds 63 bytes: "), name)
+        return F.when(F.octet_length(name) > MAX_IDENTIFIER, F.raise_error(text)).otherwise(name)
+
+    return let(c, checked)
 
 
 def storage_type(abi_type: Column) -> Column:

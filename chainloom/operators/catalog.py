@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.naming import RESERVED, identifier, snake_case
+from ..functions.naming import RESERVED, identifier, let, snake_case
 
 ABI = ("array<struct<type:string,name:string,topic0:string,selector:string,"
        "inputs:array<struct<name:string,type:string,indexed:boolean>>>>")
@@ -19,19 +19,25 @@ def event_catalog(abis: DataFrame) -> DataFrame:
     digits appended to the table name; a selected name the ABI lacks is an error.
     Everything is decided inside the ABI's own row, so nothing shuffles.
     """
-    read = abis.withColumn("_abi", F.from_json("abi", ABI))
-    events = F.filter("_abi", lambda e: e["type"] == "event")
-    read = read.withColumn("_events", F.when(F.col("_abi").isNull(), F.raise_error(
-        F.concat("contract", F.lit(": ABI must be a JSON array")))).otherwise(events))
     chosen = F.coalesce("selected", F.array().cast("array<string>"))
-    unknown = F.array_except(chosen, F.transform("_events", lambda e: e["name"]))
-    wanted = F.filter("_events", lambda e: (F.size(chosen) == 0) | F.array_contains(chosen, e["name"]))
-    read = read.withColumn("_wanted", F.when(F.size(unknown) > 0, F.raise_error(
-        F.concat("contract", F.lit(": event not found in ABI: "), F.array_join(unknown, ", ")))).otherwise(wanted))
-    one = read.select("contract", F.lower("address").alias("address"), "_wanted", F.explode("_wanted").alias("e"))
+
+    def picked(events: Column) -> Column:
+        unknown = F.array_except(chosen, F.transform(events, lambda e: e["name"]))
+        wanted = F.filter(events, lambda e: (F.size(chosen) == 0) | F.array_contains(chosen, e["name"]))
+        return F.when(F.size(unknown) > 0, F.raise_error(
+            F.concat("contract", F.lit(": event not found in ABI: "), F.array_join(unknown, ", ")))).otherwise(wanted)
+
+    def selected(abi: Column) -> Column:
+        return F.when(abi.isNull(), F.raise_error(F.concat("contract", F.lit(": ABI must be a JSON array")))).otherwise(
+            let(F.filter(abi, lambda e: e["type"] == "event"), picked))
+
+    read = abis.select("contract", F.lower("address").alias("address"), snake_case(F.col("contract")).alias("_name"),
+                       let(F.from_json("abi", ABI), selected).alias("_wanted"))
+    # outer: Spark would else ask whether the list is empty before it, and so read every ABI three times
+    one = read.select("contract", "address", "_name", "_wanted", F.explode_outer("_wanted").alias("e")).filter("e IS NOT NULL")
     twice = F.size(F.filter("_wanted", lambda e: e["name"] == F.col("e.name"))) > 1
-    base = F.concat_ws("_", snake_case(F.col("contract")), snake_case(F.col("e.name")))
-    name = F.when(twice, F.concat_ws("_", base, F.substring("e.topic0", 3, 4))).otherwise(base)
+    base = F.concat_ws("_", "_name", snake_case(F.col("e.name")))
+    name = F.concat_ws("_", base, F.when(twice, F.substring("e.topic0", 3, 4)))
     return one.select("contract", "address", F.col("e.name").alias("event"), F.col("e.topic0").alias("topic0"),
                       identifier(name).alias("table_name"), F.col("e.inputs").alias("inputs"))
 
@@ -47,24 +53,28 @@ def function_catalog(abis: DataFrame) -> DataFrame:
 def _stored_names(inputs: Column) -> Column:
     """array<struct<name, view_name, abi_type, indexed>> in parameter order."""
     def one(p, i):
-        raw = F.when(F.length(p["name"]) > 0, snake_case(p["name"])).otherwise(
-            F.concat(F.lit("arg"), i.cast("string")))
-        view = F.when(raw.isin(*RESERVED), F.concat(F.lit("param_"), raw)).otherwise(raw)
-        name = F.when(p["type"] == "address", F.concat(view, F.lit("_id"))).otherwise(view)
-        return F.struct(name.alias("name"), view.alias("view_name"), p["type"].alias("abi_type"),
-                        F.coalesce(p["indexed"], F.lit(False)).alias("indexed"))
+        def column(view):
+            name = F.when(p["type"] == "address", F.concat(view, F.lit("_id"))).otherwise(view)
+            return F.struct(name.alias("name"), view.alias("view_name"), p["type"].alias("abi_type"),
+                            F.coalesce(p["indexed"], F.lit(False)).alias("indexed"))
+
+        raw = F.when(F.length(p["name"]) > 0, snake_case(p["name"])).otherwise(F.concat(F.lit("arg"), i.cast("string")))
+        return let(let(raw, lambda r: F.when(r.isin(*RESERVED), F.concat(F.lit("param_"), r)).otherwise(r)), column)
     return F.transform(inputs, one)
 
 
 def event_columns(catalog: DataFrame) -> DataFrame:
     """One row per parameter: stored and viewed name; a duplicate of either in one event is an error."""
-    x = catalog.withColumn("_cols", _stored_names(F.col("inputs")))
-    def clash(field):
-        names = F.transform("_cols", lambda c: c[field])
+    def clash(cols, field):
+        names = F.transform(cols, lambda c: c[field])
         return F.size(F.array_distinct(names)) < F.size(names)
-    checked = F.when(clash("name"), F.raise_error(F.concat("event", F.lit(": column name collision")))).when(
-        clash("view_name"), F.raise_error(F.concat("event", F.lit(": view column name collision")))).otherwise(F.col("_cols"))
-    return x.withColumn("_cols", checked).select("table_name", F.posexplode("_cols").alias("pos", "c")).select(
+
+    def checked(cols):
+        return F.when(clash(cols, "name"), F.raise_error(F.concat("event", F.lit(": column name collision")))).when(
+            clash(cols, "view_name"), F.raise_error(F.concat("event", F.lit(": view column name collision")))).otherwise(cols)
+
+    x = catalog.withColumn("_cols", let(_stored_names(F.col("inputs")), checked))
+    return x.select("table_name", F.posexplode_outer("_cols").alias("pos", "c")).filter("pos IS NOT NULL").select(
         "table_name", "pos", "c.name", "c.view_name", "c.abi_type", "c.indexed")
 
 

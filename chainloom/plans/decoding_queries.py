@@ -37,8 +37,12 @@ OTHER_TOPIC = "0xab12" + "0" * 60
 
 
 def abis(spark, sf):
-    """One contract per part, its ABI as JSON: an ERC-20 Transfer, for some an overload, an odd event, a function."""
-    p = T.table(spark, sf, "part")
+    """One contract per part, its ABI as JSON: an ERC-20 Transfer, for some an overload, an odd event, a function.
+
+    A megabyte of parts makes some two hundred megabytes of ABIs, so the rows are spread before the texts are made.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = T.table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size").repartition(n, "p_partkey")
     abi = F.concat(
         F.lit('[{"type":"event","name":"Transfer","topic0":"' + V.TRANSFER_TOPIC + '","inputs":[' + _ERC20 + "]},"),
         F.when(F.col("p_size") % 3 == 0, '{"type":"event","name":"Transfer","topic0":"' + OTHER_TOPIC + '","inputs":[' + _ERC721 + "]},").otherwise(""),
