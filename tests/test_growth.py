@@ -1,5 +1,8 @@
 """Plans whose largest task, or work per row, must not grow faster than the input."""
 
+import os
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from chainloom.functions import vocab as V
@@ -8,7 +11,10 @@ from chainloom.operators import decode as D
 from chainloom.operators import lanes as N
 from chainloom.operators import sentences as S
 from chainloom.plans import registry
+from chainloom.plans.archive_queries import ingested
+from chainloom.session import CLEANUP, shared_root, stored
 from chainloom.sources import logs as L
+from chainloom.streaming import ingest as I
 
 
 def optimized(df):
@@ -74,3 +80,21 @@ def test_settled_answers_are_a_table(spark):
     out = N.settle(rows, answers)
     assert "Aggregate" not in optimized(out)
     assert out.count() == 3 and out.filter("ruled = 'spam'").first()["lane"] == "spam"
+
+
+def test_a_replayed_stream_is_not_decoded(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(I, "decode_logs", lambda *a, f=I.decode_logs, **b: calls.append(1) or f(*a, **b))
+    before = set(os.listdir(shared_root(spark).removeprefix("file:")))
+    archive = ingested(spark, "/root/testdata/sf0.001", times=2)
+    assert len(calls) == archive.log.facts["batch_id"] + 1
+    # the decoded batch is a written table already; a commit makes no copy of it
+    assert not [f for f in set(os.listdir(shared_root(spark).removeprefix("file:"))) - before if f.startswith("incoming")]
+    txs = archive.read("transactions")
+    assert txs.count() == txs.distinct().count() == archive.read("rows").select("tx_hash").distinct().count()
+
+
+def test_tables_stored_by_threads_leave_the_setting(spark):
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: stored(spark.range(1000 * i), f"t{i}"), range(1, 9)))
+    assert spark.conf.get(CLEANUP) == "false"
