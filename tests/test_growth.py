@@ -82,6 +82,21 @@ def test_settled_answers_are_a_table(spark):
     assert out.count() == 3 and out.filter("ruled = 'spam'").first()["lane"] == "spam"
 
 
+def test_rows_of_one_sentence_spread(spark):
+    """All rows say one sentence: no task of the join with its answer gets them all, and each row its answer once."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = stored(spark.range(4000).select(F.col("id").alias("block_number"), F.lit(1).alias("log_index"), F.lit("a").alias("sentence"), F.lit("").alias("ruled")), "rows")
+        answers = spark.createDataFrame([("a", "swap", None)], N.ANSWERS)
+        sizes = [len(p) for p in N.settle(rows, answers).rdd.glom().collect()]
+        assert sum(sizes) == 4000 and max(sizes) < 3000
+        assert N.settle(rows, answers).groupBy("block_number", "choice").count().filter("count = 1 AND choice = 'swap'").count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_a_replayed_stream_is_not_decoded(spark, monkeypatch):
     calls = []
     monkeypatch.setattr(I, "decode_logs", lambda *a, f=I.decode_logs, **b: calls.append(1) or f(*a, **b))
