@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from chainloom.session import CLEANUP, discard, shared_root, stored
+from chainloom.session import CLEANUP, _cleaning, discard, shared_root, stored
 
 
 def test_stored_tables_go_when_told(spark):
@@ -21,3 +21,15 @@ def test_only_stored_tables_are_removed(spark, tmp_path):
     with pytest.raises(ValueError):
         discard(spark.read.parquet(str(tmp_path / "mine")))
     assert glob.glob(str(tmp_path / "mine" / "*.parquet"))
+
+
+def test_sessions_put_their_own_setting_back(spark):
+    """A stream's batch writes in a copy of the session and may end after the session's own write."""
+    other = spark.newSession()
+    mine, theirs = _cleaning(spark), _cleaning(other)
+    mine.__enter__()
+    theirs.__enter__()
+    mine.__exit__(None, None, None)
+    assert spark.conf.get(CLEANUP) == "false" and other.conf.get(CLEANUP) == "true"
+    theirs.__exit__(None, None, None)
+    assert other.conf.get(CLEANUP) == "false"
