@@ -12,8 +12,10 @@ from chainloom.operators import lanes as N
 from chainloom.operators import sentences as S
 from chainloom.plans import registry
 from chainloom.plans.archive_queries import ingested
-from chainloom.session import CLEANUP, shared_root, stored
+from chainloom.session import CLEANUP, new_folder, shared_root, stored
+from chainloom.sources import archive as A
 from chainloom.sources import logs as L
+from chainloom.sources.tablelog import File
 from chainloom.streaming import ingest as I
 
 
@@ -113,3 +115,50 @@ def test_tables_stored_by_threads_leave_the_setting(spark):
     with ThreadPoolExecutor(4) as pool:
         list(pool.map(lambda i: stored(spark.range(1000 * i), f"t{i}"), range(1, 9)))
     assert spark.conf.get(CLEANUP) == "false"
+
+
+def chain_rows(spark, lo, hi):
+    """Eight logs to a block, two transactions in it, every tenth log without a receiver; each log twice."""
+    i = F.col("id")
+    block = F.expr("id div 8")
+    return stored(spark.range(8 * lo, 8 * hi).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        block.alias("block_number"), (i % 8).cast("int").alias("log_index"), F.concat(F.lit("t"), block.cast("string"), F.lit("-"), (i % 2).cast("string")).alias("tx_hash"),
+        F.concat(F.lit("a"), (i % 90).cast("string")).alias("from_addr"), F.when(i % 10 > 0, F.concat(F.lit("b"), (i % 70).cast("string"))).alias("to_addr"),
+        (i * 2 + F.col("copy")).cast("decimal(38,0)").alias("value"), F.concat(F.lit("h"), block.cast("string")).alias("block_hash"), F.timestamp_seconds(block).alias("block_time")), "chain")
+
+
+def test_a_commit_keeps_a_block_together(spark):
+    """Rows of a block repeat its hashes: dealt over tasks one by one, each would carry them through every shuffle and file."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    root = shared_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    try:
+        a, none = A.Archive(spark, new_folder(spark, "together"), 10_000), spark.createDataFrame([], A.Archive.DEAD)
+        assert a.commit_batch(chain_rows(spark, 0, 200), none, 199, 0, ["value"]) == 1600
+        assert a.commit_batch(chain_rows(spark, 150, 300), none, 299, 1, ["value"]) == 800  # 50 blocks are known
+        for name in ("batch", "filed"):
+            for folder in set(os.listdir(root)) - before:
+                if folder.startswith(f"{name}-"):
+                    rows = spark.read.parquet(f"{root}/{folder}").select("block_number", F.input_file_name().alias("file"))
+                    assert rows.distinct().count() == rows.select("block_number").distinct().count() > 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    ids = a.read("addresses")
+    names = {s: ids.select(F.col("id").alias(f"{s}_id"), F.col("address").alias(f"{s}_addr")) for s in ("from", "to")}
+    got = a.read("rows").join(names["from"], "from_id", "left").join(names["to"], "to_id", "left").select("block_number", "log_index", "tx_hash", "from_addr", "to_addr")
+    want = chain_rows(spark, 0, 300).filter("value % 2 = 0").select(got.columns)
+    assert got.count() == 2400 and want.exceptAll(got).count() == 0
+    txs = a.read("transactions").select("tx_hash", "block_number")
+    assert txs.count() == 600 and want.select(txs.columns).distinct().exceptAll(txs).count() == 0
+
+
+def test_a_run_is_not_merged_with_itself(spark):
+    """A batch that is written as many small files would be written again after every commit, with all before it."""
+    a = A.Archive(spark, new_folder(spark, "due"), 10_000, fan=3)
+    for n, run in enumerate(("r1", "r2", "r3")):
+        for i in range(9):
+            path = f"{run}-{i}"
+            a.log.live.setdefault("rows", {})[path] = File(path, 9 * n + i, 9 * n + i, 50_000, run)
+        assert len(a._due("rows")) == (27 if run == "r3" else 0)
