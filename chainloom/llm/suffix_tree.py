@@ -12,10 +12,12 @@ The tree is a written table, one level after the other: a run of words and what
 it adds to the score of a text each time it ends there. That is, as the next
 word of the context before it, how much its log probability differs from that
 after the shorter context; and as a context of the next word, the log of the
-mass it passes on. Words and runs are found in it by a join of their hashes. Two
-things of bounded size spare most of the rows of that join and change no score:
-a bit map of the runs in the table, and the most frequent runs, at most
-1/``head_share`` a level, which travel to the tasks.
+mass it passes on. A level is counted, settled and looked up by shuffles of
+buckets, which are ranges of hashes: a row holds the arrays of one bucket from
+one task, so that memory follows a bucket (their number grows with the text) and
+Spark moves few rows. Two things of bounded size spare most of what is looked up
+and change no score: a bit map of the runs in the table, and the most frequent
+runs, at most 1/``head_share`` a level, which travel to the tasks.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +38,14 @@ from .labelled import remainder
 #: The end of a text as a token: a hash no span gets but by chance.
 END = np.uint64(0x454E44 * ts.BASE & 0xFFFFFFFFFFFFFFFF)
 SHIFT = 24
-CHUNK = 4_000_000
+#: Tokens whose runs are counted together before they travel, and items of one batch that does.
+CHUNK = 2_000_000
+STEP = 500_000
+#: Bytes of text for each range of hashes that is worked on at once.
+BUCKET = 16 << 20
 DISCOUNT = 0.75
-#: Bits of the maps of kept runs: 4 MB a level whatever the corpus; a full map lets more rows into the joins and changes no score.
-LOG_BITS = 25
+#: Bits of the maps of kept runs: 16 MB a level whatever the corpus; a full map lets more runs travel and changes no score.
+LOG_BITS = 27
 
 
 def tokens(column) -> tuple[np.ndarray, np.ndarray]:
@@ -51,29 +57,6 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray]:
     return h, first[:-1] + np.arange(len(first) - 1)
 
 
-def _counted(arrays, name: str):
-    """Batches of (value, count) from arrays of values, counted a chunk at a time."""
-    held, size = [], 0
-
-    def out():
-        values, n = np.unique(np.concatenate(held), return_counts=True)
-        for i in range(0, len(values), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(values[i: i + 100_000].view(np.int64)), pa.array(n[i: i + 100_000].astype(np.int64))], [name, "n"])
-
-    for a in arrays:
-        held.append(a)
-        size += len(a)
-        if size >= CHUNK:
-            yield from out()
-            held, size = [], 0
-    if held:
-        yield from out()
-
-
-def _words(batches):
-    yield from _counted((tokens(b.column("text"))[0] for whole in batches for b in ts.slices(whole)), "h")
-
-
 class Tree:
     """A tree held in memory, a level at a time: the rule by which the written tables settle states, in numpy."""
 
@@ -170,149 +153,290 @@ def runs_of(h: np.ndarray, first: np.ndarray, depth: int):
     place = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
     out = [(h, np.ones(len(h), bool))]
     for level in range(1, depth + 1):
+        last = out[-1][0]
         longer = np.zeros(len(h), np.uint64)
-        longer[level:] = ts.mix(out[-1][0][level:] * np.uint64(ts.BASE) + h[: max(0, len(h) - level)])
+        longer[1:] = _run_hash(last[:-1], last[1:])
         out.append((longer, place >= level))
     return out
 
 
+def _run_hash(context: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """A run's hash from those of its context (all but the last token) and its shorter run (all but the first)."""
+    return ts.mix(context * np.uint64(ts.BASE) + shorter)
+
+
 def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     slot = h & np.uint64(8 * len(bits) - 1)
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-RUNS = ["h", "context", "shorter", "n"]
+#: Rows that travel: the arrays of a row belong together, and a bucket is a range of hashes.
+DEALT = "bucket int, part string, key array<long>, other array<long>, n array<long>, x array<double>, y array<double>"
+TYPES = {"key": pa.int64(), "other": pa.int64(), "n": pa.int64(), "x": pa.float64(), "y": pa.float64()}
 
 
-def _longer(level: int, bits: np.ndarray):
-    """Counts of the runs of level + 1 tokens whose context and whose shorter run can both be kept, a chunk at a time."""
+def _dealt(part: str, buckets: int, by: np.ndarray, **columns: np.ndarray):
+    """Batches with a row per bucket of the hashes ``by``."""
+    bucket = ((by >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    names, starts = np.unique(bucket[order], return_index=True)
+    ends = np.append(starts[1:], len(order))
+    i = 0
+    while i < len(names):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + STEP, "right")))
+        at, offsets = order[starts[i]: ends[j - 1]], pa.array(np.append(starts[i:j], ends[j - 1]) - starts[i], pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(columns[c][at].view(np.int64) if t == pa.int64() else columns[c][at], t)) if c in columns else pa.nulls(j - i, pa.list_(t))
+                 for c, t in TYPES.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(names[i:j], pa.int32()), pa.array([part] * (j - i)), *lists], ["bucket", "part", *TYPES])
+        i = j
+
+
+def _table(batches) -> pa.Table:
+    schema = pa.schema([("bucket", pa.int32()), ("part", pa.string()), *((c, pa.list_(t)) for c, t in TYPES.items())])
+    return pa.Table.from_batches(list(batches), schema)
+
+
+def _arrays(table: pa.Table, part: str, *columns: str) -> list[np.ndarray]:
+    """The named columns of all rows of a part, end to end; ``key`` and ``other`` are hashes."""
+    rows = table.filter(pc.equal(table.column("part"), part))
+    out = [pc.list_flatten(rows.column(c)).to_numpy() for c in columns]
+    return [x.view(np.uint64) if c in ("key", "other") else x for c, x in zip(columns, out)]
+
+
+def _in_buckets(rows: DataFrame, work) -> DataFrame:
+    """``work`` on the rows of each bucket, as one Arrow table."""
+    return rows.groupBy("bucket").applyInArrow(work, DEALT)
+
+
+def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, a place of each, their sums)."""
+    if not len(h):
+        return h, np.zeros(0, np.int64), n
+    order = np.argsort(h)
+    starts = np.flatnonzero(np.append(True, h[order[1:]] != h[order[:-1]]))
+    return h[order[starts]], order[starts], np.add.reduceat(n[order], starts)
+
+
+def _chunks(batches, arrays):
+    """Tuples of arrays of about CHUNK items from those that ``arrays`` takes from texts."""
+    held, size = [], 0
+    for whole in batches:
+        for b in ts.slices(whole):
+            found = arrays(b)
+            if len(found[0]):
+                held.append(found)
+                size += len(found[0])
+            if size >= CHUNK:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held, size = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _words(buckets: int):
     def run(batches):
-        held, size = [], 0
+        for (h,) in _chunks(batches, lambda b: tokens(b.column("text"))[:1]):
+            h, n = np.unique(h, return_counts=True)
+            yield from _dealt("run", buckets, h, key=h, n=n)
+    return run
 
-        def out():
-            h, context, shorter = (np.concatenate(x) for x in zip(*held))
-            h, at, n = np.unique(h, return_index=True, return_counts=True)
-            for i in range(0, len(h), 100_000):
-                j = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h[j], context[at[j]], shorter[at[j]], n[j])], RUNS)
 
-        for whole in batches:
-            for b in ts.slices(whole):
-                shorter, (h, inside) = runs_of(*tokens(b.column("text")), level)[-2:]
-                kept = _in_map(bits, shorter[0])
-                at = np.flatnonzero(inside & kept & np.append(False, kept[:-1]))
-                if len(at):
-                    held.append((h[at], shorter[0][at - 1], shorter[0][at]))
-                    size += len(at)
-                if size >= CHUNK:
-                    yield from out()
-                    held, size = [], 0
-        if held:
-            yield from out()
+def _counted_words(buckets: int):
+    def work(table):
+        h, _, n = _summed(*_arrays(table, "run", "key", "n"))
+        return _table(_dealt("last", buckets, h, key=h, n=n))
+    return work
+
+
+def _rooted(norm: float):
+    """Words as the level of no context: x is their log probability, y what they add to a score."""
+    def run(batches):
+        for b in batches:
+            n = b.column("n")
+            log = pa.ListArray.from_arrays(n.offsets, pa.array(np.log10((n.values.to_numpy() + 0.5) / norm)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("bucket", "part", "key", "other", "n")), log, log], b.schema.names)
     return run
 
 
-def _level(counted: DataFrame, last: DataFrame, often: float, divergence: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(runs with n, log and add, contexts with passed, the table that runs are read from) of a level: ``last`` has h, n and log of the level before.
+def _longer(level: int, bits: np.ndarray, buckets: int):
+    """Counts of the runs of level + 1 tokens whose context and whose shorter run can both be kept, a chunk at a time."""
+    def found(b):
+        h, first = tokens(b.column("text"))
+        shorter, (_, inside) = runs_of(h, first, level)[-2:]
+        kept = _in_map(bits, shorter[0])
+        at = np.flatnonzero(inside & kept & np.append(False, kept[:-1]))
+        return shorter[0][at - 1], shorter[0][at]
 
-    A kept run's context and shorter run are kept too, as they occur wherever
-    it does, so the joins lose no run but those whose context is too rare.
-    """
-    runs = counted.join(last.filter(F.col("n") >= often).select(F.col("h").alias("context"), F.col("n").alias("uses")), "context")
-    runs = runs.join(last.select(F.col("h").alias("shorter"), F.col("log").alias("before")), "shorter")
-    joined = stored(runs.select("h", "context", "n", "uses", "before"), "runs")
-    runs = joined.withColumn("p", (F.col("n") - DISCOUNT) / F.col("uses"))
-    q = F.pow(F.lit(10.0), F.col("before"))
-    rest, shorter = F.greatest(1 - F.sum("p"), F.lit(1e-12)), F.greatest(1 - F.sum(q), F.lit(1e-12))
-    far = F.sum(F.col("p") * F.log(F.col("p") / q)) + rest * F.log(rest / shorter)
-    states = stored(runs.groupBy("context").agg(F.log10(rest / shorter).alias("passed"), far.alias("far")).filter(F.col("far") >= divergence).drop("far"), "states")
-    after = F.log10("p")
-    runs = runs.join(states, "context", "left").select(
-        "h", "n", F.when(F.col("passed").isNull(), F.col("before")).otherwise(after).alias("log"),
-        F.when(F.col("passed").isNull(), F.lit(0.0)).otherwise(after - F.col("before") - F.col("passed")).alias("add"))
-    return runs, states, joined
+    def run(batches):
+        for context, shorter in _chunks(batches, found):
+            h, at, n = _summed(_run_hash(context, shorter), np.ones(len(context), np.int64))
+            yield from _dealt("run", buckets, h, key=context[at], other=shorter[at], n=n)
+    return run
+
+
+def _kept(least: float, buckets: int):
+    """Runs that occur often enough, dealt by their shorter run: key is the shorter run, other the context."""
+    def work(table):
+        context, shorter, n = _arrays(table, "run", "key", "other", "n")
+        _, at, n = _summed(_run_hash(context, shorter), n)
+        at, n = at[n >= least], n[n >= least]
+        return _table(_dealt("run", buckets, shorter[at], key=shorter[at], other=context[at], n=n))
+    return work
+
+
+def _joined(buckets: int):
+    """Each run with the log probability its last word has after the shorter context (x), dealt by context."""
+    def work(table):
+        shorter, context, n = _arrays(table, "run", "key", "other", "n")
+        key, log = _by_key(table, "last", "key", "x")
+        at = _find(key, shorter)
+        has = at >= 0
+        return _table(_dealt("run", buckets, context[has], key=context[has], other=shorter[has], n=n[has], x=log[at[has]]))
+    return work
+
+
+def _by_key(table: pa.Table, part: str, *columns: str) -> list[np.ndarray]:
+    out = _arrays(table, part, *columns)
+    order = np.argsort(out[0])
+    return [x[order] for x in out]
+
+
+def _settled(often: float, divergence: float, level: int, buckets: int):
+    """Settles the contexts of a bucket: the runs of this level (last), and what each of the level before adds to a score (value)."""
+    def work(table):
+        context, shorter, n, before = _arrays(table, "run", "key", "other", "n", "x")
+        key, uses, add = _by_key(table, "last", "key", "n", "y")
+        at = _find(key, context)
+        ok = at >= 0
+        ok[ok] = uses[at[ok]] >= often
+        at, n, before, h = at[ok], n[ok], before[ok], _run_hash(context[ok], shorter[ok])
+        p, q, size = (n - DISCOUNT) / uses[at], 10.0 ** before, len(key)
+        rest, rest_shorter = (np.maximum(1 - np.bincount(at, x, size), 1e-12) for x in (p, q))
+        far = np.bincount(at, p * np.log(p / q), size) + rest * np.log(rest / rest_shorter)
+        state = (far >= divergence) & (np.bincount(at, minlength=size) > 0)
+        passed = np.where(state, np.log10(rest / rest_shorter), 0.0)
+        after = np.where(state[at], np.log10(p), before)
+        value = add + passed
+        told = np.flatnonzero(value != 0) if level > 1 else np.arange(size)  # words are all kept, as they are known
+        return _table([*_dealt("last", buckets, h, key=h, n=n, x=after, y=np.where(state[at], after - before - passed[at], 0.0)),
+                       *_dealt("value", buckets, key[told], key=key[told], n=uses[told], x=value[told])])
+    return work
+
+
+def _last_values(batches):
+    """The longest runs are no contexts: what they add is their value."""
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t.set_column(1, "part", pa.array(["value"] * len(t), pa.string())).set_column(5, "x", t.column("y"))
+        yield from t.to_batches()
+
+
+def _frequent(least: float):
+    """Keys, values and counts of the runs with enough occurrences."""
+    def run(batches):
+        for b in batches:
+            key, n, x = (b.column(c).flatten().to_numpy() for c in ("key", "n", "x"))
+            at = np.flatnonzero(n >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(x[at]), pa.array(n[at])], ["h", "value", "n"])
+    return run
 
 
 class Lookup:
-    """What travels to the tasks: the frequent words and runs, and a map of the other runs in the table."""
+    """What travels to the tasks of a level: its frequent words or runs, and a map of all runs in its table."""
 
-    def __init__(self, heads: list[tuple[np.ndarray, np.ndarray]], root: np.ndarray, bits: list[np.ndarray]):
-        self.heads, self.root, self.bits = heads, root, bits
+    def __init__(self, level: int, key: np.ndarray, value: np.ndarray, root: np.ndarray, bits: np.ndarray | None):
+        self.level, self.key, self.value, self.root, self.bits = level, key, value, root, bits
 
 
-def _score(tree: Lookup):
+def _asked(look: Lookup, buckets: int):
+    """Per text what the frequent runs add (sum: key is the row, other its tokens), and the other runs to be found in the table (ask: other is the row)."""
     def run(batches):
-        made = TaskContext.get().partitionId() << 33
         for whole in batches:
             for b in ts.slices(whole):
                 h, first = tokens(b.column("text"))
-                rows = made + np.arange(len(first), dtype=np.int64)
-                made += len(first)
+                row = b.column("row").to_numpy().view(np.uint64)
+                size = len(first)
                 n = np.diff(np.append(first, len(h)))
-                own = np.repeat(np.arange(len(first)), n)
-                known, base, score = np.zeros(len(first), np.int64), np.zeros(len(first)), np.zeros(len(first))
-                asked = []
-                for level, (run_, inside) in enumerate(runs_of(h, first, len(tree.heads) - 1)):
-                    at = np.flatnonzero(inside if not level else inside & _in_map(tree.bits[level], run_))
-                    values, back = np.unique(run_[at], return_inverse=True)
-                    found = _find(tree.heads[level][0], values)[back]
-                    has = found >= 0
-                    score += np.bincount(own[at[has]], tree.heads[level][1][found[has]], len(first))
-                    if not level:
-                        known += np.bincount(own[at[has]], minlength=len(first))
-                        base += np.bincount(own[at[has]], tree.root[found[has]], len(first))
-                    left = at[~has]
-                    asked.append((np.full(len(left), level, np.int32), run_[left].view(np.int64), rows[own[left]]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(first), -1, np.int32)), pa.array(rows), pa.array(rows), b.column("doc_id"), pa.array(n.astype(np.int64)),
-                     pa.array(known), pa.array(base), pa.array(score)], COLUMNS)
-                level, key, row = (np.concatenate(x) for x in zip(*asked))
-                for i in range(0, len(key), 100_000):
-                    j = slice(i, i + 100_000)
-                    size = len(key[j])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(level[j]), pa.array(key[j]), pa.array(row[j]), pa.nulls(size, b.column("doc_id").type),
-                         pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.float64()), pa.nulls(size, pa.float64())], COLUMNS)
+                own = np.repeat(np.arange(size), n)
+                run_, inside = runs_of(h, first, look.level)[-1]
+                at = np.arange(len(h)) if look.bits is None else np.flatnonzero(inside & _in_map(look.bits, run_))
+                values, back = np.unique(run_[at], return_inverse=True)
+                found = _find(look.key, values)[back]
+                has = found >= 0
+                mine, found = own[at[has]], found[has]
+                known, base = np.zeros(size, np.int64), np.zeros(size)
+                if not look.level:
+                    known, base = np.bincount(mine, minlength=size), np.bincount(mine, look.root[found], size)
+                yield from _dealt("sum", buckets, row, key=row, other=n if not look.level else np.zeros(size, np.int64), n=known,
+                                  x=np.bincount(mine, look.value[found], size), y=base)
+                left = at[~has]
+                if len(left):
+                    yield from _dealt("ask", buckets, run_[left], key=run_[left], other=row[own[left]])
     return run
 
 
-COLUMNS = ["kind", "key", "row", "doc_id", "n_tokens", "n_known", "base", "score"]
+def _answered(level: int, norm: float, buckets: int):
+    """What the asked words or runs add to each row, dealt by row, beside the sums that came with them."""
+    def work(table):
+        sums = table.filter(pc.equal(table.column("part"), "sum"))
+        asked, row = _arrays(table, "ask", "key", "other")
+        if not len(asked):
+            return sums.select(["bucket", "part", *TYPES])
+        key, value, n = _by_key(table, "value", "key", "x", "n")
+        at = _find(key, asked)
+        row, back = np.unique(row, return_inverse=True)
+        has = at >= 0
+        at, size = at[has], len(row)
+        x = np.bincount(back[has], value[at], size)
+        known, base = np.zeros(size, np.int64), np.zeros(size)
+        if not level:
+            unknown = math.log10(0.5 / norm) * np.bincount(back[~has], minlength=size)
+            known, x, base = np.bincount(back[has], minlength=size), x + unknown, np.bincount(back[has], np.log10((n[at] + 0.5) / norm), size) + unknown
+        return pa.concat_tables([sums.select(["bucket", "part", *TYPES]),
+                                 _table(_dealt("sum", buckets, row, key=row, other=np.zeros(size, np.int64), n=known, x=x, y=base))])
+    return work
+
+
+def _added(buckets: int):
+    """One item per row of the input."""
+    def work(table):
+        row, n_tokens, known, score, base = _arrays(table, "sum", "key", "other", "n", "x", "y")
+        row, back = np.unique(row, return_inverse=True)
+        size = len(row)
+        n_tokens, known = (np.bincount(back, x.view(np.int64), size).astype(np.int64) for x in (n_tokens, known))
+        return _table(_dealt("sum", buckets, row, key=row, other=n_tokens, n=known, x=np.bincount(back, score, size), y=np.bincount(back, base, size)))
+    return work
 
 
-def learn(texts: DataFrame, depth: int, context_share: float, entry_share: float, divergence: float, log_bits: int = LOG_BITS):
-    """(tables of h, value and n, word first; tokens; distinct tokens; norm): ``texts`` has a column text; every text counts whole.
+def learn(texts: DataFrame, depth: int, context_share: float, entry_share: float, divergence: float, buckets: int, log_bits: int = LOG_BITS):
+    """A level after the other (its table of values, tokens, norm), words first: ``texts`` has a column text; every text counts whole.
 
     A value is what a word or run adds to the score of a text that holds it. A
-    run that adds nothing is in no table.
+    run that adds nothing is in no table. A table goes when the next is asked for.
     """
-    counts = stored(texts.select("text").mapInArrow(_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    total = int(total)
+    texts = texts.select("text")
+    held = stored(_in_buckets(texts.mapInArrow(_words(buckets), DEALT), _counted_words(buckets)), "words")
+    total, distinct = held.agg(F.coalesce(F.sum(F.expr("aggregate(n, 0L, (s, v) -> s + v)")), F.lit(0)), F.coalesce(F.sum(F.size("key")), F.lit(0))).first()
     norm = total + 0.5 * (distinct + 1)
-    last = counts.withColumn("log", F.log10((F.col("n") + 0.5) / F.lit(float(norm)))).withColumn("add", F.col("log"))
-    levels = []
+    last = held.mapInArrow(_rooted(norm), DEALT)
     often, least = max(2.0, total * context_share), max(2.0, total * entry_share)
     for level in range(1, depth + 1):
-        bits = bit_map(last.filter(F.col("n") >= min(often, least)).select("h"), log_bits)
+        bits = bit_map(last.select(F.explode(F.expr(f"filter(key, (k, i) -> n[i] >= {min(often, least)!r}D)")).alias("h")), log_bits)
         if not bits.any():
             break
-        found = texts.select("text").mapInArrow(_longer(level, bits), "h long, context long, shorter long, n long")
-        runs = found.groupBy("h").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"), F.sum("n").alias("n")).filter(F.col("n") >= least)
-        counted = stored(runs, "counted")
-        new, states, joined = _level(counted, last, often, divergence)
-        levels.append(_values(last, states, not levels))
-        before, last = last, stored(new, "level")
-        discard(counted, joined, states, before)
-    levels.append(_values(last, None, not levels))
-    discard(last)
-    return levels, total, distinct, norm
+        counted = stored(_in_buckets(texts.mapInArrow(_longer(level, bits, buckets), DEALT), _kept(least, buckets)), "counted")
+        joined = _in_buckets(counted.union(_only(last, "key", "x")), _joined(buckets))
+        new = stored(_in_buckets(joined.union(_only(last, "key", "n", "y")), _settled(often, divergence, level, buckets)), "level")
+        discard(counted, held)
+        held, last = new, new.filter("part = 'last'")
+        yield new.filter("part = 'value'"), total, norm
+    yield last.mapInArrow(_last_values, DEALT), total, norm
+    discard(held)
 
 
-def _values(runs: DataFrame, states: DataFrame | None, words: bool) -> DataFrame:
-    """What each run adds as the next word after its context and as a context; words are all kept, as they are known."""
-    if states is not None:
-        runs = runs.join(states.withColumnRenamed("context", "h"), "h", "left").withColumn("add", F.col("add") + F.coalesce("passed", F.lit(0.0)))
-    return stored((runs if words else runs.filter("add <> 0")).select("h", F.col("add").alias("value"), "n"), "values")
+def _only(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows with no arrays but these."""
+    return rows.select(*[c if c in ("bucket", "part", *columns) else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
 
 
 def suffix_scores(docs: DataFrame, depth: int = 3, context_share: float = 0.0, entry_share: float = 0.0, head_share: float = 5e-7, divergence: float = 0.02) -> DataFrame:
@@ -327,33 +451,26 @@ def suffix_scores(docs: DataFrame, depth: int = 3, context_share: float = 0.0, e
     """
     ts.small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    levels, total, distinct, norm = learn(docs.filter(remainder(F.col("doc_id"), 5) != 1), depth, context_share, entry_share, divergence)
-    unknown = math.log10(0.5 / norm)
-    heads, bits, root, rare = [], [], np.zeros(0), None
-    for level, table in enumerate(levels):
-        frequent = F.col("n") >= total * head_share * (4 if level else 1)
-        head = table.filter(frequent).toArrow()  # at most 1 / head_share rows, a quarter of that for runs
+    buckets = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET + 1
+    rows = docs.withColumn("row", F.xxhash64("doc_id", "text"))  # equal rows share it, and their scores
+    sums = None
+    texts = docs.filter(remainder(F.col("doc_id"), 5) != 1)
+    for level, (table, total, norm) in enumerate(learn(texts, depth, context_share, entry_share, divergence, buckets)):
+        head = table.mapInArrow(_frequent(total * head_share * (4 if level else 1)), "h long, value double, n long").toArrow()  # at most 1 / head_share rows, a quarter of that for runs
         h, value, n = (head.column(c).to_numpy() for c in ("h", "value", "n"))
-        del head
         order = np.argsort(h.view(np.uint64))
-        heads.append((h.view(np.uint64)[order], value[order]))
-        if not level:
-            root = np.log10((n[order] + 0.5) / norm)
-        others = table.filter(~frequent)
-        bits.append(bit_map(table.select("h"), LOG_BITS) if level else np.zeros(1, np.uint8))
-        others = others.select(F.lit(level).alias("kind"), F.col("h").alias("key"), "value", "n")
-        rare = others if rare is None else rare.union(others)
-    kind = dict(docs.dtypes)["doc_id"]
-    scored = docs.mapInArrow(_score(Lookup(heads, root, bits)), f"kind int, key long, row long, doc_id {kind}, n_tokens long, n_known long, base double, score double")
-    own, word = F.col("kind") == -1, F.col("kind") == 0
-    plain = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(norm)))
-    per_token = scored.join(rare, ["kind", "key"], "left").select(
-        "row", "doc_id", "n_tokens",
-        F.when(own, F.col("n_known")).when(word, F.col("n").isNotNull().cast("long")).otherwise(0).alias("n_known"),
-        F.when(own, F.col("base")).when(word, plain).otherwise(0.0).alias("base"),
-        F.when(own, F.col("score")).otherwise(F.coalesce("value", F.when(word, F.lit(unknown)).otherwise(0.0))).alias("score"))
+        bits = bit_map(table.select(F.explode("key").alias("h")), LOG_BITS) if level else None
+        look = Lookup(level, h.view(np.uint64)[order], value[order], np.log10((n[order] + 0.5) / norm) if not level else value[:0], bits)
+        asked = rows.select("row", "text").mapInArrow(_asked(look, buckets), DEALT)
+        found = stored(_in_buckets(_in_buckets(asked.union(table), _answered(level, norm, buckets)), _added(buckets)), "sums")
+        sums = found if sums is None else sums.union(found)
+    added = (
+        sums.select(F.explode(F.arrays_zip("key", "other", "n", "x", "y")).alias("s")).groupBy(F.col("s.key").alias("row"))
+        .agg(F.sum("s.other").alias("n_tokens"), F.sum("s.n").alias("n_known"), F.sum("s.y").alias("base_score"), F.sum("s.x").alias("score"))
+    )
+    copies = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    each = [(F.col(c) / F.col("copies")).cast("long" if c.startswith("n_") else "double").alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     return (
-        per_token.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-                                     F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-        .select("doc_id", (remainder(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+        copies.join(added, "row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+        .select("doc_id", (remainder(F.col("doc_id"), 5) == 1).alias("held_out"), *each[:2], F.lit(total).cast("long").alias("train_tokens"), *each[2:])
     )
