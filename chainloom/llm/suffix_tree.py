@@ -32,17 +32,16 @@ from pyspark.sql import functions as F
 
 from ..session import discard, stored
 from . import textscan as ts
-from .decontaminate import bit_map
 from .labelled import remainder
 
 #: The end of a text as a token: a hash no span gets but by chance.
 END = np.uint64(0x454E44 * ts.BASE & 0xFFFFFFFFFFFFFFFF)
 SHIFT = 24
 #: Tokens whose runs are counted together before they travel, and items of one batch that does.
-CHUNK = 2_000_000
-STEP = 500_000
+CHUNK = 1_000_000
+STEP = 250_000
 #: Bytes of text for each range of hashes that is worked on at once.
-BUCKET = 16 << 20
+BUCKET = 8 << 20
 DISCOUNT = 0.75
 #: Bits of the maps of kept runs: 16 MB a level whatever the corpus; a full map lets more runs travel and changes no score.
 LOG_BITS = 27
@@ -166,7 +165,7 @@ def _run_hash(context: np.ndarray, shorter: np.ndarray) -> np.ndarray:
 
 
 def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = h & np.uint64(8 * len(bits) - 1)
+    slot = h >> np.uint64(65 - (8 * len(bits)).bit_length())
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -233,6 +232,30 @@ def _chunks(batches, arrays):
         yield [np.concatenate(x) for x in zip(*held)]
 
 
+def _marked(least: float, log_bits: int):
+    """The bytes of a bucket's part of a bit map, a bit per hash with enough occurrences, and the place of the first."""
+    def work(table):
+        h, n = (np.concatenate(x) for x in zip(*(_arrays(table, part, "key", "n") for part in ("last", "value"))))
+        slot = np.sort(h[n >= least] >> np.uint64(64 - log_bits))
+        if not len(slot):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], ["at", "bits"])
+        at, starts = np.unique((slot >> np.uint64(3)).astype(np.int64), return_index=True)
+        out = np.zeros(at[-1] - at[0] + 1, np.uint8)
+        out[at - at[0]] = np.bitwise_or.reduceat(np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8), starts)
+        return pa.table([pa.array([at[0]], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["at", "bits"])
+    return work
+
+
+def _bit_map(rows: DataFrame, least: float, log_bits: int) -> np.ndarray:
+    """One bit per range of hashes, ``2 ** log_bits`` bits however many hashes there are; as many come to the driver."""
+    found = _only(rows, "key", "n").groupBy("bucket").applyInArrow(_marked(least, log_bits), "at long, bits binary").toArrow()
+    out = np.zeros(1 << (log_bits - 3), np.uint8)
+    for at, bits in zip(found.column("at").to_pylist(), found.column("bits")):
+        part = np.frombuffer(bits.as_buffer(), np.uint8)
+        out[at: at + len(part)] |= part
+    return out
+
+
 def _words(buckets: int):
     def run(batches):
         for (h,) in _chunks(batches, lambda b: tokens(b.column("text"))[:1]):
@@ -349,7 +372,7 @@ class Lookup:
 
 
 def _asked(look: Lookup, buckets: int):
-    """Per text what the frequent runs add (sum: key is the row, other its tokens), and the other runs to be found in the table (ask: other is the row)."""
+    """Per text what the frequent runs add (sum: key is the row, other its tokens), and the other runs to be found in the table (ask: other is the row, n how often)."""
     def run(batches):
         for whole in batches:
             for b in ts.slices(whole):
@@ -369,9 +392,10 @@ def _asked(look: Lookup, buckets: int):
                     known, base = np.bincount(mine, minlength=size), np.bincount(mine, look.root[found], size)
                 yield from _dealt("sum", buckets, row, key=row, other=n if not look.level else np.zeros(size, np.int64), n=known,
                                   x=np.bincount(mine, look.value[found], size), y=base)
-                left = at[~has]
-                if len(left):
-                    yield from _dealt("ask", buckets, run_[left], key=run_[left], other=row[own[left]])
+                pairs, n = np.unique(back[~has] * size + own[at[~has]], return_counts=True)
+                if len(pairs):
+                    asked = values[pairs // size]
+                    yield from _dealt("ask", buckets, asked, key=asked, other=row[pairs % size], n=n)
     return run
 
 
@@ -379,19 +403,19 @@ def _answered(level: int, norm: float, buckets: int):
     """What the asked words or runs add to each row, dealt by row, beside the sums that came with them."""
     def work(table):
         sums = table.filter(pc.equal(table.column("part"), "sum"))
-        asked, row = _arrays(table, "ask", "key", "other")
+        asked, row, times = _arrays(table, "ask", "key", "other", "n")
         if not len(asked):
             return sums.select(["bucket", "part", *TYPES])
         key, value, n = _by_key(table, "value", "key", "x", "n")
         at = _find(key, asked)
         row, back = np.unique(row, return_inverse=True)
         has = at >= 0
-        at, size = at[has], len(row)
-        x = np.bincount(back[has], value[at], size)
+        at, size, mine, often = at[has], len(row), back[has], times[has]
+        x = np.bincount(mine, often * value[at], size)
         known, base = np.zeros(size, np.int64), np.zeros(size)
         if not level:
-            unknown = math.log10(0.5 / norm) * np.bincount(back[~has], minlength=size)
-            known, x, base = np.bincount(back[has], minlength=size), x + unknown, np.bincount(back[has], np.log10((n[at] + 0.5) / norm), size) + unknown
+            unknown = math.log10(0.5 / norm) * np.bincount(back[~has], times[~has], size)
+            known, x, base = np.bincount(mine, often, size).astype(np.int64), x + unknown, np.bincount(mine, often * np.log10((n[at] + 0.5) / norm), size) + unknown
         return pa.concat_tables([sums.select(["bucket", "part", *TYPES]),
                                  _table(_dealt("sum", buckets, row, key=row, other=np.zeros(size, np.int64), n=known, x=x, y=base))])
     return work
@@ -421,7 +445,7 @@ def learn(texts: DataFrame, depth: int, context_share: float, entry_share: float
     last = held.mapInArrow(_rooted(norm), DEALT)
     often, least = max(2.0, total * context_share), max(2.0, total * entry_share)
     for level in range(1, depth + 1):
-        bits = bit_map(last.select(F.explode(F.expr(f"filter(key, (k, i) -> n[i] >= {min(often, least)!r}D)")).alias("h")), log_bits)
+        bits = _bit_map(last, min(often, least), log_bits)
         if not bits.any():
             break
         counted = stored(_in_buckets(texts.mapInArrow(_longer(level, bits, buckets), DEALT), _kept(least, buckets)), "counted")
@@ -459,7 +483,7 @@ def suffix_scores(docs: DataFrame, depth: int = 3, context_share: float = 0.0, e
         head = table.mapInArrow(_frequent(total * head_share * (4 if level else 1)), "h long, value double, n long").toArrow()  # at most 1 / head_share rows, a quarter of that for runs
         h, value, n = (head.column(c).to_numpy() for c in ("h", "value", "n"))
         order = np.argsort(h.view(np.uint64))
-        bits = bit_map(table.select(F.explode("key").alias("h")), LOG_BITS) if level else None
+        bits = _bit_map(table, 0, LOG_BITS) if level else None
         look = Lookup(level, h.view(np.uint64)[order], value[order], np.log10((n[order] + 0.5) / norm) if not level else value[:0], bits)
         asked = rows.select("row", "text").mapInArrow(_asked(look, buckets), DEALT)
         found = stored(_in_buckets(_in_buckets(asked.union(table), _answered(level, norm, buckets)), _added(buckets)), "sums")

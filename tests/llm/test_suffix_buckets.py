@@ -8,7 +8,7 @@ import pyarrow as pa
 
 from chainloom.llm import suffix_tree
 
-MOST_MB = 350
+MOST_MB = 200
 
 
 def test_counting_holds_little_and_yields_few_rows():
