@@ -125,7 +125,7 @@ SELECT batch_id, 'classified' AS name, lane, count(*) AS n FROM b GROUP BY ALL U
 UNION ALL SELECT u.batch_id, 'asked', '', coalesce(a.n, 0) FROM u LEFT JOIN a ON a.batch_id = u.batch_id
 UNION ALL SELECT u.batch_id, 'reused', '', u.rows - coalesce(a.n, 0) FROM u LEFT JOIN a ON a.batch_id = u.batch_id"""))
 def str6(spark, sf):
-    rows = frames.live_scored(spark, sf).select("ruled", "sentence", "lane", F.floor(F.col("block_number") / 1000).alias("batch_id"))
+    rows = frames.live_scored(spark, sf, frames.PLACE).select("ruled", "sentence", "lane", F.floor(F.col("block_number") / 1000).alias("batch_id"))
     return S.counters(rows)
 
 
