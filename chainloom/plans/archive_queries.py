@@ -316,11 +316,12 @@ SELECT m.block_number, strftime(b.block_time, '%Y-%m-%d %H:%M:%S') AS block_time
 FROM moves m LEFT JOIN blocks b USING (block_number)"""))
 def snk10(spark, sf):
     moves = T.moves(spark, sf)
-    ids = assign_ids(spark.createDataFrame([], "id bigint, address string"), moves, ["from_addr", "to_addr"])
+    ids = stored(assign_ids(spark.createDataFrame([], "id bigint, address string"), moves, ["from_addr", "to_addr"]), "ids")
     events = swap_ids(moves, {"from_addr": "from_id", "to_addr": "to_id"}, ids).withColumn(
         "tx_hash", F.unhex(F.substring("tx_hash", 3, 64)))
     # an id the dictionary does not hold must not lose the row
     events = events.withColumn("to_id", F.when(F.col("contract_no") == 2, -1).otherwise(F.col("to_id")))
+    events = stored(events.select("block_number", "log_index", "tx_hash", "from_id", "to_id", "value"), "events")
     book = ids.withColumn("address", F.unhex(F.substring("address", 3, 40)))
     view = A.hex_view(events, T.blocks(moves), book, [("from_id", "from", "address"), ("to_id", "to", "address"), ("value", "value", "uint256")])
     return view.select("block_number", ts("block_time"), "tx_hash", "log_index", "from", "to", num("value"))
